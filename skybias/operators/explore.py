@@ -44,7 +44,7 @@ def monthly_bias(processed: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Mean, sample deviation and count of the bias per calendar month, twelve rows per series."""
     stats = processed.groupBy(*keys, F.month("time").alias("month")).agg(
         F.avg("bias").alias("mean"), F.stddev_samp("bias").alias("std"), F.count("bias").alias("count"))
-    return calendar_scaffold(stats, keys, "month", 1, 12)
+    return calendar_scaffold(stats, keys, "month", 1, 12).withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def hourly_bias(processed: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,8 @@
-"""The chain of derived tables of one scale factor, as lazy DataFrames built once per session."""
+"""The chain of derived tables of one scale factor, built once per session.
+
+Two tables are stored in the shared work folder, as the jobs do: the processed table and the
+validation table. The rest are lazy DataFrames.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from skybias.operators.transform import hourly_forecast, hourly_observations, processed_table
 from skybias.operators.validation import build_validation, ensemble_mean
 from skybias.plans.jobs import nearby_observations
-from skybias.session import tune
+from skybias.session import tune, work_path
+from skybias.sources import storage
 from skybias.sources.driver_tables import DriverTables
 
 MEMBERS = 5
@@ -47,9 +52,17 @@ class Domain:
     def hourly_forecast(self) -> DataFrame:
         return hourly_forecast(self.forecast, self.locations)
 
+    @property
+    def processed_plan(self) -> DataFrame:
+        """The transform job itself, unstored."""
+        return processed_table(self.hourly_forecast, self.hourly_observed, self.locations)
+
     @cached_property
     def processed(self) -> DataFrame:
-        return processed_table(self.hourly_forecast, self.hourly_observed, self.locations)
+        """The stored output of the transform job. Everything downstream reads it several times."""
+        path = work_path(self.spark, "processed")
+        storage.write_processed(self.processed_plan, path)
+        return storage.read_processed(self.spark, path)
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -59,9 +72,16 @@ class Domain:
     def bias_hat(self) -> DataFrame:
         return ensemble_mean(self.predictions, MEMBERS)
 
+    @property
+    def validation_plan(self) -> DataFrame:
+        return build_validation(self.processed, self.bias_hat)
+
     @cached_property
     def validation(self) -> DataFrame:
-        return build_validation(self.processed, self.bias_hat)
+        """The stored validation table, which all score and figure tables read."""
+        path = work_path(self.spark, "validation")
+        storage.write_validation(self.validation_plan, path)
+        return storage.read_validation(self.spark, path)
 
 
 @lru_cache(maxsize=8)

@@ -51,6 +51,10 @@ def location_number(user_id: Column) -> Column:
     return F.floor(user_id / USERS_PER_LOCATION)
 
 
+def home_location_id(user_id: Column) -> Column:
+    return _location_id(location_number(user_id))
+
+
 class DriverTables:
     """The domain tables of one scale factor, each a lazy DataFrame."""
 

@@ -145,6 +145,14 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_validation(validation: DataFrame, path: str) -> None:
+    _write(validation, path, ["variable", "split"], ["location_id", "init_time", "time"])
+
+
+def read_validation(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def write_metric_tables(runs: DataFrame, series: DataFrame, path: str) -> None:
     """Score tables of the runs and of the complete series, by variable and split."""
     _write(runs, f"{path}/set_of_runs", ["variable", "split"])
