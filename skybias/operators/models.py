@@ -105,7 +105,7 @@ def grid_search(kind: str, inputs: DataFrame, horizons: list[int], grid: dict[st
     for h in horizons:
         for i, mae in enumerate(validator.fit(_at_horizon(train, h)).avgMetrics):
             totals[i] += mae / len(horizons)
-    rows = [{**{p.name: v for p, v in m.items()}, "mae": t} for m, t in zip(maps, totals)]
+    rows = [{**{p.name: v for p, v in m.items()}, "mae": float(t)} for m, t in zip(maps, totals)]
     return sorted(rows, key=lambda row: row["mae"])
 
 

@@ -41,22 +41,22 @@ def job_train(processed: DataFrame, locations: DataFrame, kind: str, path: str,
               members: int = 5, min_rows: int | None = None, horizons: list[int] | None = None, **params) -> DataFrame:
     """Fit, save, predict and evaluate an ensemble of one variable; returns its predictions with labels.
 
-    The model inputs are the one table read many times, so they are persisted; a lost executor only
-    recomputes its own part. The table of runs gets one row per member, accepted or not.
+    The dataset is stored first: every fit then starts from a scan, and the daily job finds the
+    training rows that fix the scaling. The table of runs gets one row per member, accepted or not.
     """
-    variables = [r["variable"] for r in processed.select("variable").distinct().limit(2).collect()]
-    if len(variables) > 1:
+    spark = processed.sparkSession
+    if processed.select("variable").distinct().limit(2).count() > 1:
         raise ValueError("train one variable at a time")
     horizons = horizons or list(range(n_future))
-    dataset = features.build_dataset(processed, locations, n_prev, n_future, min_rows)
-    inputs = models.model_inputs(dataset).persist()
+    storage.write_dataset(features.build_dataset(processed, locations, n_prev, n_future, min_rows), f"{path}/dataset")
+    inputs = models.model_inputs(storage.read_dataset(spark, f"{path}/dataset")).persist()
     fitted = models.fit_ensemble(kind, inputs, horizons, members, **params)
     models.save_members(fitted, f"{path}/weights")
-    predictions = models.predict_members(fitted, inputs)
-    models.append_model_runs(models.evaluate(predictions), f"{path}/runs", path.rsplit("/", 1)[-1], kind, params)
-    storage.write_predictions(predictions, f"{path}/predictions")
+    storage.write_predictions(models.predict_members(fitted, inputs), f"{path}/predictions")
     inputs.unpersist()
-    return storage.read_predictions(processed.sparkSession, f"{path}/predictions")
+    predictions = storage.read_predictions(spark, f"{path}/predictions")
+    models.append_model_runs(models.evaluate(predictions), f"{path}/runs", path.rsplit("/", 1)[-1], kind, params)
+    return predictions
 
 
 def job_validate(processed: DataFrame, predictions: DataFrame, members: int, n_future: int = 24) -> dict[str, DataFrame]:
@@ -78,25 +78,40 @@ def job_validate(processed: DataFrame, predictions: DataFrame, members: int, n_f
     return out
 
 
+def _fill_unobserved(samples: DataFrame, n_prev: int, fields: list[str] = ["observed", "bias"]) -> DataFrame:
+    """Past hours without a reading take the mean of the window's observed hours; windows with none drop out."""
+    def fill(c: str) -> str:
+        known = f"filter(slice({c}, 1, {n_prev}), v -> v IS NOT NULL)"
+        mean = f"aggregate({known}, 0D, (s, v) -> s + v) / size({known})"
+        return f"transform({c}, (v, i) -> if(i < {n_prev} AND v IS NULL, {mean}, v)) AS {c}"
+
+    return (samples.where(F.expr(f"exists(slice({fields[0]}, 1, {n_prev}), v -> v IS NOT NULL)"))
+            .selectExpr(*[fill(c) if c in fields else c for c in samples.columns]))
+
+
 def job_daily_correction(forecast: DataFrame, observations: DataFrame, locations: DataFrame, fitted: list, day: str,
-                         n_prev: int = 24, n_future: int = 24, dataset: DataFrame | None = None,
-                         path: str | None = None) -> DataFrame:
+                         dataset: DataFrame, n_prev: int = 24, n_future: int = 24, path: str | None = None) -> DataFrame:
     """Corrected forecast of one day for every location: score the window that starts at ``day`` 00:00.
 
-    ``dataset`` is the training dataset whose training rows fix the scaling.
+    Observations from ``day`` on are not used. ``dataset`` is the training dataset, whose training
+    rows fix the scaling and whose columns name the window fields.
     """
-    spanned = observations.where(F.col("time") < F.lit(day).cast("timestamp"))
-    processed = job_transform(forecast, spanned, locations, observations_optional=True)
-    # hours of the day itself have no observation yet: the windows carry nulls there and no label
-    samples = features.sliding_samples(processed, n_prev, n_future)
-    samples = validation.latest_init_forecast(samples, day)
-    samples = samples.where(F.forall(F.slice("bias", 1, n_prev), lambda b: b.isNotNull()))
-    samples = features.attach_attributes(features.split_features_labels(samples, n_prev, n_future), locations)
-    samples = samples.withColumn("split", F.lit("daily"))
-    inputs = models.model_inputs(samples.unionByName(dataset) if dataset is not None else samples)
-    predictions = models.predict_members(fitted, inputs.where("split = 'daily'"))
-    bias_hat = validation.ensemble_mean(predictions, len(fitted))
-    corrected = validation.correct_forecast(processed, bias_hat).select(
+    fields = [c.removeprefix("past_") for c in dataset.columns if c.startswith("past_")]
+    start = F.lit(day).cast("timestamp")
+    margin = 24  # hours on either side, so that interpolation and differences have their neighbours
+    near = F.col("time").between(start - F.expr(f"INTERVAL {n_prev + margin} HOURS"),
+                                 start + F.expr(f"INTERVAL {n_future + margin} HOURS"))
+    processed = job_transform(forecast.where(near), observations.where(F.col("time") < start), locations,
+                              observations_optional=True)
+    variables = dataset.select("variable").distinct()
+    processed = processed.join(variables, "variable", "left_semi")
+    samples = validation.latest_init_forecast(features.sliding_samples(processed, n_prev, n_future, fields), day)
+    samples = features.split_features_labels(_fill_unobserved(samples, n_prev, [f for f in fields if f in ("bias", "observed")]),
+                                             n_prev, n_future, fields)
+    samples = features.attach_attributes(samples, locations).withColumn("split", F.lit("daily"))
+    inputs = models.model_inputs(samples.unionByName(dataset)).where("split = 'daily'")
+    bias_hat = validation.ensemble_mean(models.predict_members(fitted, inputs), len(fitted))
+    corrected = validation.correct_forecast(processed.where(F.col("time") >= start), bias_hat).select(
         *SERIES, "init_time", "horizon", "time", "forecast", "bias_hat", "corrected")
     if path:
         storage.write_corrected_forecast(corrected, path)

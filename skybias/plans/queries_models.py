@@ -9,23 +9,26 @@ from skybias.plans import jobs
 from skybias.plans.registry import query
 
 from skybias.session import work_path
+from skybias.sources import storage
 
 N_PREV, N_FUTURE, HORIZONS = 24, 24, [0, 11, 23]
 FIELDS = ["pm25_forecast", "t2m_forecast", "u10_forecast", "v10_forecast", "blh_forecast", "bias"]
 
 
 def _dataset(d):
-    """One variable, as a model is trained: all locations, all windows."""
-    rows = d.processed.where("variable = 'pm25'")
-    return features.build_dataset(rows, d.locations, N_PREV, N_FUTURE, fields=FIELDS)
+    """The stored dataset of one variable, as a model is trained: all locations, all windows."""
+    if "_dataset_path" not in d.__dict__:
+        rows = d.processed.where("variable = 'pm25'")
+        d._dataset_path = work_path(d.spark, "dataset")
+        storage.write_dataset(features.build_dataset(rows, d.locations, N_PREV, N_FUTURE, fields=FIELDS), d._dataset_path)
+    return storage.read_dataset(d.spark, d._dataset_path)
 
 
 def _inputs(d):
     """Scaled inputs of all windows, kept in memory for the repeated fits."""
-    cached = d.__dict__.get("_model_inputs")
-    if cached is None:
-        cached = d.__dict__["_model_inputs"] = models.model_inputs(_dataset(d)).persist()
-    return cached
+    if "_model_inputs" not in d.__dict__:
+        d._model_inputs = models.model_inputs(_dataset(d)).persist()
+    return d._model_inputs
 
 
 def _scores(fitted, d):
@@ -84,8 +87,8 @@ def _(d):
 
 @query("job_daily_correction")
 def _(d):
-    dataset = features.build_dataset(d.processed.where("variable = 'pm25'"), d.locations, N_PREV, N_FUTURE)
-    fitted = models.fit_ensemble("elastic_net", models.model_inputs(dataset), HORIZONS, members=1, alpha=0.5)
+    dataset = _dataset(d)
+    fitted = models.fit_ensemble("elastic_net", _inputs(d), HORIZONS, members=1, subsample=1.0, alpha=0.5)
     observations = d.observations.where(F.col("variable") == "pm25")
-    return jobs.job_daily_correction(d.forecast, observations, d.locations, fitted, "2024-01-20", dataset=dataset,
+    return jobs.job_daily_correction(d.forecast, observations, d.locations, fitted, "2024-01-20", dataset,
                                      path=work_path(d.spark, "daily"))

@@ -33,7 +33,7 @@ _s, _d, _l, _i, _t, _b = (T.StringType(), T.DoubleType(), T.LongType(), T.Intege
                           T.TimestampType(), T.BooleanType())
 
 LOCATIONS_CSV = T.StructType([
-    T.StructField("row", _i), T.StructField("id", _s), T.StructField("city", _s),
+    T.StructField("row", _l), T.StructField("id", _s), T.StructField("city", _s),
     T.StructField("country", _s), T.StructField("latitude", _d), T.StructField("longitude", _d),
     T.StructField("timezone", _s), T.StructField("elevation", _d)])
 

@@ -32,7 +32,7 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_locations(locations: DataFrame, path: str) -> None:
-    rows = locations.select(F.crc32("location_id").cast("int").alias("row"), F.col("location_id").alias("id"), "city",
+    rows = locations.select(F.crc32("location_id").alias("row"), F.col("location_id").alias("id"), "city",
                             "country", "latitude", "longitude", "timezone", "elevation")
     rows.write.mode("overwrite").option("header", True).csv(path)
 
@@ -145,6 +145,15 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_dataset(dataset: DataFrame, path: str) -> None:
+    """Samples with features and labels, by variable and split."""
+    _write(dataset, path, ["variable", "split"], ["location_id", "init_time"])
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def write_validation(validation: DataFrame, path: str) -> None:
     _write(validation, path, ["variable", "split"], ["location_id", "init_time", "time"])
 
