@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # the first n rows of a group are cut in every task before the shuffle, up to this n
+    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
 }
 
 
