@@ -7,7 +7,6 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skybias.functions.stats import pearson
 from skybias.functions.timeparts import time_part
 from skybias.operators.quantiles import exact_quantiles
 from skybias.operators.series import deseasonalise, resample_mean
@@ -136,11 +135,11 @@ def error_density(df: DataFrame, keys: list[str], value: str, binwidth: float =
     stats = stats.withColumn("_h", F.expr("_sd * power(_n, -0.2D)")).where("_h > 0")
     point = f"_lo + (_hi - _lo) * point / {KDE_POINTS - 1}"
     rows = df.where(v.isNotNull()).select(*keys, v.alias("_v")).join(stats, keys)
-    return (rows.selectExpr(*keys, "_v", "_lo", "_hi", "_n", "_h", f"explode(sequence(0, {KDE_POINTS - 1})) AS point")
-            .withColumn("x", F.expr(point))
-            .groupBy(*keys, "point", "x", "_n", "_h")
-            .agg(F.sum(F.expr("exp(-0.5D * power((x - _v) / _h, 2))")).alias("_sum"))
-            .selectExpr(*keys, "point", "x", f"_sum / (_n * _h * sqrt(2 * pi())) * {float(binwidth)}D AS density"))
+    sums = (rows.selectExpr(*keys, "_v", "_lo", "_hi", "_h", f"explode(sequence(0, {KDE_POINTS - 1})) AS point")
+            .groupBy(*keys, "point")
+            .agg(F.sum(F.expr(f"exp(-0.5D * power(({point} - _v) / _h, 2))")).alias("_sum")))
+    return sums.join(stats, keys).selectExpr(
+        *keys, "point", f"{point} AS x", f"_sum / (_n * _h * sqrt(2 * pi())) * {float(binwidth)}D AS density")
 
 
 def days_available(processed: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
@@ -162,14 +161,25 @@ def correlation_matrix(processed: DataFrame, agg: str | None = None, keys: list[
     """Correlation of every pair of fields and errors after taking out the monthly means, as (x, y, r).
 
     ``error`` is the deseasonalised bias, ``error_raw`` the bias as it is. The pairs are unpivoted
-    before one aggregation, which Spark combines map-side.
+    before one aggregation, which keeps plain sums and combines them map-side: a task sends one row
+    per group and pair. Sums are safe because the columns are centred, the raw error by its own mean.
     """
     names = [*fields, "error"]
     rows = processed.selectExpr(*keys, "time", *[f"{f}_forecast AS {f}" for f in fields], "bias AS error", "bias AS error_raw")
-    rows = deseasonalise(rows, names, keys)
+    centre = rows.groupBy(*keys).agg(F.avg("error_raw").alias("_centre"))
+    rows = (deseasonalise(rows, names, keys).join(centre, keys)
+            .withColumn("error_raw", F.expr("error_raw - _centre")).drop("_centre"))
     names = [*names, "error_raw"]
     if agg:
         rows = resample_mean(rows, agg, names, keys)
-    pairs = [f"'{a}', '{b}', {a}, {b}" for a, b in combinations_with_replacement(names, 2)]
-    long = rows.selectExpr(*keys, f"stack({len(pairs)}, {', '.join(pairs)}) AS (x, y, _a, _b)")
-    return long.groupBy(*keys, "x", "y").agg(pearson(F.col("_a"), F.col("_b")).alias("r"))
+    pairs = list(combinations_with_replacement(names, 2))
+    values = ", ".join(f"{i}, {a}, {b}" for i, (a, b) in enumerate(pairs))
+    sums = (rows.selectExpr(*keys, f"stack({len(pairs)}, {values}) AS (_pair, _a, _b)")
+            .where("_a IS NOT NULL AND _b IS NOT NULL")
+            .groupBy(*keys, "_pair")
+            .agg(F.expr("count(*)").alias("_n"), F.expr("sum(_a)").alias("_sa"), F.expr("sum(_b)").alias("_sb"),
+                 F.expr("sum(_a * _b)").alias("_ab"), F.expr("sum(_a * _a)").alias("_aa"), F.expr("sum(_b * _b)").alias("_bb")))
+    name_of = [", ".join(f"'{pair[side]}'" for pair in pairs) for side in (0, 1)]
+    spread = "sqrt(greatest(_aa / _n - _sa / _n * _sa / _n, 0D)) * sqrt(greatest(_bb / _n - _sb / _n * _sb / _n, 0D))"
+    return sums.selectExpr(*keys, f"array({name_of[0]})[_pair] AS x", f"array({name_of[1]})[_pair] AS y",
+                           f"try_divide(_ab / _n - _sa / _n * _sb / _n, {spread}) AS r")

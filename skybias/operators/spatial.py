@@ -50,17 +50,23 @@ def sensors_within_radius(locations: DataFrame, sensors: DataFrame, km: float =
             .where(F.col("distance_km") <= km))
 
 
-def _axis(grid: DataFrame, name: str) -> Column:
-    """The distinct values of a grid axis as one array, by an uncorrelated scalar subquery."""
-    values = F.collect_set(name)
-    checked = F.when(F.size(values) <= MAX_AXIS, values).otherwise(
-        F.raise_error(F.lit(f"{name} has more than {MAX_AXIS} values: not a grid axis")).cast("array<double>"))
-    return grid.agg(checked).scalar()
+def grid_axes(grid: DataFrame) -> DataFrame:
+    """The distinct latitudes and longitudes of a grid as one row of two arrays, in one pass.
+
+    An axis is bounded by the grid's resolution, not by the data; one that is not is refused.
+    """
+    def axis(name: str) -> Column:
+        values = F.collect_set(name)
+        refuse = F.raise_error(F.lit(f"{name} has more than {MAX_AXIS} values: not a grid axis"))
+        return F.when(F.size(values) <= MAX_AXIS, values).otherwise(refuse.cast("array<double>")).alias(name)
+
+    return grid.agg(axis("latitude"), axis("longitude"))
 
 
-def nearest_grid_cell(locations: DataFrame, grid: DataFrame, wrap: bool = True) -> DataFrame:
+def nearest_grid_cell(locations: DataFrame, axes: DataFrame, wrap: bool = True) -> DataFrame:
     """Add ``cell_latitude``, ``cell_longitude``: each axis searched on its own, ties to the larger value.
 
+    ``axes`` comes from ``grid_axes`` and reaches every row as a scalar subquery, not a join.
     ``wrap=True`` compares longitudes modulo 360, so -3.7 finds 356 on a 0..360 grid;
     ``wrap=False`` compares them as plain numbers.
     """
@@ -73,16 +79,21 @@ def nearest_grid_cell(locations: DataFrame, grid: DataFrame, wrap: bool = True)
     def around(a: Column) -> Column:
         return F.least(F.pmod(a - grid_longitude(lon), F.lit(360.0)), F.pmod(grid_longitude(lon) - a, F.lit(360.0)))
 
-    return (locations
-            .withColumn("_lats", _axis(grid, "latitude")).withColumn("_lons", _axis(grid, "longitude"))
-            .withColumn("cell_latitude", nearest(F.col("_lats"), lambda a: F.abs(a - lat)))
-            .withColumn("cell_longitude", nearest(F.col("_lons"), around if wrap else lambda a: F.abs(a - lon)))
-            .drop("_lats", "_lons"))
+    both = axes.select(F.struct("latitude", "longitude")).scalar()
+    cell = F.struct(nearest(F.col("_axes.latitude"), lambda a: F.abs(a - lat)).alias("cell_latitude"),
+                    nearest(F.col("_axes.longitude"), around if wrap else lambda a: F.abs(a - lon)).alias("cell_longitude"))
+    # generated, not projected: a later join on the cell would otherwise push the search itself,
+    # as a not-null test, down to every row the locations are made from
+    return locations.withColumn("_axes", both).select("*", F.inline(F.array(cell))).drop("_axes")
 
 
-def extract_at_locations(locations: DataFrame, grid: DataFrame, wrap: bool = True) -> DataFrame:
-    """Grid rows of each location's nearest cell, keyed by ``location_id``."""
-    cells = nearest_grid_cell(locations, grid.select("latitude", "longitude"), wrap)
+def extract_at_locations(locations: DataFrame, grid: DataFrame, wrap: bool = True,
+                         axes: DataFrame | None = None) -> DataFrame:
+    """Grid rows of each location's nearest cell, keyed by ``location_id``.
+
+    Pass stored ``axes`` to save the pass over the coordinates of a large archive.
+    """
+    cells = nearest_grid_cell(locations, grid_axes(grid) if axes is None else axes, wrap)
     cells = cells.select("location_id", F.col("cell_latitude").alias("latitude"),
                          F.col("cell_longitude").alias("longitude"))
     return grid.join(cells, ["latitude", "longitude"])

@@ -13,11 +13,16 @@ from skybias.operators.series import (differentiate_accumulated, distance_weight
 from skybias.schemas import ACCUMULATED, FIELD_RENAMES, FIELDS, POLLUTANTS, RAW_FIELDS
 
 
+def observed_series(hourly: DataFrame, rate: float = 20, max_gap_hours: int = 12) -> DataFrame:
+    """Hourly readings of the sensors of a location to (location_id, variable, time, observed): weighted,
+    filtered and gap-filled."""
+    return interpolate_gaps(iqr_outlier_filter(distance_weighted_mean(hourly), rate=rate), max_gap_hours=max_gap_hours)
+
+
 def hourly_observations(observations: DataFrame, rate: float = 20, max_gap_hours: int = 12) -> DataFrame:
-    """(location_id, variable, time, observed): hourly, weighted, filtered and gap-filled."""
+    """The observed series from raw readings at locations."""
     hourly = hourly_mean(observations, ["location_id", "variable", "sensor_id", "distance_km"])
-    observed = distance_weighted_mean(hourly)
-    return interpolate_gaps(iqr_outlier_filter(observed, rate=rate), max_gap_hours=max_gap_hours)
+    return observed_series(hourly, rate, max_gap_hours)
 
 
 def rename_forecast_fields(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skybias.operators import explore, features, metrics, models, reports, validation
 from skybias.operators.sensors import (candidate_sensors, homogeneous_units, observations_at, select_sensors,
                                        time_range_filter)
+from skybias.operators.series import hourly_mean
 from skybias.operators.spatial import extract_at_locations
 from skybias.operators.transform import hourly_forecast, hourly_observations, processed_table
 from skybias.schemas import SERIES
@@ -26,9 +27,20 @@ def nearby_observations(locations: DataFrame, sensors: DataFrame, measurements:
     return observations_at(candidate_sensors(locations, sensors), homogeneous_units(measurements))
 
 
-def job_forecasts(locations: DataFrame, grid: DataFrame, wrap: bool = True) -> DataFrame:
+def nearby_hourly(locations: DataFrame, sensors: DataFrame, measurements: DataFrame) -> DataFrame:
+    """Hourly readings of all nearby sensors of the preferred grade, keyed by location.
+
+    Readings are averaged per sensor and hour before anything is joined: the raw table is scanned
+    once and combined map-side, and a sensor near several locations is averaged once. The unit is
+    part of the key, and conversion is linear, so both can wait until after the mean.
+    """
+    hourly = hourly_mean(measurements, ["sensor_id", "variable", "unit"])
+    return observations_at(candidate_sensors(locations, sensors), homogeneous_units(hourly))
+
+
+def job_forecasts(locations: DataFrame, grid: DataFrame, wrap: bool = True, axes: DataFrame | None = None) -> DataFrame:
     """Wide three-hourly forecast of every location from the long grid."""
-    return storage.merge_forecast_fields(extract_at_locations(locations, grid, wrap))
+    return storage.merge_forecast_fields(extract_at_locations(locations, grid, wrap, axes))
 
 
 def job_transform(forecast: DataFrame, observations: DataFrame, locations: DataFrame,

@@ -103,7 +103,7 @@ def _(d):
 
 @query("nearest_grid_cell", tables="cells", doubles="cell_latitude cell_longitude", sql="SELECT * FROM cells")
 def _(d):
-    return spatial.nearest_grid_cell(d.locations, d.tables.grid_forecast()).select(
+    return spatial.nearest_grid_cell(d.locations, spatial.grid_axes(d.tables.grid_forecast())).select(
         "location_id", "cell_latitude", "cell_longitude")
 
 
@@ -114,7 +114,7 @@ def _(d):
               (SELECT longitude FROM (SELECT DISTINCT longitude FROM grid) g
                ORDER BY abs(g.longitude - l.longitude), g.longitude DESC LIMIT 1) AS cell_longitude FROM locations l""")
 def _(d):
-    return spatial.nearest_grid_cell(d.locations, d.tables.grid_forecast(), wrap=False).select(
+    return spatial.nearest_grid_cell(d.locations, spatial.grid_axes(d.tables.grid_forecast()), wrap=False).select(
         "location_id", "cell_latitude", "cell_longitude")
 
 
@@ -130,7 +130,7 @@ def _(d):
        FROM cells c JOIN grid g ON g.latitude = c.cell_latitude AND g.longitude = c.cell_longitude
        GROUP BY c.location_id, g.time""")
 def _(d):
-    return jobs.job_forecasts(d.locations, storage.scan_forecast_files(d.spark, _files(d)))
+    return jobs.job_forecasts(d.locations, d.tables.grid_forecast())
 
 
 def _bounds(d):

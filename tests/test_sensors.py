@@ -46,10 +46,10 @@ def test_radius_join_is_an_equi_join(spark):
 def test_nearest_cell_ties_and_wrap(spark):
     locations = spark.createDataFrame([("m", 0.5, -3.7), ("w", 10.4, 179.6)], "location_id STRING, latitude DOUBLE, longitude DOUBLE")
     grid = spark.createDataFrame([(float(a), float(o)) for a in range(-2, 12) for o in range(0, 360, 4)], "latitude DOUBLE, longitude DOUBLE")
-    wrapped = {r["location_id"]: r for r in spatial.nearest_grid_cell(locations, grid).collect()}
+    wrapped = {r["location_id"]: r for r in spatial.nearest_grid_cell(locations, spatial.grid_axes(grid)).collect()}
     assert (wrapped["m"]["cell_latitude"], wrapped["m"]["cell_longitude"]) == (1.0, 356.0)
     assert (wrapped["w"]["cell_latitude"], wrapped["w"]["cell_longitude"]) == (10.0, 180.0)
-    plain = {r["location_id"]: r for r in spatial.nearest_grid_cell(locations, grid, wrap=False).collect()}
+    plain = {r["location_id"]: r for r in spatial.nearest_grid_cell(locations, spatial.grid_axes(grid), wrap=False).collect()}
     assert plain["m"]["cell_longitude"] == 0.0
 
 
