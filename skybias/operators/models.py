@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +18,34 @@ from skybias.schemas import SERIES
 KEYS = [*SERIES, "split", "init_time"]
 
 
-def elastic_net(alpha: float = 1.0, l1_ratio: float = 0.5, **_) -> LinearRegression:
-    """The inputs are scaled already, with population deviations; Spark must not do it again."""
-    return LinearRegression(regParam=alpha, elasticNetParam=l1_ratio, standardization=False)
+def elastic_net_params(label_std: float, alpha: float = 1.0, l1_ratio: float = 0.5) -> dict[str, float]:
+    """Spark's parameters for ``|y - Xw|^2 / 2n + alpha * (l1_ratio * |w| + (1 - l1_ratio) / 2 * |w|^2)``.
+
+    Spark scales the label to deviation 1 and the penalty with it, which leaves the absolute part as
+    it is but divides the squared part by the label's deviation; that is undone here.
+    """
+    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * (label_std or 1.0)
+    return {"regParam": l1 + l2, "elasticNetParam": l1 / (l1 + l2) if l1 + l2 else 0.0}
+
+
+def gradient_boosting_params(label_std: float, max_iter: int = 20, max_depth: int = 3, step: float = 0.1) -> dict[str, float]:
+    return {"maxIter": max_iter, "maxDepth": max_depth, "stepSize": step}
+
 
+# name: estimator, class of the fitted model, parameters. The inputs are scaled already, with
+# population deviations, so the linear model must not do it again.
+MODELS = {
+    "elastic_net": (lambda: LinearRegression(standardization=False), LinearRegressionModel, elastic_net_params),
+    "gradient_boosting": (lambda: GBTRegressor(seed=0), GBTRegressionModel, gradient_boosting_params)}
 
-def gradient_boosting(max_iter: int = 20, max_depth: int = 3, step: float = 0.1, **_) -> GBTRegressor:
-    return GBTRegressor(maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=0)
 
+def _estimator(kind: str):
+    return MODELS[kind][0]().setLabelCol("y").setFeaturesCol("features")
 
-MODELS = {"elastic_net": (elastic_net, LinearRegressionModel),
-          "gradient_boosting": (gradient_boosting, GBTRegressionModel)}
+
+def _label_stds(train: DataFrame, horizons: list[int]) -> dict[int, float]:
+    row = train.agg(*[F.stddev_pop(F.col("label")[h]).alias(str(h)) for h in horizons]).first()
+    return {h: float(row[str(h)] or 0.0) for h in horizons}
 
 
 def model_inputs(dataset: DataFrame) -> DataFrame:
@@ -48,13 +67,16 @@ def fit_model(kind: str, inputs: DataFrame, horizons: list[int], member: int = 0
     Members of an ensemble differ by the share of rows they see, drawn from each row's key and the
     member number, so a recomputed task draws the same rows.
     """
-    build, _ = MODELS[kind]
     train = inputs.where("split = 'train'")
-    estimator = build(**params).setLabelCol("y").setFeaturesCol("features")
     if subsample < 1.0:
         draw = F.pmod(F.xxhash64("location_id", "variable", "init_time", F.lit(member)), F.lit(10_000)) / 10_000
         train = train.where(draw < subsample)
-    return {h: estimator.fit(_at_horizon(train, h)) for h in horizons}
+    stds, fitted = _label_stds(train, horizons), {}
+    for h in horizons:
+        estimator = _estimator(kind)
+        estimator.setParams(**MODELS[kind][2](stds[h], **params))
+        fitted[h] = estimator.fit(_at_horizon(train, h))
+    return fitted
 
 
 def fit_ensemble(kind: str, inputs: DataFrame, horizons: list[int], members: int = 5, subsample: float = 0.8,
@@ -92,21 +114,18 @@ def foreign_predictions(samples: DataFrame, scorer, horizons: int, features: str
 
 def grid_search(kind: str, inputs: DataFrame, horizons: list[int], grid: dict[str, list], folds: int = 4) -> list[dict]:
     """Cross-validated MAE of every parameter choice, averaged over the horizons, best first."""
-    build, _ = MODELS[kind]
-    estimator = build().setLabelCol("y").setFeaturesCol("features")
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), values)
-    maps = builder.build()
-    validator = CrossValidator(estimator=estimator, estimatorParamMaps=maps, numFolds=folds, seed=0, parallelism=2,
-                               evaluator=RegressionEvaluator(metricName="mae", labelCol="y"))
     train = inputs.where("split = 'train'")
-    totals = [0.0] * len(maps)
+    choices = [dict(zip(grid, values)) for values in product(*grid.values())]
+    stds, totals = _label_stds(train, horizons), [0.0] * len(choices)
     for h in horizons:
+        estimator = _estimator(kind)
+        maps = [{estimator.getParam(name): value for name, value in MODELS[kind][2](stds[h], **choice).items()}
+                for choice in choices]
+        validator = CrossValidator(estimator=estimator, estimatorParamMaps=maps, numFolds=folds, seed=0, parallelism=2,
+                                   evaluator=RegressionEvaluator(metricName="mae", labelCol="y"))
         for i, mae in enumerate(validator.fit(_at_horizon(train, h)).avgMetrics):
-            totals[i] += mae / len(horizons)
-    rows = [{**{p.name: v for p, v in m.items()}, "mae": float(t)} for m, t in zip(maps, totals)]
-    return sorted(rows, key=lambda row: row["mae"])
+            totals[i] += float(mae) / len(horizons)
+    return sorted(({**choice, "mae": total} for choice, total in zip(choices, totals)), key=lambda row: row["mae"])
 
 
 def evaluate(predictions: DataFrame, keys: list[str] = ["variable", "member"]) -> DataFrame:
@@ -136,5 +155,5 @@ def save_members(members: list[dict[int, object]], path: str) -> None:
 
 
 def load_members(kind: str, path: str, members: int, horizons: list[int]) -> list[dict[int, object]]:
-    _, loader = MODELS[kind]
+    loader = MODELS[kind][1]
     return [{h: loader.load(f"{path}/member={m}/horizon={h}") for h in horizons} for m in range(members)]

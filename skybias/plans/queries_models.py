@@ -53,9 +53,9 @@ def _(d):
 
 @query("grid_search")
 def _(d):
-    best = models.grid_search("elastic_net", _inputs(d), HORIZONS[:1], {"regParam": [0.1, 1.0], "elasticNetParam": [0.5]})
-    rows = [(i, r["regParam"], r["elasticNetParam"], r["mae"]) for i, r in enumerate(best)]
-    return d.spark.createDataFrame(rows, "rank INT, reg_param DOUBLE, l1_ratio DOUBLE, mae DOUBLE")
+    best = models.grid_search("elastic_net", _inputs(d), HORIZONS[:1], {"alpha": [0.1, 1.0], "l1_ratio": [0.5]})
+    rows = [(i, r["alpha"], r["l1_ratio"], r["mae"]) for i, r in enumerate(best)]
+    return d.spark.createDataFrame(rows, "rank INT, alpha DOUBLE, l1_ratio DOUBLE, mae DOUBLE")
 
 
 @query("evaluate")
