@@ -34,9 +34,17 @@ def station_series(processed: DataFrame, agg: str | None = None) -> DataFrame:
 
 
 def calendar_scaffold(stats: DataFrame, keys: list[str], part: str, first: int, last: int) -> DataFrame:
-    """Every value ``first..last`` of ``part`` for each group of ``stats``; missing ones have null statistics."""
-    grid = stats.select(*keys).distinct().withColumn(part, F.explode(F.sequence(F.lit(first), F.lit(last))))
-    return grid.join(stats, [*keys, part], "left")
+    """Every value ``first..last`` of ``part`` for each group of ``stats``; missing ones have null statistics.
+
+    A group has at most one row per value, so its rows are packed into a map and looked up; joining
+    ``stats`` to itself would run everything before it twice.
+    """
+    names = [c for c in stats.columns if c not in [*keys, part]]
+    packed = stats.groupBy(*keys).agg(F.map_from_entries(
+        F.collect_list(F.struct(part, F.struct(*names).alias("stats")))).alias("_at"))
+    return (packed.select(*keys, F.explode(F.sequence(F.lit(first), F.lit(last))).alias(part), "_at")
+            .select(*keys, part, F.try_element_at("_at", part).alias("_stats"))
+            .select(*keys, part, *[F.col("_stats")[c].alias(c) for c in names]))
 
 
 def monthly_bias(processed: DataFrame, keys: list[str] = SERIES) -> DataFrame:

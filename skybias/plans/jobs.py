@@ -12,6 +12,7 @@ from skybias.operators.series import hourly_mean
 from skybias.operators.spatial import extract_at_locations
 from skybias.operators.transform import hourly_forecast, hourly_observations, processed_table
 from skybias.schemas import SERIES
+from skybias.session import work_path
 from skybias.sources import storage
 
 
@@ -116,7 +117,10 @@ def job_daily_correction(forecast: DataFrame, observations: DataFrame, locations
     processed = job_transform(forecast.where(near), observations.where(F.col("time") < start), locations,
                               observations_optional=True)
     variables = dataset.select("variable").distinct()
-    processed = processed.join(variables, "variable", "left_semi")
+    # the day's table is stored: it is read for the windows and again for the correction
+    stored = work_path(forecast.sparkSession, "daily")
+    storage.write_processed(processed.join(variables, "variable", "left_semi"), stored)
+    processed = storage.read_processed(forecast.sparkSession, stored)
     samples = validation.latest_init_forecast(features.sliding_samples(processed, n_prev, n_future, fields), day)
     samples = features.split_features_labels(_fill_unobserved(samples, n_prev, [f for f in fields if f in ("bias", "observed")]),
                                              n_prev, n_future, fields)

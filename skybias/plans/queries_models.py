@@ -90,5 +90,4 @@ def _(d):
     dataset = _dataset(d)
     fitted = models.fit_ensemble("elastic_net", _inputs(d), HORIZONS, members=1, subsample=1.0, alpha=0.5)
     observations = d.observations.where(F.col("variable") == "pm25")
-    return jobs.job_daily_correction(d.forecast, observations, d.locations, fitted, "2024-01-20", dataset,
-                                     path=work_path(d.spark, "daily"))
+    return jobs.job_daily_correction(d.forecast, observations, d.locations, fitted, "2024-01-20", dataset)
