@@ -104,7 +104,7 @@ def shingles(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, n
     for j in range(n):
         inside = length > j
         at = np.minimum(begin + j, max(len(word) - 1, 0))
-        step = mix(word[at] + np.uint64(j + 1) * np.uint64(_BASE)) if len(word) else np.zeros(len(row), np.uint64)
+        step = mix(word[at] + np.uint64((j + 1) * _BASE % (1 << 64))) if len(word) else np.zeros(len(row), np.uint64)
         value += np.where(inside, step, np.uint64(0))
     return mix(value + length.astype(np.uint64)), row
 
