@@ -96,19 +96,21 @@ def dedup_lines(docs: DataFrame, chars: int = SHINGLE_CHARS, threshold: float =
     doc_id and text) lose or keep the same lines; rows without a doc_id come last and are one document in that sense. Other columns
     stay, but those named n_lines or n_kept are replaced.
     """
-    key, lines = "_kept_doc", "_kept_lines"
-    names = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    kept = kept_lines(docs, chars, threshold).select(F.col("doc_id").alias(key), F.col("lines").alias(lines))
-    rows = docs.select(*names).join(kept, docs["doc_id"].eqNullSafe(kept[key]), "left")
-    # (line, its number, as compared) of every line; then those that stay
-    rows = rows.withColumn("_all", F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_kept")]
+    kept = kept_lines(docs, chars, threshold).withColumnRenamed("doc_id", "kept_doc")
+    rows = docs.select(F.struct(*names).alias("row"), "doc_id", "text")
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_doc")), "left")
+    # every line, its number and how it is compared; then those that stay
+    rows = rows.withColumn("all", F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(
         x.alias("x"), i.alias("i"), F.lower(F.trim(x, F.lit(" \t\r\x0b\x0c"))).alias("c"))))
-    held = F.coalesce(F.col(lines), F.array().cast("array<struct<line_no:int,id:bigint>>"))
-    rows = rows.withColumn("_stay", F.filter("_all", lambda s: (s["c"] == "") | F.array_contains(held, F.struct(s["i"].alias("line_no"), F.xxhash64(s["c"]).alias("id")))))
-    count = lambda c: F.coalesce(F.size(F.filter(c, lambda s: s["c"] != "")), F.lit(0)).cast("long")
-    rows = rows.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(count("_all")), "n_kept": F.when(F.col("text").isNull(), 0).otherwise(count("_stay")),
-                             "text": F.array_join(F.transform("_stay", lambda s: s["x"]), "\n")})
-    return rows.select(*names, "n_lines", "n_kept")
+    held = F.coalesce(F.col("lines"), F.array().cast("array<struct<line_no:int,id:bigint>>"))
+    rows = rows.withColumn("stay", F.filter("all", lambda s: (s["c"] == "") | F.array_contains(held, F.struct(s["i"].alias("line_no"), F.xxhash64(s["c"]).alias("id")))))
+
+    def count(lines: str):
+        return F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(lines, lambda s: s["c"] != ""))).cast("long")
+
+    rows = rows.select("row", F.array_join(F.transform("stay", lambda s: s["x"]), "\n").alias("text"), count("all").alias("n_lines"), count("stay").alias("n_kept"))
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names), "n_lines", "n_kept")
 
 
 def without_emptied(deduped: DataFrame) -> DataFrame:

@@ -119,13 +119,12 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     docs keep their values; those with the names of the new columns are replaced.
     """
     new = ["size", "source_size", "target", "copies", "rest", "taken"]
-    key_name = "key"
-    kept = docs.drop(*new, key_name)
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in new]
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
     sizes = stored(docs.select("doc_id", source_key().alias("key"), size.alias("size")), "sizes")
     rates = stored(solve_rates(sizes, source_targets(sizes, weights, most), most), "rates")
     plan = stored(rates.join(_cuts(sizes, rates, most), "key", "left"), "copies")
-    rows = kept.withColumns({key_name: source_key(), "size": size}).join(plan, key_name)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", source_key().alias("key"), size.alias("size")).join(plan, "key")
     copies, rest = F.lit(0), F.lit(0).cast("long")
     for j in range(1, most + 1):
         at = _begin(j, most)
@@ -135,20 +134,22 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
         copies = copies + F.when(whole, 1).otherwise(0)
         rest = rest + F.when((at == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("last_id")), F.col("rest")).otherwise(0)
     has = F.col("size") > 0
-    rows = rows.withColumns({"copies": F.when(has, copies).otherwise(0).cast("long"), "_rest": F.when(has, rest).otherwise(0).cast("long")})
-    return rows.drop("rest", "at", "last_id", "lam", "mean", key_name).withColumnRenamed("_rest", "rest").withColumn(
-        "taken", F.col("copies") * F.col("size") + F.col("rest"))
+    rows = rows.select("row", "size", "source_size", "target", F.when(has, copies).otherwise(0).cast("long").alias("copies"),
+                       F.when(has, rest).otherwise(0).cast("long").alias("rest"))
+    return rows.select(*others, *new[:-1], (F.col("copies") * F.col("size") + F.col("rest")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixture itself: each document as often as it has copies, and the cut copies with their first words."""
-    rows, names = with_copies(docs, weights, most), docs.columns
-    whole = rows.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+    names = docs.columns
+    rows = with_copies(docs.select(F.struct(*names).alias("whole"), "doc_id", "source", "text"), weights, most)
+    whole = rows.where("copies > 0").select("whole", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("whole.*")
     words = F.filter(F.split(text_of(), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = rows.where("rest > 0").withColumn("text", F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " "))
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.char_length("text").cast("long"))
-    return whole.unionByName(cut.select(*names))
+    made = {"text", "n_chars"}
+    return whole.unionByName(cut.select(*(F.col(c) if c in made else F.col(f"whole.`{c}`") for c in names)))
 
 
 @query("op9_mixing")

@@ -23,7 +23,7 @@ from skybias.llm import texts
 from skybias.llm.registry import query
 from skybias.llm.tables import stored, table, text_of
 
-BUCKET_BITS, PRIOR, DRIFT, CALIBRATION_ROWS, SIGNIFICANT = 20, 20.0, 0.5, 200_000, 0.05
+BUCKET_BITS, PRIOR, DRIFT, CALIBRATION_ROWS, SIGNIFICANT = 20, 6.0, 0.5, 200_000, 0.05
 BUCKETS = 1 << BUCKET_BITS
 _CLOSING = np.zeros(256, bool)
 _CLOSING[[ord(c) for c in ".,;:!?\"')"]] = True
