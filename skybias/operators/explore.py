@@ -61,9 +61,9 @@ def hourly_bias(processed: DataFrame, keys: list[str]) -> DataFrame:
     return calendar_scaffold(stats, keys, "local_time_hour", 0, 23)
 
 
-def pivot_city(hourly: DataFrame, cities: list[str], stat: str = "mean") -> DataFrame:
-    """Hour by city matrix of one statistic."""
-    return hourly.groupBy("local_time_hour").pivot("city", cities).agg(F.first(stat))
+def pivot_city(hourly: DataFrame, cities: list[str] | None = None, stat: str = "mean") -> DataFrame:
+    """Hour by city matrix of one statistic for each pollutant; every city of the table is a column unless some are named."""
+    return hourly.groupBy("variable", "local_time_hour").pivot("city", cities).agg(F.first(stat))
 
 
 def cycle_stats(validation: DataFrame, unit: str = "hour", keys: list[str] = SERIES) -> DataFrame:

@@ -78,13 +78,24 @@ def _log_gamma(z: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - shift
 
 
-def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction (Lentz), elementwise."""
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Logarithm of the beta function. Gammas of large arguments would cancel: their ratio has a series of its own."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    ratio = low * np.log(high) + low * (low - 1) / (2 * high) - low * (low - 1) * (2 * low - 1) / (12 * high**2)
+    return _log_gamma(low) - np.where((high > 1e5) & (low < 10), ratio, _log_gamma(high + low) - _log_gamma(high))
+
+
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 300, y: np.ndarray | None = None) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction (Lentz), elementwise; ``y`` is 1 - x where that is known better."""
     a, b, x = (np.asarray(v, dtype=float) for v in (a, b, x))
+    y = 1 - x if y is None else np.asarray(y, dtype=float)
     swap = x > (a + 1) / (a + b + 2)
-    p, q, t = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    p, q, t, rest = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, y, x), np.where(swap, x, y)
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(p * np.log(t) + q * np.log1p(-t) + _log_gamma(p + q) - _log_gamma(p) - _log_gamma(q)) / p
+        # the logarithm of the part near 1 comes from the other
+        log_t = np.where(t > 0.5, np.log1p(-rest), np.log(t))
+        log_rest = np.where(rest > 0.5, np.log1p(-t), np.log(rest))
+        front = np.exp(p * log_t + q * log_rest - _log_beta(p, q)) / p
     tiny = 1e-300
     d = 1 - (p + q) * t / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -108,7 +119,7 @@ def _p_values(r: pd.Series, n: pd.Series) -> pd.Series:
     # dof / (dof + t^2) with t^2 = r^2 dof / ((1 - r)(1 + r)) is 1 - r^2
     x = np.clip((1 - np.where(known, r, 0.0)) * (1 + np.where(known, r, 0.0)), 0.0, 1.0)
     a = np.where(known, dof, 1.0) / 2
-    p = incomplete_beta(a, np.full_like(a, 0.5), x)
+    p = incomplete_beta(a, np.full_like(a, 0.5), x, y=np.where(known, r, 0.0)**2)
     return pd.Series(p).where(known, None)
 
 

@@ -15,17 +15,21 @@ from skybias.schemas import SERIES
 from skybias.session import work_path
 from skybias.sources import storage
 
+#: A negative reading is an error of the sensor; it must not enter a mean.
+NOT_NEGATIVE = "value IS NULL OR value >= 0"
+
 
 def job_observations(locations: DataFrame, sensors: DataFrame, measurements: DataFrame, start: str, end: str,
                      km: float = 100.0, k: int = 5) -> DataFrame:
     """Readings of the best ``k`` sensors of every location and variable, in microgram / m^3."""
+    measurements = measurements.where(NOT_NEGATIVE)
     chosen = select_sensors(locations, sensors, measurements, start, end, km, k)
     return observations_at(chosen, time_range_filter(measurements, start, end))
 
 
 def nearby_observations(locations: DataFrame, sensors: DataFrame, measurements: DataFrame) -> DataFrame:
     """Readings of all nearby sensors of the preferred grade, without a limit on their number."""
-    return observations_at(candidate_sensors(locations, sensors), homogeneous_units(measurements))
+    return observations_at(candidate_sensors(locations, sensors), homogeneous_units(measurements.where(NOT_NEGATIVE)))
 
 
 def nearby_hourly(locations: DataFrame, sensors: DataFrame, measurements: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def nearby_hourly(locations: DataFrame, sensors: DataFrame, measurements: DataFr
     once and combined map-side, and a sensor near several locations is averaged once. The unit is
     part of the key, and conversion is linear, so both can wait until after the mean.
     """
-    hourly = hourly_mean(measurements, ["sensor_id", "variable", "unit"])
+    hourly = hourly_mean(measurements.where(NOT_NEGATIVE), ["sensor_id", "variable", "unit"])
     return observations_at(candidate_sensors(locations, sensors), homogeneous_units(hourly))
 
 

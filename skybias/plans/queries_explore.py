@@ -17,21 +17,23 @@ ERRORS = [*SERIES, "data"]
 
 @query("hourly_bias", tables="processed locations", doubles="mean std", sql="""
        WITH p AS (SELECT * FROM processed JOIN locations USING (location_id)),
-            grid AS (SELECT location_id, city, unnest(range(24)) AS local_time_hour FROM (SELECT DISTINCT location_id, city FROM p))
-       SELECT location_id, city, local_time_hour, avg(bias) AS mean, stddev_samp(bias) AS std
-       FROM grid LEFT JOIN p USING (location_id, city, local_time_hour) GROUP BY ALL""")
+            grid AS (SELECT location_id, city, variable, unnest(range(24)) AS local_time_hour FROM (SELECT DISTINCT location_id, city, variable FROM p))
+       SELECT location_id, city, variable, local_time_hour, avg(bias) AS mean, stddev_samp(bias) AS std
+       FROM grid LEFT JOIN p USING (location_id, city, variable, local_time_hour) GROUP BY ALL""")
 def _(d):
     rows = d.processed_plan.join(d.locations.select(*PLACES), "location_id")
-    return explore.hourly_bias(rows, PLACES)
+    return explore.hourly_bias(rows, [*PLACES, "variable"])
 
 
-@query("pivot_city", tables="processed locations", doubles="Madrid Paris Cairo", sql="""
-       SELECT local_time_hour, avg(CASE WHEN city = 'Madrid' THEN bias END) AS "Madrid",
-              avg(CASE WHEN city = 'Paris' THEN bias END) AS "Paris", avg(CASE WHEN city = 'Cairo' THEN bias END) AS "Cairo"
-       FROM processed JOIN locations USING (location_id) GROUP BY ALL""")
+@query("pivot_city", tables="processed locations", doubles="mean", sql="""
+       WITH p AS (SELECT * FROM processed JOIN locations USING (location_id)),
+            grid AS (SELECT variable, city, unnest(range(24)) AS local_time_hour FROM (SELECT DISTINCT variable FROM p), (SELECT DISTINCT city FROM p))
+       SELECT variable, local_time_hour, city, avg(bias) AS mean FROM grid LEFT JOIN p USING (variable, city, local_time_hour) GROUP BY ALL""")
 def _(d):
     rows = d.processed.join(d.locations.select(*PLACES), "location_id")
-    return explore.pivot_city(explore.hourly_bias(rows, PLACES), ["Madrid", "Paris", "Cairo"])
+    matrix = explore.pivot_city(explore.hourly_bias(rows, [*PLACES, "variable"]))
+    # the matrix with a row per cell, as its columns depend on the table
+    return matrix.unpivot(["variable", "local_time_hour"], None, "city", "mean")
 
 
 @query("monthly_bias", tables="processed", doubles="mean std", sql="""

@@ -65,14 +65,6 @@ def _(d):
     return storage.read_measurements(d.measurements, "pm25", 20)
 
 
-@query("read_measurements_capped", tables="measurements", doubles="value", sql="""
-       SELECT sensor_id, variable, time, value, unit FROM (
-         SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY time, value) AS n FROM measurements
-         WHERE variable = 'pm25' AND value >= 0) WHERE n <= 5""")
-def _(d):
-    return storage.read_measurements(d.measurements, "pm25", 0, max_rows_per_sensor=5)
-
-
 @query("attach_elevation", tables="sensors", doubles="latitude longitude elevation", sql="""
        SELECT a.sensor_id, a.latitude, a.longitude, b.elevation FROM sensors a LEFT JOIN (
          SELECT round(latitude, 4) AS lat, round(longitude, 4) AS lon, max(sensor_id * 10.0::DOUBLE) AS elevation
@@ -252,7 +244,7 @@ def _(d):
 
 
 @query("write_corrected_forecast", tables="bias_hat processed", doubles="cams corrected", sql="""
-       SELECT b.location_id, b.variable, p.time, p.forecast AS cams, p.forecast - b.bias_hat AS corrected,
+       SELECT b.location_id, b.variable, b.init_time, p.time, p.forecast AS cams, p.forecast - b.bias_hat AS corrected,
               strftime(b.init_time, '%Y-%m-%d') AS end_date
        FROM bias_hat b JOIN processed p ON p.location_id = b.location_id AND p.variable = b.variable
         AND p.time = b.init_time + to_hours(b.horizon)""")

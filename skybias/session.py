@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -16,8 +15,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # the first n rows of a group are cut in every task before the shuffle, up to this n
-    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
 }
 
 
@@ -39,11 +36,7 @@ def build_session(app: str = "skybias", master: str | None = None, **conf: str)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (tests on one machine) a local temporary folder is used.
-    """
+    """A fresh folder below the shared ``spark.checkpoint.dir``, or below the warehouse where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="skybias-")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/skybias/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ Writes are rebalanced by their partition columns first: small partitions are mer
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skybias.functions.stats import nan_to_null
@@ -50,18 +50,10 @@ def read_sensor_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_measurements(measurements: DataFrame | str, variable: str, value_from: float = 0,
-                      max_rows_per_sensor: int | None = None, spark: SparkSession | None = None) -> DataFrame:
-    """Readings of one pollutant not below ``value_from``; the filters reach the scan.
-
-    ``max_rows_per_sensor`` is the page limit of a download: the earliest rows of each sensor.
-    """
+                      spark: SparkSession | None = None) -> DataFrame:
+    """Readings of one pollutant not below ``value_from``; the filters reach the scan."""
     df = spark.read.parquet(measurements) if isinstance(measurements, str) else measurements
-    rows = df.where((F.col("variable") == variable) & (F.col("value") >= value_from))
-    if max_rows_per_sensor is None:
-        return rows
-    order = Window.partitionBy("sensor_id", "variable").orderBy("time", "value")
-    return (rows.withColumn("_n", F.row_number().over(order))
-            .where(F.col("_n") <= max_rows_per_sensor).drop("_n"))
+    return df.where((F.col("variable") == variable) & (F.col("value") >= value_from))
 
 
 # --- forecasts ----------------------------------------------------------------------------------
@@ -169,7 +161,7 @@ def write_metric_tables(runs: DataFrame, series: DataFrame, path: str) -> None:
 
 
 def write_corrected_forecast(corrected: DataFrame, path: str) -> None:
-    """Raw and corrected forecast by variable and day."""
-    rows = corrected.select("location_id", "variable", "time", F.col("forecast").alias("cams"), "corrected",
+    """Raw and corrected forecast by variable and day; ``init_time`` tells the runs of a day apart."""
+    rows = corrected.select("location_id", "variable", "init_time", "time", F.col("forecast").alias("cams"), "corrected",
                             F.to_date("init_time").alias("end_date"))
     _write(rows, path, ["variable", "end_date"], ["location_id", "time"], dynamic=True)

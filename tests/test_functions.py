@@ -80,3 +80,17 @@ def test_nan_becomes_null_and_constant_side_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (None, 3.0)], "x DOUBLE, y DOUBLE")
     assert df.agg(pearson(F.col("x"), F.col("y"))).first()[0] is None
     assert one(spark, nan_to_null(F.lit(float("nan"))))[0] is None
+
+
+def test_p_values_of_very_long_series():
+    """At n = 1e10 the t distribution is normal: p = erfc(|t| / sqrt 2)."""
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    from skybias.operators.weighted import _p_values
+
+    n, z = 1e10, np.array([0.1, 1.0, 1.96, 3.0])
+    got = _p_values(pd.Series(z / math.sqrt(n)), pd.Series([n] * 4))
+    assert got.tolist() == pytest.approx([math.erfc(x / math.sqrt(2)) for x in z], rel=1e-8)

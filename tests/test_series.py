@@ -133,3 +133,14 @@ def test_daily_and_monthly_labels(table):
 def test_forecast_minus_bias_is_observed(table):
     df = transform.add_bias(table([(3.0, 1.0), (1.0, 4.0)], "forecast DOUBLE, observed DOUBLE"))
     assert df.where("abs(forecast - bias - observed) > 1e-12").count() == 0
+
+
+def test_negative_readings_do_not_enter_the_means(spark, table):
+    from skybias.plans.jobs import nearby_hourly
+
+    places = spark.createDataFrame([("A", 40.0, -3.0)], "location_id string, latitude double, longitude double")
+    sensors = spark.createDataFrame([(1, "no2", "reference grade", 40.0, -3.0)],
+                                    "sensor_id long, variable string, sensor_type string, latitude double, longitude double")
+    rows = table([(1, "no2", "2020-01-01 00:10:00", 10.0, "µg/m³"), (1, "no2", "2020-01-01 00:20:00", -999.0, "µg/m³")],
+                 "sensor_id LONG, variable STRING, time TIMESTAMP, value DOUBLE, unit STRING")
+    assert [r.value for r in nearby_hourly(places, sensors, rows).collect()] == [10.0]
