@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skybias.llm.registry import query
 from skybias.llm.tables import table
-from skybias.llm.tokens import END_OF_TEXT, Encoder, default_path
+from skybias.llm.tokens import END_OF_TEXT, default_path, encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
@@ -112,10 +112,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, max_se
     limit = size if max_loss_tokens is None else max_loss_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(path), Packer(size, max_segments, limit, window, TaskContext.get().partitionId() << 40)
+        coder, packer = encoder(path), Packer(size, max_segments, limit, window, TaskContext.get().partitionId() << 40)
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for a, b, ids, first in encoder.encode(batch.column("text")):
+            for a, b, ids, first in coder.encode(batch.column("text")):
                 done = []
                 for i in range(b - a):
                     own = np.append(ids[first[i]:first[i + 1]], np.uint32(END_OF_TEXT))

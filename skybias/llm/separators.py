@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from skybias.llm.registry import query
 from skybias.llm.tables import stored, table
-from skybias.llm.tokens import Encoder, default_path
+from skybias.llm.tokens import default_path, encoder
 
 #: The tokenizer's own end-of-text id, which no text contains.
 SEPARATOR = 49407
@@ -32,7 +32,7 @@ def write_blocks(docs: DataFrame, tokenizer: str | None = None, block_tokens: in
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, size, block, file = Encoder(path), [], 0, 0, TaskContext.get().partitionId()
+        coder, held, size, block, file = encoder(path), [], 0, 0, TaskContext.get().partitionId()
 
         def cut(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, block
@@ -45,7 +45,7 @@ def write_blocks(docs: DataFrame, tokenizer: str | None = None, block_tokens: in
             held, size = [flat[end:]], len(flat) - end
 
         for batch in batches:
-            for _, _, ids, first in encoder.encode(batch.column("text")):
+            for _, _, ids, first in coder.encode(batch.column("text")):
                 flat = np.insert(ids, first[1:], SEPARATOR)
                 if flat.max(initial=0) >= 1 << 16:
                     raise ValueError("ids of 16 bits are asked for; the tokenizer's vocabulary is larger")
