@@ -15,7 +15,7 @@ broadcast has a fixed bound: scoring makes one pass over the documents for each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from skybias.llm.tables import stored, table, text_of
 
 #: The token that ends each text and precedes its first word.
 END = np.uint64(0x5851F42D4C957F2D)
-PROBES, BITS_PER_ENTRY, RATIO, SALTS = 8, 12, 1.5, 16
-FLUSH_TOKENS = 1 << 21
+PROBES, BITS_PER_ENTRY, RATIO, SALTS, PART_MB = 8, 12, 1.5, 16, 12
+FLUSH_TOKENS = 1 << 20
 U64, SLICE_WORDS = np.uint64, 1 << 22
 
 
@@ -206,21 +206,21 @@ def _contexts(slices: int):
 
 
 class Filter:
-    """The segments of one wave, as one array of bytes."""
+    """The segments (kind, slice, bucket, bits) of one wave, ``size`` bytes in all, as one array."""
 
-    def __init__(self, segments: list, buckets: int, slices: int, low: int, high: int):
+    def __init__(self, segments: Iterable[tuple], size: int, buckets: int, slices: int, low: int, high: int):
         self.buckets, self.slices, self.low, self.high = buckets, slices, low, high
         self.start, self.width = np.zeros((2, 2 * slices * buckets), np.int64)
-        at = 0
-        for kind, s, bucket, data in segments:
+        self.data, at = np.zeros(size, np.uint8), 0
+        for kind, s, bucket, bits in segments:
             i = ((kind - 1) * slices + s) * buckets + bucket
-            self.start[i], self.width[i] = at, len(data) * 8
-            at += len(data)
-        self.data = b"".join(x[3] for x in segments)
+            self.start[i], self.width[i] = at, len(bits) * 8
+            self.data[at:at + len(bits)] = np.frombuffer(bits, np.uint8)
+            at += len(bits)
 
     def level(self, kind: int, part: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Level of each key: probes go on until one finds nothing."""
-        data = np.frombuffer(self.data, np.uint8)
+        data = self.data
         i = (((kind - 1) * self.slices + part.astype(np.int64)) * self.buckets + bucket.astype(np.int64))
         start, width = self.start[i], self.width[i]
         found = np.zeros(len(key), np.int64)
@@ -303,7 +303,7 @@ def _scorer(shared, first_wave: bool):
     return score
 
 
-def fit(docs: DataFrame, head_words: int = 1 << 20, bucket_words: int = 1 << 20) -> dict:
+def fit(docs: DataFrame, head_words: int = 1 << 20, bucket_words: int = 1 << 19) -> dict:
     """Count the words and bigrams of ``docs`` (column text) and build the filter's segments, all as stored tables."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(SALTS, -(-size // (6 * bucket_words)))
@@ -338,29 +338,36 @@ def _repacked(batches):
         yield pa.record_batch([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("word", "n")], ["word", "n"])
 
 
-def waves(model: dict, wave_mb: int) -> Iterator[tuple[int, int]]:
-    """Ranges of slices whose segments have at most ``wave_mb`` together (a single slice has about 4 M tokens)."""
+def waves(model: dict, wave_mb: int) -> Iterator[tuple[int, int, int]]:
+    """Ranges of slices and their bytes, whose segments have at most ``wave_mb`` together (a single slice has about 4 M tokens)."""
     rows = model["segments"].groupBy("slice").agg(F.sum(F.octet_length("a")).alias("b")).orderBy("slice").collect()
     sizes, low, held = {r["slice"]: r["b"] for r in rows}, 0, 0
     for s in range(model["slices"]):
         if held and held + sizes.get(s, 0) > wave_mb << 20:
-            yield low, s
+            yield low, s, held
             low, held = s, 0
         held += sizes.get(s, 0)
-    yield low, model["slices"]
+    yield low, model["slices"], held
 
 
-def score(docs: DataFrame, model: dict, wave_mb: int = 128) -> DataFrame:
+def _segments(model: dict, low: int, high: int, size: int) -> Iterator[tuple]:
+    """The segments of a wave, fetched in parts of about ``PART_MB``."""
+    rows = model["segments"].where(F.col("slice").between(low, high - 1)).select("kind", "slice", "bucket", "a")
+    parts = -(-size // (PART_MB << 20))
+    for k in range(parts):
+        for r in rows.where(F.col("bucket") % parts == k).collect():
+            yield r["kind"], r["slice"], r["bucket"], r["a"]
+
+
+def score(docs: DataFrame, model: dict, wave_mb: int = 64) -> DataFrame:
     """Score ``docs`` (doc_id, held_out, text) with a fitted model: one row per row, in any order.
 
     A null text is empty and has one token, its end. Repeated rows are scored alike; rows with a null doc_id too. With an empty
     training set every probability is that of the unknown word.
     """
     spark, head, partial = docs.sparkSession, model["head"], []
-    for low, high in waves(model, wave_mb):
-        rows = model["segments"].where(F.col("slice").between(low, high - 1)).select("kind", "slice", "bucket", "a").collect()
-        lm = Filter([(r["kind"], r["slice"], r["bucket"], bytes(r["a"])) for r in rows], model["buckets"], model["slices"], low, high)
-        del rows
+    for low, high, size in waves(model, wave_mb):
+        lm = Filter(_segments(model, low, high, size), size, model["buckets"], model["slices"], low, high)
         shared = spark.sparkContext.broadcast((head, lm))
         schema = "_row long, score double"
         if not partial:

@@ -90,7 +90,8 @@ def test_language_model(spark, corpus, head):
 def test_filter_finds_what_it_holds():
     keys = texts.mix(np.arange(1, 3001, dtype=np.uint64))
     level = np.arange(3000) % 9 + 1
-    lm = bloom_lm.Filter([(1, 0, 0, bloom_lm._segment(keys, level))], 1, 1, 0, 1)
+    bits = bloom_lm._segment(keys, level)
+    lm = bloom_lm.Filter([(1, 0, 0, bits)], len(bits), 1, 1, 0, 1)
     zero = np.zeros(3000, np.uint64)
     assert (lm.level(1, zero, zero, keys) >= level).all() and (lm.level(1, zero, zero, keys) == level).mean() > 0.98
     assert (lm.level(1, zero, zero, keys + np.uint64(1)) > 0).mean() < 0.02
