@@ -106,21 +106,23 @@ def with_next(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, fraction: flo
     doc_id has no place in the order; its next text is empty.
     """
     docs = docs.select("doc_id", text_of().alias("text")).withColumn("chunk", F.shiftright("doc_id", CHUNK_BITS))
-    placed = docs.where("doc_id IS NOT NULL")
+    placed = docs.where("doc_id IS NOT NULL AND chunk IS NOT NULL")
     chunks = _next_chunks(placed.groupBy("chunk").agg(F.max("doc_id").alias("top")))
-    sketched = with_sketch(placed, "text", "sketch", shingle_words, fraction, least)
+    # the text travels alone and once: sketches are taken behind the exchange, which both branches read
+    dealt = placed.repartition("chunk")
     order = Window.partitionBy("chunk").orderBy(F.desc("doc_id"), "text")
-    rows = sketched.withColumn("next", F.lead(F.struct("text", "sketch")).over(order))
-    tops = placed.join(chunks.select(F.col("top").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = with_sketch(dealt, "text", "sketch", shingle_words, fraction, least)
+    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order))
+    tops = dealt.withColumn("place", F.row_number().over(order)).where("place = 1").select("doc_id", "text")
     heads = with_sketch(tops, "text", "sketch", shingle_words, fraction, least).select(
         F.col("doc_id").alias("next_id"), F.struct("text", "sketch").alias("head"))
-    heads = chunks.join(heads, "next_id").select("chunk", "head")
-    done = rows.where("next IS NOT NULL").select("doc_id", "text", "sketch", "next")
-    last = rows.where("next IS NULL").join(heads, "chunk").select("doc_id", "text", "sketch", F.col("head").alias("next"))
+    heads = chunks.join(heads, "next_id").select(F.col("chunk").alias("last_of"), "head")
+    done = rows.join(heads, (F.col("chunk") == F.col("last_of")) & F.col("next").isNull(), "left")
+    done = done.select("doc_id", "text", "sketch", F.coalesce("next", "head").alias("next"))
     loose = with_sketch(docs.where("doc_id IS NULL").withColumn("none", F.lit("")), "text", "sketch", shingle_words, fraction, least)
     loose = with_sketch(loose, "none", "empty", shingle_words, fraction, least).select(
         "doc_id", "text", "sketch", F.struct(F.col("none").alias("text"), F.col("empty").alias("sketch")).alias("next"))
-    return done.unionByName(last).unionByName(loose)
+    return done.unionByName(loose)
 
 
 def edit_and_compare(docs: DataFrame) -> DataFrame:
