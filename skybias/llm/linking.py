@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges, found = stored(edges, "edges"), None
-    while True:
+    while found is None or not edges.isEmpty():
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = stored(ends.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("component")), "parents")
         if found is None:
@@ -37,12 +37,20 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             up = parent.select(F.col("id").alias("component"), F.col("component").alias("up"))
             found = stored(found.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "components")
-        if edges.isEmpty():
-            return found
         low = parent.select(F.col("id").alias("a"), F.col("component").alias("x"))
         high = parent.select(F.col("id").alias("b"), F.col("component").alias("y"))
         moved = edges.join(low, "a").join(high, "b").where("x <> y")
         edges = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    return found
+
+
+def extended(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """``label`` (id, component) after ``edges`` (a, b) are added: only those between components are followed."""
+    rows = _labelled(_labelled(edges, label, "a", "x"), label, "b", "y").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    up = components(rows)
+    moved = label.join(up.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left")
+    moved = moved.select("id", F.coalesce("up", "component").alias("component"))
+    return stored(moved.unionByName(up.join(label.select("id"), "id", "left_anti").select("id", "component")), "components")
 
 
 def _lead(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,9 +124,8 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], buckets: in
     pair = [F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")]
     tried = stored(star.select(*pair).distinct(), "pairs")
     edges = stored(verify(tried), "links")
-    keyed = None
+    keyed, label = None, components(edges)
     for step in range(rounds + 1):
-        label = components(edges)
         if keyed is None:
             failed = tried.join(edges, ["a", "b"], "left_anti")
             failed = _labelled(_labelled(failed, label, "a", "x"), label, "b", "y").where("x <> y").select("a", "b")
@@ -139,11 +146,10 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], buckets: in
             other = keyed.select("key", F.col("id").alias("leader"), F.col("label").alias("led"))
             new = keyed.join(other, "key").where("id < leader AND label <> led").select(*pair).distinct()
         new = stored(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        edges = stored(edges.unionByName(verify(new)), "links")
-        tried = tried.unionByName(new)
-        keyed = keyed.drop("label")
-    else:
-        label = components(edges)
+        tried, keyed = tried.unionByName(new), keyed.drop("label")
+        if not new.isEmpty():
+            linked = stored(verify(new), "links")
+            edges, label = edges.unionByName(linked), extended(label, linked)
     return edges, label
 
 

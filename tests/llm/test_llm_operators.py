@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from skybias.llm import bloom_lm, embedding_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, separators, texts, tokens, toxicity
-from skybias.llm.linking import components, link
+from skybias.llm.linking import components, extended, link
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -242,6 +242,28 @@ def test_mixing(spark, corpus):
     assert mixing.with_copies(docs.limit(0)).collect() == []
 
 
+def test_components_with_edges_added(spark):
+    rng = np.random.default_rng(3)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 60, (34, 2))]
+
+    def plain(edges):
+        found = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in found:
+            for a, b in edges:
+                if a != b:
+                    found[a] = found[b] = min(found[a], found[b])
+        return found
+
+    def label(rows):
+        return sorted((r.id, r.component) for r in rows.collect())
+
+    first, rest = (spark.createDataFrame(x, "a long, b long") for x in (pairs[:20], pairs[20:]))
+    one = components(first)
+    assert label(one) == sorted(plain(pairs[:20]).items())
+    assert label(extended(one, rest)) == sorted(plain(pairs).items())
+    assert label(extended(one, rest.where("false"))) == label(one)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 8))
