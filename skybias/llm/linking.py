@@ -18,17 +18,45 @@ from pyspark.sql import functions as F
 from skybias.llm import texts
 from skybias.llm.tables import stored
 
-POSTINGS_HELD, LEADER_ROUNDS = 1 << 21, 2
+POSTINGS_HELD, LEADER_ROUNDS, EDGES_PER_BLOCK = 1 << 21, 2, 1 << 20
 PAIRS = "id long, leader long, key long"
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union-find over the edges (a, b): every id, and the smallest id it reaches."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, parent = place[:len(a)], place[len(a):], np.arange(len(ids))
+    while len(x):
+        rx, ry = parent[x], parent[y]
+        apart = rx != ry
+        x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+        np.minimum.at(parent, np.maximum(rx, ry), np.minimum(rx, ry))
+        while not np.array_equal(parent, parent[parent]):
+            parent = parent[parent]
+    return ids, ids[parent]
+
+
+def _joined(group: pa.Table) -> pa.Table:
+    ids, root = _forest(group.column("a").to_numpy(), group.column("b").to_numpy())
+    return pa.table([pa.array(ids), pa.array(root)], ["id", "component"])
+
+
+def components(edges: DataFrame, block: int = EDGES_PER_BLOCK) -> DataFrame:
     """(id, component) of every end of an edge (a, b): the smallest id that can be reached.
 
-    Each round hangs every id below its smallest neighbour and contracts the edges; the number of ids at least halves.
+    Blocks of at most about ``block`` edges are joined by union-find, each in a task of its own; the forests that they leave are joined
+    over all blocks. There each round hangs every id below its smallest neighbour and contracts the edges; the number of ids at
+    least halves. One block needs no such round.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, found = stored(edges, "edges"), None
+    edges = stored(edges, "edges")
+    blocks = max(1, -(-edges.count() // block))
+    number = F.pmod(F.xxhash64("a", "b"), F.lit(blocks)).alias("block")
+    forest = stored(edges.groupBy(number).applyInArrow(_joined, "id long, component long"), "forest")
+    if blocks == 1:
+        return forest
+    edges = stored(forest.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).distinct(), "edges")
+    found = None
     while found is None or not edges.isEmpty():
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = stored(ends.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("component")), "parents")
@@ -108,9 +136,9 @@ def stars(items: DataFrame, buckets: int) -> DataFrame:
 def _exploded(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, k in zip(batch.column("id").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                keys = np.frombuffer(k, np.int64)
-                yield pa.record_batch([pa.array(np.full(len(keys), i)), pa.array(keys)], ["id", "key"])
+            keys = batch.column("keys").to_pylist()
+            each = np.fromiter((len(k) // 8 for k in keys), np.int64, len(keys))
+            yield pa.record_batch([pa.array(np.repeat(batch.column("id").to_numpy(), each)), pa.array(np.frombuffer(b"".join(keys), np.int64))], ["id", "key"])
 
     return items.select("id", "keys").mapInArrow(run, "id long, key long")
 

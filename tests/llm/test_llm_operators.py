@@ -128,7 +128,8 @@ def test_links_between_components_that_leaders_miss(spark):
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(90, 80), (7, 7)], "a long, b long")
-    assert {r.id: r.component for r in components(edges).collect()} == {**dict.fromkeys(range(51), 0), 80: 80, 90: 80}
+    for block in (1 << 20, 8):
+        assert {r.id: r.component for r in components(edges, block).collect()} == {**dict.fromkeys(range(51), 0), 80: 80, 90: 80}
 
 
 def test_line_dedup(spark):
