@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from skybias.llm import minhash, texts
 from skybias.llm.linking import link
+from skybias.llm.prefixes import prefix_keys
 from skybias.llm.registry import query
 from skybias.llm.tables import stored, table, text_of
 
@@ -47,6 +48,14 @@ def _signed(chars: int):
     return run
 
 
+def _sets(chars: int):
+    def run(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for a, b, value, offsets in minhash.char_shingles(column, chars):
+            yield a, b, *texts.distinct(value, np.repeat(np.arange(b - a), np.diff(offsets)), b - a)
+
+    return run
+
+
 def _confirmed(chars: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +90,11 @@ def kept_lines(docs: DataFrame, chars: int = SHINGLE_CHARS, threshold: float = T
             pairs = pairs.join(text.select(F.col("id").alias(side), F.col("line").alias(f"t{side}")), side)
         return pairs.mapInArrow(_confirmed(chars, threshold), "a long, b long")
 
-    _, label = link(items, verify, max(1, -(-n // LINES_PER_BUCKET)))
+    def refine(ids: DataFrame) -> DataFrame:
+        text = lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("text"))
+        return prefix_keys(stored(text, "apart"), _sets(chars), threshold)
+
+    _, label = link(items, verify, refine, threshold, max(1, -(-n // LINES_PER_BUCKET)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "id")).alias("f")
     # first place of every line, then of every component
     line = places.groupBy("id").agg(first).join(label, "id", "left").select(F.coalesce("component", "id").alias("component"), "f.*")

@@ -2,8 +2,8 @@
 
 ``stars`` gathers, for every key, its smallest item (the leader) and pairs each other item with it. A task first does so among its own
 items and sends one item per key on, so a key that a third of all items share is no larger than the number of tasks. A verified pair
-links. Keys whose items are not in one component then are looked at again, with other leaders and at last pair by pair between
-different components, so no link between components is lost.
+links. Keys whose items are not in one component then are looked at again with other leaders. The items that are still apart get new keys,
+of a prefix filter, and are compared pair by pair under them if their components differ, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -143,10 +143,12 @@ def _exploded(items: DataFrame) -> DataFrame:
     return items.select("id", "keys").mapInArrow(run, "id long, key long")
 
 
-def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], buckets: int, rounds: int = LEADER_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], threshold: float, buckets: int,
+         rounds: int = LEADER_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(edges a, b; components id, component) of ``items`` (id, keys), linked where ``verify`` says so.
 
-    ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links.
+    ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links. ``refine`` takes ids and returns (id, key, size): keys of
+    which linked items share one, and the sizes of the sets, which links hold within ``threshold`` of each other.
     """
     star = stored(stars(items, buckets), "stars")
     pair = [F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")]
@@ -171,8 +173,12 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], buckets: in
             leaders = keyed.groupBy("key").agg(F.min(F.struct(draw.alias("h"), F.col("id").alias("leader"), F.col("label").alias("led"))).alias("s"))
             new = keyed.join(leaders.select("key", "s.leader", "s.led"), "key").where("label <> led").select(*pair).distinct()
         else:
-            other = keyed.select("key", F.col("id").alias("leader"), F.col("label").alias("led"))
-            new = keyed.join(other, "key").where("id < leader AND label <> led").select(*pair).distinct()
+            finer = _labelled(stored(refine(keyed.select("id").distinct()), "prefixes"), label, "id", "label")
+            shared = finer.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+            finer = stored(finer.join(shared, "key", "left_semi"), "finer")
+            other = finer.select("key", F.col("id").alias("leader"), F.col("label").alias("led"), F.col("size").alias("other"))
+            close = (F.col("size") >= threshold * F.col("other") - 1e-6) & (F.col("other") >= threshold * F.col("size") - 1e-6)
+            new = finer.join(other, "key").where("id < leader AND label <> led").where(close).select(*pair).distinct()
         new = stored(new.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried, keyed = tried.unionByName(new), keyed.drop("label")
         if not new.isEmpty():

@@ -1,0 +1,72 @@
+"""Prefix filter: keys under which no two similar sets miss each other, and which common shingles don't crowd.
+
+Every set is put in one order for all sets, rare shingles first. Two sets with a Jaccard similarity of ``threshold`` share a shingle among the
+first n - ceil(threshold * n) + 1 of each. That holds for any order, so the table of common shingles that sorts them may be
+bounded: it decides how many sets meet under a key, never whether similar ones do.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+COMMON_SHINGLES, VALUES_HELD = 1 << 18, 1 << 21
+Sets = Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]
+
+
+def _repeated(sets: Sets):
+    """Shingles that more than one set of a task holds, and their number there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.record_batch([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
+
+        for batch in batches:
+            for _, _, value, _ in sets(batch.column("text")):
+                held.append(value.astype(np.uint64))
+                size += len(value)
+                if size >= VALUES_HELD:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _first(sets: Sets, threshold: float, common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = common.value
+        for batch in batches:
+            for a, b, value, offsets in sets(batch.column("text")):
+                value, size = value.astype(np.uint64), np.diff(offsets)
+                row = np.repeat(np.arange(b - a), size)
+                at = np.minimum(np.searchsorted(known, value), max(len(known) - 1, 0))
+                n = np.where(known[at] == value, count[at], 0) if len(known) else np.zeros(len(value), np.int64)
+                order = np.lexsort((value, n, row))
+                length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+                keep = order[np.arange(len(order)) - offsets[:-1][row] < length[row]]
+                ids = batch.column("id").slice(a, b - a).to_numpy()
+                yield pa.record_batch([pa.array(ids[row[keep]]), pa.array(value[keep].view(np.int64)), pa.array(size[row[keep]].astype(np.int64))], ["id", "key", "size"])
+
+    return run
+
+
+def prefix_keys(rows: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+    """(id, key, size) of ``rows`` (id long, text): the keys of each text's set, and the number of shingles in it.
+
+    ``sets`` gives the distinct shingles of each text of a column. Null and empty texts have no keys.
+    """
+    counts = rows.select("text").mapInArrow(_repeated(sets), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "key").limit(COMMON_SHINGLES).toArrow()
+    known, count = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(known)
+    common = rows.sparkSession.sparkContext.broadcast((known[order], count[order]))
+    return rows.select("id", "text").mapInArrow(_first(sets, threshold, common), "id long, key long, size long")

@@ -8,9 +8,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from skybias.llm import bloom_lm, embedding_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, separators, texts, tokens, toxicity
+from skybias.llm import bloom_lm, embedding_dedup, fingerprints, licenses, line_dedup, minhash, mixing, near_dedup, packing, separators, texts, tokens, toxicity
 from skybias.llm.linking import components, extended, link
+from skybias.llm.prefixes import prefix_keys
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -121,11 +123,27 @@ def test_near_duplicates_of_odd_tables(spark):
 def test_links_between_components_that_leaders_miss(spark):
     """One key for all, and links only between neighbours: leaders alone can't find them."""
     items = spark.createDataFrame([(i, np.array([5], np.uint64).tobytes()) for i in range(40)], "id long, keys binary")
-    edges, label = link(items, lambda pairs: pairs.where("b - a = 1 AND a % 10 <> 9"), 2)
+    neighbours = "id", F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("key"), F.lit(1).cast("long").alias("size")
+    edges, label = link(items, lambda pairs: pairs.where("b - a = 1 AND a % 10 <> 9"), lambda ids: ids.select(*neighbours), 0.8, 2)
     assert edges.distinct().count() == 36
     assert {r.id: r.component for r in label.collect()} == {i: i // 10 * 10 for i in range(40)}
 
 
+def test_prefixes_of_similar_sets_meet(spark):
+    rng = np.random.default_rng(4)
+    common = [f"p{i}" for i in range(20)]
+    texts_ = [" ".join(common + [f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 9))]) for _ in range(80)] + [None, "", "one"]
+    rows = spark.createDataFrame(list(enumerate(texts_)), "id long, text string").repartition(3)
+    keys, sizes = collections.defaultdict(set), {}
+    for r in prefix_keys(rows, lambda column: minhash.word_sets(column, 2), 0.8).collect():
+        keys[r.id].add(r.key)
+        sizes[r.id] = r.size
+    sets = {i: set(zip(t.split(), t.split()[1:])) or {t} for i, t in enumerate(texts_) if t}
+    assert sizes == {i: len(s) for i, s in sets.items()}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert close and all(keys[a] & keys[b] for a, b in close)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(90, 80), (7, 7)], "a long, b long")
     for block in (1 << 20, 8):
