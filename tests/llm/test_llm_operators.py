@@ -311,3 +311,38 @@ def test_license_scan(spark):
     got = {r.path: (r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string").selectExpr("*", "1 AS license")).collect()}
     assert got == {"a/LICENSE": ("MIT", None), "a/b/x.txt": ("MIT", "a"), "a/b/c/LICENSE": ("Apache-2.0", None), "a/b/c/d/y.txt": ("Apache-2.0", "a/b/c"),
                    "z/y.txt": (None, None), "z/gpl.txt": ("GPL-3.0", None), None: (None, None)}
+
+
+def test_licenses_by_their_headers_and_texts(spark):
+    """Real texts, in comments, wrapped, with other holders and between other lines; none of them is a sentence of the tables."""
+    known = {(t.name, t.kind, len(t.text) > 150): t.text for t in licenses.common_templates()}
+    gpl, mit, bsd = known["GPL-3.0", "header", True], known["MIT", "file", True], known["BSD-2-Clause", "file", True]
+    apache, agpl = known["Apache-2.0", "header", True], known["AGPL-3.0", "header", True]
+    assert "Permission is hereby granted, free of charge" in mit and "TERMS AND CONDITIONS" in known["GPL-3.0", "file", True]
+    code = "\n".join(f"def f{i}(x): return x + {i}" for i in range(300))
+    rows = [("p/gpl.py", "#!/usr/bin/env python\n" + "\n".join(f"# {x}" for x in gpl.split("\n")) + "\n" + code),
+            ("p/apache.js", "/*\n * Copyright 2020 Someone\n *\n" + "\n".join(f" * {x}" for x in apache.split("\n")) + " */\n" + code),
+            ("p/agpl.c", "\n".join(f"// {x}" for x in agpl.split("\n")) + "\n" + code),
+            ("p/wrapped.py", code + "\n# Released under\n# the MIT License.\n" + code),
+            ("q/LICENSE-MIT", "The MIT License (MIT)\n\nCopyright (c) 1999 A. Nother, all of them\n\n" + mit.split("\n\n", 1)[1].replace("THE SOFTWARE IS", "THIS SOFTWARE IS")),
+            ("q/x.py", code), ("r/bsd.h", "/*\n" + "\n".join(f" * {x}" for x in bsd.split("\n")) + " */\n" + code),
+            ("s/COPYING.txt", known["GPL-3.0", "file", True].replace("2007", "2007,")), ("s/license.py", code), ("s/t/y.py", code), ("u/license.py", mit), ("u/z.py", code),
+            *((f"w/{i}.txt", prose(i, 80)) for i in range(40))]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.license, r.inherited_from) for r in licenses.scan(files).collect() if not r.path.startswith("w/")}
+    assert got == {"p/gpl.py": ("GPL-3.0", None), "p/apache.js": ("Apache-2.0", None), "p/agpl.c": ("AGPL-3.0", None), "p/wrapped.py": ("MIT", None),
+                   "q/LICENSE-MIT": ("MIT", None), "q/x.py": ("MIT", "q"), "r/bsd.h": ("BSD-2-Clause", None), "s/COPYING.txt": ("GPL-3.0", None),
+                   "s/license.py": ("GPL-3.0", "s"), "s/t/y.py": ("GPL-3.0", "s"), "u/license.py": ("MIT", None), "u/z.py": (None, None)}
+    own = [licenses.Template("House-1", "header", "internal use of the house only")]
+    rows = [("a", "For internal use of the house only\nmore"), ("b", mit)]
+    got = licenses.own_licenses(spark.createDataFrame(rows, "path string, text string"), templates=own).collect()
+    assert {r.path: r.license for r in got} == {"a": "House-1", "b": None}
+
+
+def test_square_norms_of_windows():
+    rng = np.random.default_rng(0)
+    word = rng.integers(0, 9, 60).astype(np.uint64)
+    square = (word.astype(float) + 1) / 3
+    for size in (1, 7, 59, 60, 90):
+        want = [sum(n * n * (float(w) + 1) / 3 for w, n in collections.Counter(word[i:i + size].tolist()).items()) for i in range(60)]
+        assert licenses._square_norms(word, square, size) == pytest.approx(want)
