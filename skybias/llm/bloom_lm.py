@@ -6,11 +6,12 @@ reader probes level after level until one is missing. The filter holds bigram co
 
     P(w | v) = (c(v, w) + d(v) * P1(w)) / (C(v) + d(v))
 
-P1 is the add-one estimate; all words outside the ``head_words`` most frequent ones share the rest of its mass equally.
+P1 is the add-one estimate from the word's own count.
 
 The filter is cut into segments. Contexts are dealt to slices, and consecutive slices form waves of at most ``wave_mb``, so a
-broadcast has a fixed bound: scoring makes one pass over the documents for each wave and adds up. The exact counts of the
-``base_score`` come from the head (broadcast, at most ``head_words`` entries) and from a join for all other words.
+broadcast has a fixed bound: scoring makes one pass over the documents for each wave and adds up. The exact counts of words, for P1
+and for ``base_score``, come from the head (broadcast, at most ``head_words`` entries) and from a join for all other words: a token
+outside the head leaves its wave as (word, a, b) with P = a + b * P1(word).
 """
 
 from __future__ import annotations
@@ -236,8 +237,8 @@ class Filter:
             found[alive] = level
         return found
 
-    def probabilities(self, v: np.ndarray, w: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        """P(w | v) for tokens whose context lies in this wave."""
+    def mixtures(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """a and b with P(w | v) = a + b * P1(w), for tokens whose context lies in this wave."""
         values = np.concatenate([[0], LEVELS])
         pair, at, back = np.unique(pair_keys(v, w), return_index=True, return_inverse=True)
         pv = v[at]
@@ -249,17 +250,15 @@ class Filter:
         known = (total > 0) & (followers > 0)
         c = np.minimum(c, total)
         with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(known, (c + followers * p1) / (total + followers), p1)
+            return np.where(known, c / (total + followers), 0.0), np.where(known, followers / (total + followers), 1.0)
 
 
 class Head:
-    """Counts of the most frequent words, and what all others share."""
+    """Counts of the most frequent words; ``n`` tokens and ``v`` different words in all."""
 
     def __init__(self, word: np.ndarray, count: np.ndarray, n: int, v: int):
         order = np.argsort(word)
         self.word, self.count, self.n, self.v = word[order], count[order], n, v
-        rest = (n - int(count.sum())) + (v - len(word)) + 1
-        self.other = rest / (n + v + 1) / (v - len(word) + 1)
 
     def counts(self, w: np.ndarray) -> np.ndarray:
         """Count of each word, -1 outside the head."""
@@ -269,7 +268,7 @@ class Head:
         return np.where(self.word[at] == w, self.count[at], -1)
 
     def p1(self, count: np.ndarray) -> np.ndarray:
-        return np.where(count >= 0, (count + 1) / (self.n + self.v + 1), self.other)
+        return (count + 1) / (self.n + self.v + 1)
 
 
 def _scorer(shared, first_wave: bool):
@@ -279,22 +278,22 @@ def _scorer(shared, first_wave: bool):
         for batch in batches:
             for a, b, token, first in tokens(batch):
                 v, count = previous(token), head.counts(token)
-                part = slices_of(v, lm.slices)
-                mine = (part >= lm.low) & (part < lm.high)
+                known, part = count >= 0, slices_of(v, lm.slices)
+                mine = np.flatnonzero((part >= lm.low) & (part < lm.high))
                 log = np.zeros(len(token))
-                if mine.any():
-                    log[mine] = np.log10(lm.probabilities(v[mine], token[mine], head.p1(count[mine])))
-                model = np.add.reduceat(log, first[:-1])
-                columns = {"_row": pa.array(np.arange(row_id, row_id + b - a)), "score": pa.array(model)}
+                own, share = lm.mixtures(v[mine], token[mine])
+                here = known[mine]
+                log[mine[here]] = np.log10(own[here] + share[here] * head.p1(count[mine[here]]))
+                at = mine[~here]
+                offsets = pa.array(np.searchsorted(at, first).astype(np.int32))
+                lists = {"word": token[at].view(np.int64), "a": own[~here], "b": share[~here]}
+                columns = {"_row": pa.array(np.arange(row_id, row_id + b - a)), "score": pa.array(np.add.reduceat(log, first[:-1])),
+                           "other": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in lists.values()], list(lists)))}
                 if first_wave:
-                    known = count >= 0
-                    base = np.where(known, np.log10((np.maximum(count, 0) + 1) / (head.n + head.v + 1)), 0.0)
-                    at = np.flatnonzero(~known)
-                    offsets = np.searchsorted(at, first).astype(np.int32)
+                    base = np.where(known, np.log10(head.p1(np.maximum(count, 0))), 0.0)
                     columns |= {
                         "n_tokens": pa.array(np.diff(first).astype(np.int64)), "n_head": pa.array(np.add.reduceat(known.astype(np.int64), first[:-1])),
-                        "base": pa.array(np.add.reduceat(base, first[:-1])),
-                        "other": pa.ListArray.from_arrays(pa.array(offsets), pa.array(token[at].view(np.int64)))}
+                        "base": pa.array(np.add.reduceat(base, first[:-1]))}
                     keep = batch.slice(a, b - a)
                     columns = {c: keep.column(c) for c in ("doc_id", "held_out")} | columns
                 row_id += b - a
@@ -369,23 +368,26 @@ def score(docs: DataFrame, model: dict, wave_mb: int = 64) -> DataFrame:
     for low, high, size in waves(model, wave_mb):
         lm = Filter(_segments(model, low, high, size), size, model["buckets"], model["slices"], low, high)
         shared = spark.sparkContext.broadcast((head, lm))
-        schema = "_row long, score double"
+        schema = "_row long, score double, other array<struct<word: long, a: double, b: double>>"
         if not partial:
-            schema = "doc_id long, held_out boolean, _row long, score double, n_tokens long, n_head long, base double, other array<long>"
+            schema = f"doc_id long, held_out boolean, {schema}, n_tokens long, n_head long, base double"
         partial.append(stored(docs.select("doc_id", "held_out", "text").mapInArrow(_scorer(shared, not partial), schema), "scores"))
         del lm
         shared.destroy()
-    scored = partial[0]
+    scored, others = partial[0].drop("other"), partial[0].select("_row", "other")
     for other in partial[1:]:
-        scored = scored.join(other.withColumnRenamed("score", "more"), "_row", "left").withColumn("score", F.col("score") + F.col("more")).drop("more")
-    # the words outside the head, counted per row first
-    rest = (scored.select("_row", F.explode("other").alias("word")).groupBy("_row", "word").count()
+        scored = scored.join(other.select("_row", F.col("score").alias("more")), "_row", "left").withColumn("score", F.col("score") + F.col("more")).drop("more")
+        others = others.unionByName(other.select("_row", "other"))
+    # the words outside the head, counted per row first; each token is in the list of the wave of its context
+    p1 = (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(head.n + head.v + 1))
+    rest = (others.select("_row", F.inline("other")).groupBy("_row", "word", "a", "b").count()
             .join(model["words"].where(F.col("n") < model["limit"]), "word", "left")
-            .groupBy("_row").agg(F.sum(F.col("count") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(head.n + head.v + 1)))).alias("rest"),
+            .groupBy("_row").agg(F.sum(F.col("count") * F.log10(p1)).alias("rest"), F.sum(F.col("count") * F.log10(F.col("a") + F.col("b") * p1)).alias("rest_score"),
                                  F.sum(F.when(F.col("n") > 0, F.col("count")).otherwise(0)).alias("more")))
     return scored.join(rest, "_row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(head.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+        F.lit(head.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"))
 
 
 @query("op2_lm_scoring")

@@ -89,6 +89,21 @@ def test_language_model(spark, corpus, head):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen) and all(r.score <= 0 for r in got.values())
 
 
+@pytest.mark.parametrize("slice_words", [bloom_lm.SLICE_WORDS, 300])
+def test_language_model_beyond_the_head(spark, corpus, monkeypatch, slice_words):
+    """The head is a cache: scores are the same when most words' counts lie outside it, over one wave and over several."""
+    monkeypatch.setattr(bloom_lm, "SLICE_WORDS", slice_words)
+    docs = corpus[0].selectExpr("doc_id", "coalesce(text, '') AS text", "doc_id % 5 = 0 AS held_out")
+    scores = []
+    for head in (1 << 20, 50, 0):
+        model = bloom_lm.fit(docs.where("NOT held_out"), head_words=head, bucket_words=100)
+        assert len(model["head"].word) <= head and (slice_words > 300 or len(list(bloom_lm.waves(model, 0))) > 2)
+        scores.append({r.doc_id: (r.score, r.base_score, r.n_known) for r in bloom_lm.score(docs, model, 64 if slice_words > 300 else 0).collect()})
+    for other in scores[1:]:
+        assert other.keys() == scores[0].keys()
+        assert all(other[k] == pytest.approx(scores[0][k]) for k in other)
+
+
 def test_filter_finds_what_it_holds():
     keys = texts.mix(np.arange(1, 3001, dtype=np.uint64))
     level = np.arange(3000) % 9 + 1
