@@ -9,7 +9,9 @@ then, so no task holds a whole file's blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from skybias.llm.tokens import default_path, encoder
 #: The tokenizer's own end-of-text id, which no text contains.
 SEPARATOR = 49407
 BLOCK_TOKENS, GROUP_BLOCKS = 1 << 16, 1 << 10
+#: Blocks that are read in one go (8 MB), and tasks that read one set of files.
+RUN_BLOCKS, MOST_TASKS = 1 << 6, 1 << 13
 BLOCKS = "file long, block long, data binary"
 
 
@@ -58,18 +62,51 @@ def write_blocks(docs: DataFrame, tokenizer: str | None = None, block_tokens: in
     return docs.select("text").mapInArrow(run, BLOCKS)
 
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of raw token files (16-bit ids); each file is read by one task and cut there."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def open_local(path: str) -> BinaryIO:
+    """A file of a file system that all workers mount."""
+    return open(re.sub("^file:/*", "/", path), "rb")
+
+
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, opener: Callable[[str], BinaryIO] | None = None,
+                     run_blocks: int = RUN_BLOCKS) -> DataFrame:
+    """Blocks of raw token files (16-bit ids) of any size: runs of blocks are dealt to tasks, which seek and read only these.
+
+    ``opener`` opens a path as Spark lists it, in a worker. Without one, files on mounted file systems (``file:``) are read so, and those
+    of other stores through Spark, which holds a whole file in one row (less than 2 GB).
+    """
+    step, opened = 2 * block_tokens, opener or open_local
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with opened(r["path"]) as f:
+                    f.seek(r["first"] * step)
+                    for k in range(r["first"], min(r["first"] + run_blocks, -(-r["length"] // step))):
+                        want = min(step, r["length"] - k * step)
+                        data = bytearray()
+                        while len(data) < want and (more := f.read(want - len(data))):
+                            data += more
+                        if len(data) < want:
+                            raise EOFError(f"{r['path']} ends before its listed length of {r['length']} bytes")
+                        yield pa.record_batch([pa.array([r["file"]]), pa.array([k]), pa.array([bytes(data)], pa.binary())], ["file", "block", "data"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("file"), batch.column("content"), strict=True):
-                data, step = content.as_buffer(), 2 * block_tokens
+                data = content.as_buffer()
                 for k, at in enumerate(range(0, len(data), step)):
                     yield pa.record_batch([pa.array([name.as_py()]), pa.array([k]), pa.array([data[at:at + step].to_pybytes()], pa.binary())],
                                           ["file", "block", "data"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
-    return files.mapInArrow(run, BLOCKS)
+    files = spark.read.format("binaryFile").load(path).withColumn("file", F.xxhash64("path"))
+    # without the content, a file is only listed; all files of one path lie in one store
+    listed = files.select("file", "path", "length")
+    one = listed.select("path").first()
+    if not opener and one and not one["path"].startswith("file:"):
+        return files.select("file", "content").mapInArrow(cut, BLOCKS)
+    runs = listed.where("length > 0").withColumn("first", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step), F.lit(run_blocks))))
+    count = listed.agg(F.sum(F.ceil(F.col("length") / (step * run_blocks)))).first()[0] or 0
+    return runs.repartition(min(max(count, 1), MOST_TASKS)).mapInArrow(seek, BLOCKS)
 
 
 def search(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:

@@ -246,6 +246,38 @@ def test_separator_scan(spark):
     assert got == want
 
 
+def test_token_files_are_read_by_ranges(spark, tmp_path):
+    """Files with a partial last block, one of a single short block, an empty one, and one that a row's binary value can't hold."""
+    rng = np.random.default_rng(1)
+    flat = {n: np.where(rng.random(n) < 0.05, 9, rng.integers(10, 99, n)).astype("<u2") for n in (1000, 37, 0, 128)}
+    for n, x in flat.items():
+        (tmp_path / f"some tokens {n}.bin").write_bytes(x.tobytes())
+    blocks = separators.read_token_files(spark, str(tmp_path), 16, run_blocks=3)
+    assert blocks.rdd.getNumPartitions() >= sum(-(-n // 48) for n in flat)
+    got = collections.defaultdict(dict)
+    for r in blocks.collect():
+        got[r.file][r.block] = bytes(r.data)
+    assert sorted(b"".join(x[k] for k in range(len(x))) for x in got.values()) == sorted(x.tobytes() for x in flat.values() if len(x))
+    assert all(len(x[k]) == 32 for x in got.values() for k in range(len(x) - 1))
+    counted = collections.Counter((r.n_tokens, r.open) for r in separators.count_tokens(blocks, 9, 4).collect())
+    want = collections.Counter()
+    for x in flat.values():
+        ends = [0, *(np.flatnonzero(x == 9) + 1), len(x)]
+        want += collections.Counter((int(b - a), i == len(ends) - 2) for i, (a, b) in enumerate(zip(ends, ends[1:])) if a < b)
+    assert counted == want
+
+
+def test_token_files_beyond_a_row(spark, tmp_path):
+    size = (1 << 31) + 10
+    with open(tmp_path / "large.bin", "wb") as f:  # a hole, which takes no disk
+        f.truncate(size)
+        f.seek(size - 4)
+        f.write(np.array([9, 7], "<u2").tobytes())
+    got = separators.read_token_files(spark, str(tmp_path), 1 << 20)
+    assert got.selectExpr("sum(length(data)) AS n", "count(*) AS blocks").first() == (size, 1025)
+    assert bytes(got.where("block = 1024").first().data) == bytes(6) + np.array([9, 7], "<u2").tobytes()[:4]
+
+
 def test_mixing(spark, corpus):
     docs, rows = corpus
     got = mixing.with_copies(docs.selectExpr("*", "1 AS mean", "2 AS copies", "lang AS key")).collect()
