@@ -2,92 +2,115 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skybias.operators import features, models
 from skybias.plans import jobs
 from skybias.plans.registry import query
-
+from skybias.schemas import POLLUTANTS
 from skybias.session import work_path
 from skybias.sources import storage
 
-N_PREV, N_FUTURE, HORIZONS = 24, 24, [0, 11, 23]
-FIELDS = ["pm25_forecast", "t2m_forecast", "u10_forecast", "v10_forecast", "blh_forecast", "bias"]
+N_PREV, N_FUTURE, MEMBERS = 24, 24, 5
+# the reference grows 100 layers in trees of depth 6
+ROUNDS, DEPTH = 17, 6
+HORIZONS = list(range(N_FUTURE))
+
 
+def _dataset(d, variable):
+    """The stored dataset of one variable, as a model is trained: all locations, all windows, all fields."""
+    paths = d.__dict__.setdefault("_dataset_paths", {})
+    if variable not in paths:
+        path = work_path(d.spark, "dataset")
+        storage.write_dataset(features.build_dataset(_processed(d, variable), d.locations, N_PREV, N_FUTURE), path)
+        paths[variable] = path
+    return storage.read_dataset(d.spark, paths[variable])
 
-def _dataset(d):
-    """The stored dataset of one variable, as a model is trained: all locations, all windows."""
-    if "_dataset_path" not in d.__dict__:
-        rows = d.processed.where("variable = 'pm25'")
-        d._dataset_path = work_path(d.spark, "dataset")
-        storage.write_dataset(features.build_dataset(rows, d.locations, N_PREV, N_FUTURE, fields=FIELDS), d._dataset_path)
-    return storage.read_dataset(d.spark, d._dataset_path)
 
+def _processed(d, variable):
+    return d.processed.where(F.col("variable") == variable)
 
-def _inputs(d):
+
+def _inputs(d, variable):
     """Scaled inputs of all windows, kept in memory for the repeated fits."""
-    if "_model_inputs" not in d.__dict__:
-        d._model_inputs = models.model_inputs(_dataset(d)).persist()
-    return d._model_inputs
+    kept = d.__dict__.setdefault("_model_inputs", {})
+    if variable not in kept:
+        kept[variable] = models.model_inputs(_dataset(d, variable)).persist()
+    return kept[variable]
+
 
+def _each(make):
+    """Rows of every pollutant: each has its own models."""
+    return reduce(DataFrame.unionByName, [make(v) for v in POLLUTANTS])
 
-def _scores(fitted, d):
-    return models.evaluate(models.predict_members(fitted, _inputs(d)))
+
+def _predicted(d, fit):
+    return _each(lambda v: models.predict_members(fit(_inputs(d, v)), _inputs(d, v)))
 
 
 @query("fit_elastic_net")
 def _(d):
-    return models.predict_members([models.fit_model("elastic_net", _inputs(d), HORIZONS, alpha=0.5)], _inputs(d))
+    return _predicted(d, lambda inputs: [models.fit_model("elastic_net", inputs, HORIZONS, alpha=0.5)])
 
 
 @query("fit_gradient_boosting")
 def _(d):
-    return models.predict_members(
-        [models.fit_model("gradient_boosting", _inputs(d), HORIZONS[:1], max_iter=3, max_depth=2)], _inputs(d))
+    return _predicted(d, lambda inputs: [models.fit_model("gradient_boosting", inputs, HORIZONS, max_iter=ROUNDS, max_depth=DEPTH)])
+
+
+def _ensemble(inputs):
+    return models.fit_ensemble("elastic_net", inputs, HORIZONS, members=MEMBERS, alpha=0.5)
 
 
 @query("fit_ensemble")
 def _(d):
-    return models.predict_members(models.fit_ensemble("elastic_net", _inputs(d), HORIZONS, members=2, alpha=0.5), _inputs(d))
+    return _predicted(d, _ensemble)
 
 
 @query("grid_search")
 def _(d):
-    best = models.grid_search("elastic_net", _inputs(d), HORIZONS[:1], {"alpha": [0.1, 1.0], "l1_ratio": [0.5]})
-    rows = [(i, r["alpha"], r["l1_ratio"], r["mae"]) for i, r in enumerate(best)]
-    return d.spark.createDataFrame(rows, "rank INT, alpha DOUBLE, l1_ratio DOUBLE, mae DOUBLE")
+    rows = []
+    for v in POLLUTANTS:
+        best = models.grid_search("elastic_net", _inputs(d, v), HORIZONS, {"alpha": [0.1, 1.0], "l1_ratio": [0.5]})
+        rows += [(v, i, r["alpha"], r["l1_ratio"], r["mae"]) for i, r in enumerate(best)]
+    return d.spark.createDataFrame(rows, "variable STRING, rank INT, alpha DOUBLE, l1_ratio DOUBLE, mae DOUBLE")
 
 
 @query("evaluate")
 def _(d):
-    return _scores(models.fit_ensemble("elastic_net", _inputs(d), HORIZONS, members=2, alpha=0.5), d)
+    return models.evaluate(_predicted(d, _ensemble))
 
 
 @query("save_load_predict_members")
 def _(d):
-    path = work_path(d.spark, "weights")
-    models.save_members([models.fit_model("elastic_net", _inputs(d), HORIZONS, alpha=0.5)], path)
-    return models.predict_members(models.load_members("elastic_net", path, 1, HORIZONS), _inputs(d))
+    def run(v):
+        path = work_path(d.spark, "weights")
+        models.save_members([models.fit_model("elastic_net", _inputs(d, v), HORIZONS, alpha=0.5)], path)
+        return models.predict_members(models.load_members("elastic_net", path, 1, HORIZONS), _inputs(d, v))
+
+    return _each(run)
 
 
 @query("foreign_predictions")
 def _(d):
     from pyspark.ml.functions import vector_to_array
-    rows = _inputs(d).select(*models.KEYS, vector_to_array("features").alias("features"))
+    rows = _each(lambda v: _inputs(d, v).select(*models.KEYS, vector_to_array("features").alias("features")))
     # stands for a network trained elsewhere: the mean of the inputs at every horizon
     return models.foreign_predictions(rows, lambda x: x.mean(axis=1, keepdims=True).repeat(N_FUTURE, axis=1), N_FUTURE)
 
 
 @query("job_train")
 def _(d):
-    rows = d.processed.where("variable = 'pm25'")
-    return jobs.job_train(rows, d.locations, "elastic_net", work_path(d.spark, "train"), members=1,
-                          horizons=HORIZONS, alpha=0.5)
+    return _each(lambda v: jobs.job_train(_processed(d, v), d.locations, "elastic_net", work_path(d.spark, "train"), N_PREV, N_FUTURE, MEMBERS, alpha=0.5))
 
 
 @query("job_daily_correction")
 def _(d):
-    dataset = _dataset(d)
-    fitted = models.fit_ensemble("elastic_net", _inputs(d), HORIZONS, members=1, subsample=1.0, alpha=0.5)
-    observations = d.observations.where(F.col("variable") == "pm25")
-    return jobs.job_daily_correction(d.forecast, observations, d.locations, fitted, "2024-01-20", dataset)
+    def run(v):
+        observations = d.observations.where(F.col("variable") == v)
+        return jobs.job_daily_correction(d.forecast, observations, d.locations, _ensemble(_inputs(d, v)), "2024-01-20", _dataset(d, v))
+
+    return _each(run)

@@ -139,3 +139,26 @@ def test_daily_correction_uses_no_later_observation(spark, locations, tmp_path):
     assert len(rows(correct(late))) == 4
     assert spark.read.parquet(str(tmp_path / "daily")).count() == 4
     assert np.mean([abs(corrected - 15) for _, _, corrected in whole]) < 3
+
+
+def test_queries_fit_all_pollutants_hours_fields_and_members(spark, monkeypatch):
+    """No query keeps a part of the hours, fields, pollutants or members; the fits themselves are left out here."""
+    from skybias.plans import QUERIES
+    from skybias.schemas import POLLUTANTS
+    seen = []
+
+    def fit(kind, inputs, horizons, member=0, *args, **params):
+        row = inputs.select("variable", "features").first()
+        assert horizons == list(range(24)) and len(row["features"]) == len(features.STATION_ATTRS + features.TIME_AUX) + width
+        seen.append((row["variable"], member))
+        return {h: None for h in horizons}
+
+    monkeypatch.setattr(models, "fit_model", fit)
+    monkeypatch.setattr(models, "predict_members", lambda members, inputs: inputs.select("variable"))
+    monkeypatch.setattr(jobs, "job_daily_correction", lambda *a: a[5].select("variable"))
+    width = 24 * len(features.WINDOW_FIELDS) + 24 * sum(f not in ("observed", "bias") for f in features.WINDOW_FIELDS)
+    for name, members in (("fit_elastic_net", 1), ("fit_gradient_boosting", 1), ("fit_ensemble", 5), ("job_daily_correction", 5)):
+        seen.clear()
+        rows = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert sorted(seen) == sorted((v, m) for v in POLLUTANTS for m in range(members))
+        assert {r["variable"] for r in rows.distinct().collect()} == set(POLLUTANTS)
