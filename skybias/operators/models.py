@@ -43,8 +43,13 @@ def _estimator(kind: str):
     return MODELS[kind][0]().setLabelCol("y").setFeaturesCol("features")
 
 
-def _label_stds(train: DataFrame, horizons: list[int]) -> dict[int, float]:
-    row = train.agg(*[F.stddev_pop(F.col("label")[h]).alias(str(h)) for h in horizons]).first()
+def _label_stds(train: DataFrame, horizons: list[int], weight: str | None = None) -> dict[int, float]:
+    """Population deviation of each horizon's label, by rows or by their weights."""
+    if weight is None:
+        row = train.agg(*[F.stddev_pop(F.col("label")[h]).alias(str(h)) for h in horizons]).first()
+        return {h: float(row[str(h)] or 0.0) for h in horizons}
+    w, means = F.col(weight), train.agg(*[(F.sum(F.col(weight) * F.col("label")[h]) / F.sum(weight)).alias(str(h)) for h in horizons]).first()
+    row = train.agg(*[F.sqrt(F.sum(w * (F.col("label")[h] - F.lit(means[str(h)])) ** 2) / F.sum(w)).alias(str(h)) for h in horizons]).first()
     return {h: float(row[str(h)] or 0.0) for h in horizons}
 
 
@@ -60,28 +65,35 @@ def _at_horizon(inputs: DataFrame, horizon: int) -> DataFrame:
     return inputs.withColumn("y", F.col("label")[horizon])
 
 
-def fit_model(kind: str, inputs: DataFrame, horizons: list[int], member: int = 0, subsample: float = 1.0,
-              **params) -> dict[int, object]:
-    """One fitted model per horizon, on the training rows; each fit is a distributed job.
+def member_weight(member: int):
+    """Weight of a row for one member: exponential with mean 1 (a Bayesian bootstrap), drawn from the row's key and the member number,
+    so a recomputed task draws the same. It is never 0: no member is without a row."""
+    draw = F.pmod(F.xxhash64("location_id", "variable", "init_time", F.lit(member)), F.lit(1 << 30))
+    return -F.log((draw + 0.5) / float(1 << 30))
 
-    Members of an ensemble differ by the share of rows they see, drawn from each row's key and the
-    member number, so a recomputed task draws the same rows.
+
+def fit_model(kind: str, inputs: DataFrame, horizons: list[int], member: int | None = None, **params) -> dict[int, object]:
+    """One fitted model per horizon, on all training rows; each fit is a distributed job.
+
+    Members of an ensemble differ by the weights of the rows; without a member number all weigh the same.
     """
-    train = inputs.where("split = 'train'")
-    if subsample < 1.0:
-        draw = F.pmod(F.xxhash64("location_id", "variable", "init_time", F.lit(member)), F.lit(10_000)) / 10_000
-        train = train.where(draw < subsample)
-    stds, fitted = _label_stds(train, horizons), {}
+    train, weight = inputs.where("split = 'train'"), None
+    if member is not None:
+        weight = "_weight"
+        train = train.withColumn(weight, member_weight(member))
+    stds, fitted = _label_stds(train, horizons, weight), {}
     for h in horizons:
         estimator = _estimator(kind)
         estimator.setParams(**MODELS[kind][2](stds[h], **params))
+        if weight:
+            estimator.setWeightCol(weight)
         fitted[h] = estimator.fit(_at_horizon(train, h))
     return fitted
 
 
-def fit_ensemble(kind: str, inputs: DataFrame, horizons: list[int], members: int = 5, subsample: float = 0.8,
-                 **params) -> list[dict[int, object]]:
-    return [fit_model(kind, inputs, horizons, m, subsample, **params) for m in range(members)]
+def fit_ensemble(kind: str, inputs: DataFrame, horizons: list[int], members: int = 5, **params) -> list[dict[int, object]]:
+    """Every member sees all training rows; a single one weighs them alike."""
+    return [fit_model(kind, inputs, horizons, m if members > 1 else None, **params) for m in range(members)]
 
 
 def predict_members(members: list[dict[int, object]], inputs: DataFrame) -> DataFrame:

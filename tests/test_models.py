@@ -74,6 +74,25 @@ def test_members_differ_and_are_reproducible(inputs):
     assert any(abs(v - first[k[0], k[1], 1]) > 1e-9 for k, v in first.items() if k[2] == 0)
 
 
+def test_every_member_sees_every_training_row(inputs, monkeypatch):
+    """No training row has weight 0 or is left out; weights have mean 1 and differ between members."""
+    from pyspark.ml.regression import LinearRegression
+    fitted, fit = [], LinearRegression.fit
+
+    def record(self, df, *args):
+        fitted.append((df.count(), {(r["location_id"], r["init_time"]): r["w"] for r in df.selectExpr(
+            "location_id", "init_time", f"{self.getWeightCol() if self.isSet('weightCol') else '1D'} AS w").collect()}))
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(LinearRegression, "fit", record)
+    models.fit_ensemble("elastic_net", inputs, [0], members=2, alpha=0.01)
+    models.fit_ensemble("elastic_net", inputs, [0], members=1, alpha=0.01)
+    rows = inputs.where("split = 'train'").count()
+    assert [n for n, _ in fitted] == [rows] * 3
+    assert all(min(w.values()) > 0 and np.mean(list(w.values())) == pytest.approx(1, abs=0.2) for _, w in fitted)
+    assert fitted[0][1] != fitted[1][1] and set(fitted[2][1].values()) == {1.0}
+
+
 def test_saved_members_predict_alike(inputs, tmp_path):
     members = [models.fit_model("elastic_net", inputs, [0], alpha=0.01)]
     models.save_members(members, str(tmp_path))
@@ -147,10 +166,10 @@ def test_queries_fit_all_pollutants_hours_fields_and_members(spark, monkeypatch)
     from skybias.schemas import POLLUTANTS
     seen = []
 
-    def fit(kind, inputs, horizons, member=0, *args, **params):
+    def fit(kind, inputs, horizons, member=None, **params):
         row = inputs.select("variable", "features").first()
         assert horizons == list(range(24)) and len(row["features"]) == len(features.STATION_ATTRS + features.TIME_AUX) + width
-        seen.append((row["variable"], member))
+        seen.append((row["variable"], member or 0))
         return {h: None for h in horizons}
 
     monkeypatch.setattr(models, "fit_model", fit)
