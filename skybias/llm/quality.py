@@ -88,17 +88,17 @@ def _weighted(idf: np.ndarray, row: np.ndarray, bucket: np.ndarray, count: np.nd
 
 
 def _project(basis: np.ndarray, row: np.ndarray, bucket: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
-    out, step = np.zeros((rows, basis.shape[1]), np.float32), 1 << 16
-    for i in range(0, len(row), step):
-        r = row[i:i + step]
-        start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        out[r[start]] += np.add.reduceat(basis[bucket[i:i + step]] * value[i:i + step, None], start, axis=0)
+    out, edge = np.zeros((rows, basis.shape[1])), np.searchsorted(row, np.arange(rows + 1))
+    for a, b in texts.slices(edge, 1 << 15):  # whole rows: equal texts have equal sums
+        part, start = slice(edge[a], edge[b]), edge[a:b][edge[a:b] < edge[a + 1:b + 1]]
+        if len(start):
+            out[row[start]] = np.add.reduceat(basis[bucket[part]] * value[part, None].astype(np.float64), start - edge[a], axis=0)
     return out
 
 
 def _vectors(basis: np.ndarray, idf: np.ndarray, column: pa.Array) -> np.ndarray:
     """Unit latent vectors of the texts; a text without words has a zero vector."""
-    out = [np.zeros((0, basis.shape[1]), np.float32)]
+    out = [np.zeros((0, basis.shape[1]))]
     for a, b, row, bucket, count in term_counts(column):
         out.append(_project(basis, row, bucket, _weighted(idf, row, bucket, count, b - a), b - a))
     x = np.concatenate(out)
@@ -148,7 +148,7 @@ def latent_basis(terms: DataFrame, dimensions: int = DIMENSIONS, steps: int = ST
             y[block:block + TERM_BLOCK] = np.frombuffer(bytes(part), np.float32).reshape(-1, wide)
         turn = np.linalg.eigh(q.T @ y)[1][:, ::-1]  # Ritz vectors, largest first
         q = np.linalg.qr(y @ turn)[0]
-    return np.ascontiguousarray(q[:, :dimensions], np.float32)
+    return np.ascontiguousarray(q[:, :dimensions])
 
 
 def _labelled(shared):
@@ -170,10 +170,10 @@ def vote(x: np.ndarray, labelled: np.ndarray, label: np.ndarray, neighbours: int
     for i in range(0, len(x), BLOCK_ROWS):
         near = x[i:i + BLOCK_ROWS] @ labelled.T
         last = np.partition(near, len(labelled) - k, axis=1)[:, len(labelled) - k]
-        weight = np.where((near >= last[:, None] - 1e-6) & (near > 1e-6), near, 0).astype(np.float64)
+        weight = np.where((near >= last[:, None] - 1e-9) & (near > 1e-9), near, 0)
         total = weight.sum(1)
         out[i:i + BLOCK_ROWS] = np.where(total > 0, weight @ label / np.maximum(total, 1e-12), prior)
-    return np.clip(out, 0.0, 1.0)
+    return np.clip(out, 0.0, 1.0).round(9)  # copies in other batches differ by less
 
 
 def _scorer(shared, neighbours: int, prior: float):
@@ -204,7 +204,7 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dimens
     # repeated doc_ids could make more rows than were chosen, so the bound is applied again
     found = (rows.mapInArrow(_labelled(context.broadcast((basis, idf))), "doc_id long, quality int, vector binary")
              .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "vector").limit(fit_rows).toPandas())
-    vectors = np.stack([np.frombuffer(bytes(v), np.float32) for v in found.vector]) if len(found) else np.zeros((0, dimensions), np.float32)
+    vectors = np.stack([np.frombuffer(bytes(v)) for v in found.vector]) if len(found) else np.zeros((0, dimensions))
     label = found.quality.to_numpy().astype(np.float64)
     return {"basis": basis, "idf": idf, "vectors": vectors, "label": label, "prior": float(label.mean()) if len(label) else 0.5}
 
