@@ -55,24 +55,20 @@ def job_transform(forecast: DataFrame, observations: DataFrame, locations: DataF
 
 
 def job_train(processed: DataFrame, locations: DataFrame, kind: str, path: str, n_prev: int = 24, n_future: int = 24,
-              members: int = 5, min_rows: int | None = None, horizons: list[int] | None = None, **params) -> DataFrame:
-    """Fit, save, predict and evaluate an ensemble of one variable; returns its predictions with labels.
+              members: int = 5, min_rows: int | None = None, **params) -> DataFrame:
+    """Fit, save, predict and evaluate an ensemble of every variable; returns the predictions with labels.
 
-    The dataset is stored first: every fit then starts from a scan, and the daily job finds the
-    training rows that fix the scaling. The table of runs gets one row per member, accepted or not.
+    The dataset is stored first, and the model with its scalers is stored beside it: the daily job needs nothing else. The table of runs gets
+    one row per variable and member, accepted or not, in place of those of an earlier run of the same path.
     """
     spark = processed.sparkSession
-    if processed.select("variable").distinct().limit(2).count() > 1:
-        raise ValueError("train one variable at a time")
-    horizons = horizons or list(range(n_future))
     storage.write_dataset(features.build_dataset(processed, locations, n_prev, n_future, min_rows), f"{path}/dataset")
-    inputs = models.model_inputs(storage.read_dataset(spark, f"{path}/dataset")).persist()
-    fitted = models.fit_ensemble(kind, inputs, horizons, members, **params)
-    models.save_members(fitted, f"{path}/weights")
-    storage.write_predictions(models.predict_members(fitted, inputs), f"{path}/predictions")
-    inputs.unpersist()
+    dataset = storage.read_dataset(spark, f"{path}/dataset")
+    ensemble = models.fit_ensemble(kind, dataset, members, **params)
+    models.save_members(ensemble, spark, f"{path}/model")
+    storage.write_predictions(models.predict_members(ensemble, dataset), f"{path}/predictions")
     predictions = storage.read_predictions(spark, f"{path}/predictions")
-    models.append_model_runs(models.evaluate(predictions), f"{path}/runs", path.rsplit("/", 1)[-1], kind, params)
+    models.write_model_runs(models.evaluate(predictions), f"{path}/runs", path.rsplit("/", 1)[-1], kind, params)
     return predictions
 
 
@@ -106,31 +102,29 @@ def _fill_unobserved(samples: DataFrame, n_prev: int, fields: list[str] = ["obse
             .selectExpr(*[fill(c) if c in fields else c for c in samples.columns]))
 
 
-def job_daily_correction(forecast: DataFrame, observations: DataFrame, locations: DataFrame, fitted: list, day: str,
-                         dataset: DataFrame, n_prev: int = 24, n_future: int = 24, path: str | None = None) -> DataFrame:
+def job_daily_correction(forecast: DataFrame, observations: DataFrame, locations: DataFrame, ensemble: models.Ensemble, day: str,
+                         n_prev: int = 24, n_future: int = 24, path: str | None = None) -> DataFrame:
     """Corrected forecast of one day for every location: score the window that starts at ``day`` 00:00.
 
-    Observations from ``day`` on are not used. ``dataset`` is the training dataset, whose training
-    rows fix the scaling and whose columns name the window fields.
+    Observations from ``day`` on are not used. The ensemble, fitted or loaded, brings its variables, fields and scalers; training rows are not read.
     """
-    fields = [c.removeprefix("past_") for c in dataset.columns if c.startswith("past_")]
+    fields = ensemble.layout.fields
     start = F.lit(day).cast("timestamp")
     margin = 24  # hours on either side, so that interpolation and differences have their neighbours
     near = F.col("time").between(start - F.expr(f"INTERVAL {n_prev + margin} HOURS"),
                                  start + F.expr(f"INTERVAL {n_future + margin} HOURS"))
-    processed = job_transform(forecast.where(near), observations.where(F.col("time") < start), locations,
+    known = sorted({v for v, _ in ensemble.fitted})
+    processed = job_transform(forecast.where(near), observations.where((F.col("time") < start) & F.col("variable").isin(known)), locations,
                               observations_optional=True)
-    variables = dataset.select("variable").distinct()
     # the day's table is stored: it is read for the windows and again for the correction
     stored = work_path(forecast.sparkSession, "daily")
-    storage.write_processed(processed.join(variables, "variable", "left_semi"), stored)
+    storage.write_processed(processed.where(F.col("variable").isin(known)), stored)
     processed = storage.read_processed(forecast.sparkSession, stored)
     samples = validation.latest_init_forecast(features.sliding_samples(processed, n_prev, n_future, fields), day)
     samples = features.split_features_labels(_fill_unobserved(samples, n_prev, [f for f in fields if f in ("bias", "observed")]),
                                              n_prev, n_future, fields)
     samples = features.attach_attributes(samples, locations).withColumn("split", F.lit("daily"))
-    inputs = models.model_inputs(samples.unionByName(dataset)).where("split = 'daily'")
-    bias_hat = validation.ensemble_mean(models.predict_members(fitted, inputs), len(fitted))
+    bias_hat = validation.ensemble_mean(models.predict_members(ensemble, samples), ensemble.members)
     corrected = validation.correct_forecast(processed.where(F.col("time") >= start), bias_hat).select(
         *SERIES, "init_time", "horizon", "time", "forecast", "bias_hat", "corrected")
     if path:

@@ -1,116 +1,106 @@
-"""Queries that fit and apply models; their numbers come from an optimiser, so only rows are checked."""
+"""Queries that fit and apply models of all pollutants, all 24 hours and all window fields.
 
-from __future__ import annotations
+What SQL can say about them is checked: that a fit is optimal, that a stored model is the fitted one, and which rows come out.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skybias.operators import features, models
 from skybias.plans import jobs
 from skybias.plans.registry import query
-from skybias.schemas import POLLUTANTS
 from skybias.session import work_path
 from skybias.sources import storage
 
-N_PREV, N_FUTURE, MEMBERS = 24, 24, 5
+N_PREV, N_FUTURE, MEMBERS, ALPHA = 24, 24, 5, 0.5
 # the reference grows 100 layers in trees of depth 6
 ROUNDS, DEPTH = 17, 6
-HORIZONS = list(range(N_FUTURE))
+GRID = {"alpha": [0.1, 0.5, 1.0, 2.0, 5.0], "l1_ratio": [0.1, 0.5, 0.9]}
 
 
-def _dataset(d, variable):
-    """The stored dataset of one variable, as a model is trained: all locations, all windows, all fields."""
-    paths = d.__dict__.setdefault("_dataset_paths", {})
-    if variable not in paths:
+def _dataset(d):
+    """The stored dataset, as models are trained on it: all variables, locations, windows and fields."""
+    if "_dataset_path" not in d.__dict__:
         path = work_path(d.spark, "dataset")
-        storage.write_dataset(features.build_dataset(_processed(d, variable), d.locations, N_PREV, N_FUTURE), path)
-        paths[variable] = path
-    return storage.read_dataset(d.spark, paths[variable])
-
-
-def _processed(d, variable):
-    return d.processed.where(F.col("variable") == variable)
-
-
-def _inputs(d, variable):
-    """Scaled inputs of all windows, kept in memory for the repeated fits."""
-    kept = d.__dict__.setdefault("_model_inputs", {})
-    if variable not in kept:
-        kept[variable] = models.model_inputs(_dataset(d, variable)).persist()
-    return kept[variable]
-
-
-def _each(make):
-    """Rows of every pollutant: each has its own models."""
-    return reduce(DataFrame.unionByName, [make(v) for v in POLLUTANTS])
+        storage.write_dataset(features.build_dataset(d.processed, d.locations, N_PREV, N_FUTURE), path)
+        d.__dict__["_dataset_path"] = path
+    return storage.read_dataset(d.spark, d.__dict__["_dataset_path"])
 
 
-def _predicted(d, fit):
-    return _each(lambda v: models.predict_members(fit(_inputs(d, v)), _inputs(d, v)))
+def _ensemble(d, members=MEMBERS):
+    return models.fit_ensemble("elastic_net", _dataset(d), members, alpha=ALPHA)
 
 
 @query("fit_elastic_net")
 def _(d):
-    return _predicted(d, lambda inputs: [models.fit_model("elastic_net", inputs, HORIZONS, alpha=0.5)])
+    return models.predict_members(_ensemble(d, 1), _dataset(d))
 
 
-@query("fit_gradient_boosting")
+@query("elastic_net_optimality", tables="sample_splits", sql=f"""
+       SELECT variable, m.member, h.horizon, TRUE AS optimal
+       FROM (SELECT DISTINCT variable FROM sample_splits WHERE split = 'train') v,
+            (SELECT unnest(generate_series(0, {MEMBERS - 1})) AS member) m, (SELECT unnest(generate_series(0, {N_FUTURE - 1})) AS horizon) h""")
 def _(d):
-    return _predicted(d, lambda inputs: [models.fit_model("gradient_boosting", inputs, HORIZONS, max_iter=ROUNDS, max_depth=DEPTH)])
+    found = models.optimality(_ensemble(d), _dataset(d))
+    return found.select("variable", "member", "horizon", (F.col("violation") < 1e-6).alias("optimal"))
 
 
-def _ensemble(inputs):
-    return models.fit_ensemble("elastic_net", inputs, HORIZONS, members=MEMBERS, alpha=0.5)
+@query("fit_gradient_boosting")
+def _(d):
+    ensemble = models.fit_model("gradient_boosting", _dataset(d), rounds=ROUNDS, depth=DEPTH)
+    return models.predict_members(ensemble, _dataset(d))
 
 
 @query("fit_ensemble")
 def _(d):
-    return _predicted(d, _ensemble)
+    return models.predict_members(_ensemble(d), _dataset(d))
 
 
 @query("grid_search")
 def _(d):
-    rows = []
-    for v in POLLUTANTS:
-        best = models.grid_search("elastic_net", _inputs(d, v), HORIZONS, {"alpha": [0.1, 1.0], "l1_ratio": [0.5]})
-        rows += [(v, i, r["alpha"], r["l1_ratio"], r["mae"]) for i, r in enumerate(best)]
-    return d.spark.createDataFrame(rows, "variable STRING, rank INT, alpha DOUBLE, l1_ratio DOUBLE, mae DOUBLE")
+    return models.grid_search("elastic_net", _dataset(d), GRID)
 
 
 @query("evaluate")
 def _(d):
-    return models.evaluate(_predicted(d, _ensemble))
+    return models.evaluate(models.predict_members(_ensemble(d), _dataset(d)))
+
+
+def _saved(d, members):
+    path, ensemble = work_path(d.spark, "model"), _ensemble(d, members)
+    models.save_members(ensemble, d.spark, path)
+    return ensemble, models.load_members(d.spark, path)
 
 
 @query("save_load_predict_members")
 def _(d):
-    def run(v):
-        path = work_path(d.spark, "weights")
-        models.save_members([models.fit_model("elastic_net", _inputs(d, v), HORIZONS, alpha=0.5)], path)
-        return models.predict_members(models.load_members("elastic_net", path, 1, HORIZONS), _inputs(d, v))
+    return models.predict_members(_saved(d, 1)[1], _dataset(d))
+
 
-    return _each(run)
+@query("saved_members_agree", tables="sample_splits", sql=f"""
+       SELECT variable, split, m.member, count(*) * {N_FUTURE} AS predictions, 0 AS differing
+       FROM sample_splits, (SELECT unnest(generate_series(0, {MEMBERS - 1})) AS member) m GROUP BY ALL""")
+def _(d):
+    fitted, loaded = _saved(d, MEMBERS)
+    keys = [*models.KEYS, "member", "horizon"]
+    one, two = (models.predict_members(e, _dataset(d)).select(*keys, F.col("bias_hat").alias(c)) for e, c in ((fitted, "a"), (loaded, "b")))
+    both = one.join(two, keys, "full")
+    return both.groupBy("variable", "split", "member").agg(F.count("*").alias("predictions"), F.count_if(~F.equal_null("a", "b")).alias("differing"))
 
 
 @query("foreign_predictions")
 def _(d):
-    from pyspark.ml.functions import vector_to_array
-    rows = _each(lambda v: _inputs(d, v).select(*models.KEYS, vector_to_array("features").alias("features")))
+    rows = models.model_inputs(_dataset(d)).select(*models.KEYS, "features")
     # stands for a network trained elsewhere: the mean of the inputs at every horizon
     return models.foreign_predictions(rows, lambda x: x.mean(axis=1, keepdims=True).repeat(N_FUTURE, axis=1), N_FUTURE)
 
 
 @query("job_train")
 def _(d):
-    return _each(lambda v: jobs.job_train(_processed(d, v), d.locations, "elastic_net", work_path(d.spark, "train"), N_PREV, N_FUTURE, MEMBERS, alpha=0.5))
+    return jobs.job_train(d.processed, d.locations, "elastic_net", work_path(d.spark, "train"), N_PREV, N_FUTURE, MEMBERS, alpha=ALPHA)
 
 
 @query("job_daily_correction")
 def _(d):
-    def run(v):
-        observations = d.observations.where(F.col("variable") == v)
-        return jobs.job_daily_correction(d.forecast, observations, d.locations, _ensemble(_inputs(d, v)), "2024-01-20", _dataset(d, v))
-
-    return _each(run)
+    return jobs.job_daily_correction(d.forecast, d.observations, d.locations, _saved(d, MEMBERS)[1], "2024-01-20")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,9 +20,17 @@ RUNTIME_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Set the runtime settings the operators rely on; sizes and parallelism stay the cluster's."""
+    """Set the runtime settings the operators rely on; sizes and parallelism stay the cluster's.
+
+    Python workers get the folder that the driver found this library in; a cluster has it installed or in --py-files.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([*paths, root])
+    env.setdefault("OMP_NUM_THREADS", "1")  # tasks fill the cores; matrix products in them must not start threads of their own
     return spark
 
 
