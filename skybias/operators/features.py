@@ -74,25 +74,56 @@ def split_features_labels(samples: DataFrame, n_prev: int, n_future: int,
         f"slice(bias, {n_prev + 1}, {n_future}) AS label")
 
 
+def split_times(times: DataFrame, ratio: float = 0.8, time: str = "init_time", keys: list[str] = SERIES) -> DataFrame:
+    """(keys, ``_cut``): the last of the first ``floor(n * ratio)`` times of each series; null where there is none."""
+    ranked = with_rank(times.select(*keys, time), keys, time)
+    return ranked.groupBy(*keys).agg(F.expr(f"max(if(_rank <= floor(_total * {ratio}D), {time}, NULL))").alias("_cut"))
+
+
 def train_test_split(df: DataFrame, ratio: float = 0.8, time: str = "init_time", keys: list[str] = SERIES) -> DataFrame:
-    """Add ``split``: the first ``floor(n * ratio)`` rows of each series by time are train, the rest test."""
-    return (with_rank(df, keys, time)
-            .withColumn("split", F.expr(f"if(_rank <= floor(_total * {ratio}D), 'train', 'test')"))
-            .drop("_rank", "_total"))
+    """Add ``split``: the first ``floor(n * ratio)`` rows of each series by time are train, the rest test; times of a series are distinct.
+
+    Only keys are sorted; the rows meet one cut time per series.
+    """
+    return df.join(split_times(df, ratio, time, keys), keys).withColumn("split", F.expr(f"if({time} <= _cut, 'train', 'test')")).drop("_cut")
+
+
+def window_times(df: DataFrame, n_prev: int, n_future: int, keys: list[str] = SERIES) -> DataFrame:
+    """(keys, ``init_time``) of the windows that ``sliding_samples`` makes, from counts of hours in half days."""
+    size = n_prev + n_future
+    full, rest = divmod(size, BLOCK_HOURS)
+    hour = "unix_timestamp(time) div 3600"
+    halves = df.select(*keys, F.expr(f"floor({hour} / {BLOCK_HOURS})").alias("_block"), F.expr(f"pmod({hour}, {BLOCK_HOURS})").alias("_in")).groupBy(*keys, "_block").agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_in") < rest).alias("_some"))
+    halves = spread(halves.withColumn("time", F.expr(f"timestamp_seconds(_block * {BLOCK_HOURS * 3600})")), ahead=max(0, size - BLOCK_HOURS))
+    names, whole = ", ".join(keys), []
+    for i in range(full + (rest > 0)):
+        count, want = ("_all", BLOCK_HOURS) if i < full else ("_some", rest)
+        ahead = f"lead({count}, {i}) OVER (PARTITION BY {names}, _chunk ORDER BY _block)"
+        place = f"lead(_block, {i}) OVER (PARTITION BY {names}, _chunk ORDER BY _block)"
+        whole.append(f"coalesce({ahead} = {want} AND {place} = _block + {i}, false)")
+    return (halves.selectExpr(*keys, "_block", "_chunk", "_own", f"{' AND '.join(whole)} AS _whole").where("_whole AND _chunk = _own")
+            .selectExpr(*keys, f"timestamp_seconds((_block * {BLOCK_HOURS} + {n_prev}) * 3600) AS init_time"))
 
 
 def build_dataset(processed: DataFrame, locations: DataFrame, n_prev: int = 24, n_future: int = 24,
                   min_rows: int | None = None, ratio: float = 0.8, numeric: bool = True,
                   fields: list[str] = WINDOW_FIELDS) -> DataFrame:
-    """Samples of all stations with features, label, attributes and split, in one plan."""
-    enough = min_station_rows(processed, min_rows or n_prev + n_future)
-    samples = sliding_samples(enough, n_prev, n_future, fields)
-    samples = split_features_labels(samples, n_prev, n_future, fields)
-    return train_test_split(attach_attributes(samples, locations, numeric), ratio)
+    """Samples of all stations with features, label, attributes and split, in one plan.
+
+    The split is known before the windows are made: cut times come from counts of hours and meet the hourly rows, so the
+    window arrays are packed once and not shuffled again.
+    """
+    enough = min_station_rows(processed.select(*SERIES, "time"), min_rows or n_prev + n_future)
+    cuts = split_times(window_times(enough, n_prev, n_future), ratio)
+    samples = sliding_samples(processed.join(cuts, SERIES), n_prev, n_future, [*fields, "_cut"])
+    samples = samples.withColumn("split", F.expr("if(init_time <= _cut[0], 'train', 'test')")).drop("_cut")
+    return attach_attributes(split_features_labels(samples, n_prev, n_future, fields), locations, numeric)
 
 
-def shuffle_rows(df: DataFrame, seed: int = 0) -> DataFrame:
-    return df.orderBy(F.rand(seed))
+def shuffle_rows(df: DataFrame, seed: int = 0, keys: list[str] = [*SERIES, "init_time"]) -> DataFrame:
+    """Rows in a random order that depends on ``seed`` and the rows' keys alone."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
 
 
 def _fit_stats(train: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skybias.functions.geo import EARTH_RADIUS_KM, grid_longitude, haversine_km
+from skybias.session import work_path
 
-MAX_AXIS = 100_000
+AXIS_BUCKETS = 4096
 
 
 def sensors_within_radius(locations: DataFrame, sensors: DataFrame, km: float = 100.0) -> DataFrame:
@@ -51,40 +52,80 @@ def sensors_within_radius(locations: DataFrame, sensors: DataFrame, km: float =
 
 
 def grid_axes(grid: DataFrame) -> DataFrame:
-    """The distinct latitudes and longitudes of a grid as one row of two arrays, in one pass.
+    """The distinct latitudes and longitudes of a grid as rows (axis, value), in one pass, combined map-side.
 
-    An axis is bounded by the grid's resolution, not by the data; one that is not is refused.
+    They are stored in the shared work folder, as the search reads them several times and the grid may be an archive.
     """
-    def axis(name: str) -> Column:
-        values = F.collect_set(name)
-        refuse = F.raise_error(F.lit(f"{name} has more than {MAX_AXIS} values: not a grid axis"))
-        return F.when(F.size(values) <= MAX_AXIS, values).otherwise(refuse.cast("array<double>")).alias(name)
+    pairs = "stack(2, 'latitude', latitude, 'longitude', longitude) AS (axis, value)"
+    path = work_path(grid.sparkSession, "axes")
+    grid.selectExpr(pairs).where("value IS NOT NULL").distinct().write.parquet(path)
+    return grid.sparkSession.read.schema("axis string, value double").parquet(path)
 
-    return grid.agg(axis("latitude"), axis("longitude"))
 
+def _neighbours(points: DataFrame, axis: DataFrame) -> DataFrame:
+    """(point, lower, upper): for each distinct point the axis values next to it on both sides, itself included; columns ``point``; ``value``.
 
-def nearest_grid_cell(locations: DataFrame, axes: DataFrame, wrap: bool = True) -> DataFrame:
-    """Add ``cell_latitude``, ``cell_longitude``: each axis searched on its own, ties to the larger value.
-
-    ``axes`` comes from ``grid_axes`` and reaches every row as a scalar subquery, not a join.
-    ``wrap=True`` compares longitudes modulo 360, so -3.7 finds 356 on a 0..360 grid;
-    ``wrap=False`` compares them as plain numbers.
+    Both are dealt to ``AXIS_BUCKETS`` even ranges of the axis and sorted there. Where a range has no value on one side, the nearest filled range
+    gives its own: that is looked up in a table with a row for each range.
     """
-    def nearest(axis: Column, distance) -> Column:
-        best = F.array_min(F.transform(axis, lambda a: F.struct(distance(a).alias("d"), (-a).alias("a"))))
-        return -best["a"]
+    span = axis.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+
+    def bucket(x: Column) -> Column:
+        place = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * AXIS_BUCKETS)
+        return F.when(F.col("_hi") > F.col("_lo"), F.greatest(F.lit(0), F.least(F.lit(AXIS_BUCKETS - 1), place))).otherwise(0).cast("long")
+
+    bounds = span.select(F.struct("_lo", "_hi")).scalar()
+    both = axis.select("value", F.lit(None).cast("double").alias("point"), F.col("value").alias("_at")).union(
+        points.select(F.lit(None).cast("double"), "point", F.col("point")))
+    both = both.withColumn("_span", bounds).select("value", "point", "_at", "_span.*").withColumn("_bucket", bucket(F.col("_at")))
+    edges = both.where("value IS NOT NULL").groupBy("_bucket").agg(F.min("value").alias("_first"), F.max("value").alias("_last"))
+    ranges = axis.sparkSession.range(AXIS_BUCKETS).withColumnRenamed("id", "_bucket").join(edges, "_bucket", "left")
+    order = Window.orderBy("_bucket")  # AXIS_BUCKETS rows
+    ranges = ranges.select("_bucket", F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
+                           F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+    here = Window.partitionBy("_bucket").orderBy("_at")
+    found = both.select("_bucket", "point", F.max("value").over(here.rangeBetween(Window.unboundedPreceding, 0)).alias("_lower"),
+                        F.min("value").over(here.rangeBetween(0, Window.unboundedFollowing)).alias("_upper")).where("point IS NOT NULL")
+    return found.join(ranges, "_bucket").select("point", F.coalesce("_lower", "_below").alias("lower"), F.coalesce("_upper", "_above").alias("upper"))
+
+
+def _nearest(points: DataFrame, axis: DataFrame, distance, circle: bool) -> DataFrame:
+    """(point, cell): the nearest axis value, of equally near ones the larger. On a circle, axis values are compared modulo 360."""
+    if not circle:
+        found = _neighbours(points, axis).select("point", F.array("lower", "upper").alias("near"))
+    else:
+        # of values that are the same place the larger one counts
+        places = axis.groupBy(grid_longitude(F.col("value")).alias("value")).agg(F.max(F.col("value")).alias("_name"))
+        ends = places.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).select(F.struct("lo", "hi")).scalar()
+        turned = points.select("point", grid_longitude(F.col("point")).alias("_turned"))
+        around = _neighbours(turned.select(F.col("_turned").alias("point")).distinct(), places.select("value")).withColumn("_ends", ends)
+        # before the first value comes the last one, and the other way round
+        near = around.select(F.col("point").alias("_turned"), F.explode(F.array_distinct(F.array(
+            F.coalesce("lower", "_ends.hi"), F.coalesce("upper", "_ends.lo")))).alias("value"))
+        near = near.join(places, "value").groupBy("_turned").agg(F.collect_list("_name").alias("near"))  # two at most
+        found = turned.join(near, "_turned").select("point", "near")
+    best = F.array_min(F.transform(F.filter("near", lambda a: a.isNotNull()), lambda a: F.struct(distance(a, F.col("point")).alias("d"), (-a).alias("a"))))
+    return found.select("point", (-best["a"]).alias("cell"))
 
-    lat, lon = F.col("latitude"), F.col("longitude")
 
-    def around(a: Column) -> Column:
-        return F.least(F.pmod(a - grid_longitude(lon), F.lit(360.0)), F.pmod(grid_longitude(lon) - a, F.lit(360.0)))
+def nearest_grid_cell(locations: DataFrame, axes: DataFrame, wrap: bool = True) -> DataFrame:
+    """Add ``cell_latitude``, ``cell_longitude``: each axis searched on its own, ties to the larger value.
 
-    both = axes.select(F.struct("latitude", "longitude")).scalar()
-    cell = F.struct(nearest(F.col("_axes.latitude"), lambda a: F.abs(a - lat)).alias("cell_latitude"),
-                    nearest(F.col("_axes.longitude"), around if wrap else lambda a: F.abs(a - lon)).alias("cell_longitude"))
-    # generated, not projected: a later join on the cell would otherwise push the search itself,
-    # as a not-null test, down to every row the locations are made from
-    return locations.withColumn("_axes", both).select("*", F.inline(F.array(cell))).drop("_axes")
+    ``axes`` comes from ``grid_axes``. ``wrap=True`` compares longitudes modulo 360, so -3.7 finds 356 on a 0..360 grid; ``wrap=False`` compares
+    them as plain numbers. A location without coordinates, or a grid without rows, has null cells.
+    """
+    def plain(a: Column, x: Column) -> Column:
+        return F.abs(a - x)
+
+    def around(a: Column, x: Column) -> Column:
+        return F.least(F.pmod(a - grid_longitude(x), F.lit(360.0)), F.pmod(grid_longitude(x) - a, F.lit(360.0)))
+
+    out = locations
+    for name, distance, circle in (("latitude", plain, False), ("longitude", around if wrap else plain, wrap)):
+        points = locations.select(F.col(name).cast("double").alias("point")).where("point IS NOT NULL").distinct()
+        cells = _nearest(points, axes.where(F.col("axis") == name).select(F.col("value").cast("double")), distance, circle)
+        out = out.join(cells.select(F.col("point").alias(name), F.col("cell").alias(f"cell_{name}")), name, "left")
+    return out.select(*locations.columns, "cell_latitude", "cell_longitude")
 
 
 def extract_at_locations(locations: DataFrame, grid: DataFrame, wrap: bool = True,

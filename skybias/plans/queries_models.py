@@ -19,7 +19,7 @@ ROUNDS, DEPTH = 17, 6
 GRID = {"alpha": [0.1, 0.5, 1.0, 2.0, 5.0], "l1_ratio": [0.1, 0.5, 0.9]}
 
 
-def _dataset(d):
+def dataset(d):
     """The stored dataset, as models are trained on it: all variables, locations, windows and fields."""
     if "_dataset_path" not in d.__dict__:
         path = work_path(d.spark, "dataset")
@@ -29,12 +29,12 @@ def _dataset(d):
 
 
 def _ensemble(d, members=MEMBERS):
-    return models.fit_ensemble("elastic_net", _dataset(d), members, alpha=ALPHA)
+    return models.fit_ensemble("elastic_net", dataset(d), members, alpha=ALPHA)
 
 
 @query("fit_elastic_net")
 def _(d):
-    return models.predict_members(_ensemble(d, 1), _dataset(d))
+    return models.predict_members(_ensemble(d, 1), dataset(d))
 
 
 @query("elastic_net_optimality", tables="sample_splits", sql=f"""
@@ -42,29 +42,29 @@ def _(d):
        FROM (SELECT DISTINCT variable FROM sample_splits WHERE split = 'train') v,
             (SELECT unnest(generate_series(0, {MEMBERS - 1})) AS member) m, (SELECT unnest(generate_series(0, {N_FUTURE - 1})) AS horizon) h""")
 def _(d):
-    found = models.optimality(_ensemble(d), _dataset(d))
+    found = models.optimality(_ensemble(d), dataset(d))
     return found.select("variable", "member", "horizon", (F.col("violation") < 1e-6).alias("optimal"))
 
 
 @query("fit_gradient_boosting")
 def _(d):
-    ensemble = models.fit_model("gradient_boosting", _dataset(d), rounds=ROUNDS, depth=DEPTH)
-    return models.predict_members(ensemble, _dataset(d))
+    ensemble = models.fit_model("gradient_boosting", dataset(d), rounds=ROUNDS, depth=DEPTH)
+    return models.predict_members(ensemble, dataset(d))
 
 
 @query("fit_ensemble")
 def _(d):
-    return models.predict_members(_ensemble(d), _dataset(d))
+    return models.predict_members(_ensemble(d), dataset(d))
 
 
 @query("grid_search")
 def _(d):
-    return models.grid_search("elastic_net", _dataset(d), GRID)
+    return models.grid_search("elastic_net", dataset(d), GRID)
 
 
 @query("evaluate")
 def _(d):
-    return models.evaluate(models.predict_members(_ensemble(d), _dataset(d)))
+    return models.evaluate(models.predict_members(_ensemble(d), dataset(d)))
 
 
 def _saved(d, members):
@@ -75,7 +75,7 @@ def _saved(d, members):
 
 @query("save_load_predict_members")
 def _(d):
-    return models.predict_members(_saved(d, 1)[1], _dataset(d))
+    return models.predict_members(_saved(d, 1)[1], dataset(d))
 
 
 @query("saved_members_agree", tables="sample_splits", sql=f"""
@@ -84,14 +84,14 @@ def _(d):
 def _(d):
     fitted, loaded = _saved(d, MEMBERS)
     keys = [*models.KEYS, "member", "horizon"]
-    one, two = (models.predict_members(e, _dataset(d)).select(*keys, F.col("bias_hat").alias(c)) for e, c in ((fitted, "a"), (loaded, "b")))
+    one, two = (models.predict_members(e, dataset(d)).select(*keys, F.col("bias_hat").alias(c)) for e, c in ((fitted, "a"), (loaded, "b")))
     both = one.join(two, keys, "full")
     return both.groupBy("variable", "split", "member").agg(F.count("*").alias("predictions"), F.count_if(~F.equal_null("a", "b")).alias("differing"))
 
 
 @query("foreign_predictions")
 def _(d):
-    rows = models.model_inputs(_dataset(d)).select(*models.KEYS, "features")
+    rows = models.model_inputs(dataset(d)).select(*models.KEYS, "features")
     # stands for a network trained elsewhere: the mean of the inputs at every horizon
     return models.foreign_predictions(rows, lambda x: x.mean(axis=1, keepdims=True).repeat(N_FUTURE, axis=1), N_FUTURE)
 

@@ -8,6 +8,8 @@ from skybias.functions.timeparts import shift_hours
 from skybias.operators import features, metrics, validation, weighted
 from skybias.plans.check_tables import pearson, score
 from skybias.plans.domain import MEMBERS
+from skybias.plans.queries_models import dataset
+from skybias.plans.queries_series import COARSE
 from skybias.plans.registry import query
 from skybias.schemas import SERIES
 
@@ -29,23 +31,27 @@ def _samples(d, fields, n_prev=24, n_future=24):
     return features.sliding_samples(d.processed, n_prev, n_future, fields)
 
 
-@query("sliding_samples", tables="sample_steps", doubles="bias observed pm25_forecast",
-       sql="SELECT location_id, variable, init_time, step, bias, observed, pm25_forecast FROM sample_steps")
+FIELDS = features.WINDOW_FIELDS
+FUTURE = [f for f in FIELDS if f not in ("observed", "bias")]
+LIST = ", ".join(FIELDS)
+SPLIT_PAIR = """p JOIN sample_steps f ON f.location_id = p.location_id AND f.variable = p.variable
+        AND f.init_time = p.init_time AND f.step = p.step + 24"""
+PAST_FUTURE = ", ".join([*(f"p.{f} AS past_{f}" for f in FIELDS), *(f"f.{f} AS future_{f}" for f in FUTURE)])
+PARTS = [f"past_{f}" for f in FIELDS] + [f"future_{f}" for f in FUTURE]
+COARSE_PARTS = {f"{side}{c}": n for c, n in COARSE.items() for side in ("past_", "future_")}
+
+
+@query("sliding_samples", tables="sample_steps", doubles=" ".join(FIELDS), coarse=COARSE,
+       sql=f"SELECT location_id, variable, init_time, step, {LIST} FROM sample_steps")
 def _(d):
-    fields = ["bias", "observed", "pm25_forecast"]
-    return _samples(d, fields).selectExpr(
-        *KEYS, "posexplode(arrays_zip(bias, observed, pm25_forecast)) AS (step, at)").select(*KEYS, "step", "at.*")
+    return _samples(d, FIELDS).selectExpr(*KEYS, f"posexplode(arrays_zip({LIST})) AS (step, at)").select(*KEYS, "step", "at.*")
 
 
-@query("split_features_labels", tables="sample_steps", doubles="past_bias past_observed future_pm25_forecast label", sql="""
-       SELECT p.location_id, p.variable, p.init_time, p.step, p.bias AS past_bias, p.observed AS past_observed,
-              f.pm25_forecast AS future_pm25_forecast, f.bias AS label
-       FROM sample_steps p JOIN sample_steps f ON f.location_id = p.location_id AND f.variable = p.variable
-        AND f.init_time = p.init_time AND f.step = p.step + 24""")
+@query("split_features_labels", tables="sample_steps", doubles=f"{' '.join(PARTS)} label", coarse=COARSE_PARTS,
+       sql=f"SELECT p.location_id, p.variable, p.init_time, p.step, {PAST_FUTURE}, f.bias AS label FROM sample_steps {SPLIT_PAIR}")
 def _(d):
-    fields = ["bias", "observed", "pm25_forecast"]
-    return features.split_features_labels(_samples(d, fields), 24, 24, fields).selectExpr(
-        *KEYS, "posexplode(arrays_zip(past_bias, past_observed, future_pm25_forecast, label)) AS (step, at)").select(*KEYS, "step", "at.*")
+    return features.split_features_labels(_samples(d, FIELDS), 24, 24).selectExpr(
+        *KEYS, f"posexplode(arrays_zip({', '.join(PARTS)}, label)) AS (step, at)").select(*KEYS, "step", "at.*")
 
 
 @query("train_test_split", tables="sample_splits", sql="SELECT * FROM sample_splits")
@@ -53,19 +59,22 @@ def _(d):
     return features.train_test_split(_samples(d, ["bias"]).select(*KEYS))
 
 
-@query("build_dataset", tables="sample_steps sample_splits locations",
-       doubles="latitude_attr longitude_attr elevation_attr hour_cos_aux hour_sin_aux month_cos_aux month_sin_aux label", sql="""
-       SELECT s.location_id, s.variable, s.init_time, s.step - 24 AS horizon, t.split, l.latitude AS latitude_attr,
+@query("build_dataset", tables="sample_steps sample_splits locations", coarse=COARSE_PARTS,
+       doubles=f"latitude_attr longitude_attr elevation_attr hour_cos_aux hour_sin_aux month_cos_aux month_sin_aux {' '.join(PARTS)} label", sql=f"""
+       SELECT p.location_id, p.variable, p.init_time, p.step AS horizon, t.split, l.latitude AS latitude_attr,
               l.longitude AS longitude_attr, l.elevation AS elevation_attr, cos(2 * pi() * i.local_time_hour / 24) AS hour_cos_aux,
-              sin(2 * pi() * i.local_time_hour / 24) AS hour_sin_aux, cos(2 * pi() * month(s.init_time) / 12) AS month_cos_aux,
-              sin(2 * pi() * month(s.init_time) / 12) AS month_sin_aux, s.bias AS label
-       FROM sample_steps s JOIN sample_splits t USING (location_id, variable, init_time) JOIN locations l USING (location_id)
-       JOIN sample_steps i ON i.location_id = s.location_id AND i.variable = s.variable AND i.init_time = s.init_time AND i.step = 24
-       WHERE s.step >= 24 AND (s.location_id, s.variable) IN (
+              sin(2 * pi() * i.local_time_hour / 24) AS hour_sin_aux, cos(2 * pi() * month(p.init_time) / 12) AS month_cos_aux,
+              sin(2 * pi() * month(p.init_time) / 12) AS month_sin_aux, {PAST_FUTURE}, f.bias AS label
+       FROM sample_steps {SPLIT_PAIR}
+       JOIN sample_splits t ON t.location_id = p.location_id AND t.variable = p.variable AND t.init_time = p.init_time
+       JOIN locations l ON l.location_id = p.location_id
+       JOIN sample_steps i ON i.location_id = p.location_id AND i.variable = p.variable AND i.init_time = p.init_time AND i.step = 24
+       WHERE (p.location_id, p.variable) IN (
          SELECT (location_id, variable) FROM processed GROUP BY location_id, variable HAVING count(*) >= 240)""")
 def _(d):
     data = features.build_dataset(d.processed, d.locations, min_rows=240)
-    return data.select(*KEYS, "split", *features.STATION_ATTRS, *features.TIME_AUX, F.posexplode("label").alias("horizon", "label"))
+    return data.selectExpr(*KEYS, "split", *features.STATION_ATTRS, *features.TIME_AUX, f"posexplode(arrays_zip({', '.join(PARTS)}, label)) AS (horizon, at)").select(
+        *KEYS, "split", *features.STATION_ATTRS, *features.TIME_AUX, "horizon", "at.*")
 
 
 @query("scale_attributes", tables="sample_splits locations", doubles="latitude_attr longitude_attr elevation_attr", sql="""
@@ -82,45 +91,36 @@ def _(d):
     return features.scale_attributes(features.train_test_split(data)).select(*KEYS, "split", *features.STATION_ATTRS)
 
 
-@query("scale_series", tables="sample_steps sample_splits", doubles="past_bias past_pm25_forecast future_pm25_forecast", sql="""
+@query("scale_series", tables="sample_steps sample_splits", doubles=" ".join(PARTS), sql=f"""
        WITH rows AS (SELECT * FROM sample_steps JOIN sample_splits USING (location_id, variable, init_time)),
-            stats AS (SELECT variable, avg(bias) AS mb, stddev_pop(bias) AS sb, avg(pm25_forecast) AS mf,
-                             stddev_pop(pm25_forecast) AS sf
+            stats AS (SELECT variable, {', '.join(f"avg({f}) AS m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1) AS s_{f}" for f in FIELDS)}
                       FROM rows WHERE split = 'train' AND step < 24 GROUP BY variable)
-       SELECT p.location_id, p.variable, p.init_time, p.split, p.step, (p.bias - mb) / sb AS past_bias,
-              (p.pm25_forecast - mf) / sf AS past_pm25_forecast, (f.pm25_forecast - mf) / sf AS future_pm25_forecast
+       SELECT p.location_id, p.variable, p.init_time, p.split, p.step,
+              {', '.join([*(f"(p.{f} - m_{f}) / s_{f} AS past_{f}" for f in FIELDS), *(f"(f.{f} - m_{f}) / s_{f} AS future_{f}" for f in FUTURE)])}
        FROM rows p JOIN rows f ON f.location_id = p.location_id AND f.variable = p.variable AND f.init_time = p.init_time
         AND f.step = p.step + 24 JOIN stats ON stats.variable = p.variable""")
 def _(d):
-    fields = ["bias", "pm25_forecast"]
-    data = features.train_test_split(features.split_features_labels(_samples(d, fields), 24, 24, fields))
-    return features.scale_series(data).selectExpr(
-        *KEYS, "split", "posexplode(arrays_zip(past_bias, past_pm25_forecast, future_pm25_forecast)) AS (step, at)").select(*KEYS, "split", "step", "at.*")
+    return features.scale_series(dataset(d)).selectExpr(
+        *KEYS, "split", f"posexplode(arrays_zip({', '.join(PARTS)})) AS (step, at)").select(*KEYS, "split", "step", "at.*")
 
 
-def _wide_sql() -> str:
-    names = ["-03", "-02", "-01", "00", "01", "02"]
-    wide = ", ".join(f'b[{i + 1}] AS "bias_{n}", o[{i + 1}] AS "observed_{n}"' for i, n in enumerate(names))
-    return f"""SELECT location_id, variable, time + INTERVAL 3 HOUR AS init_time, {wide} FROM (
-        SELECT a.location_id, a.variable, a.time, list(p.bias ORDER BY p.time) AS b, list(p.observed ORDER BY p.time) AS o
-        FROM processed a JOIN processed p ON p.location_id = a.location_id AND p.variable = a.variable
-         AND p.time BETWEEN a.time AND a.time + INTERVAL 5 HOUR
-        WHERE hour(a.time) IN (0, 12) GROUP BY ALL HAVING count(*) = 6)"""
+LAGS = [f"{i - 24:03d}" if i < 24 else f"{i - 24:02d}" for i in range(48)]
 
 
-@query("to_parity_wide", tables="processed", sql=_wide_sql(),
-       doubles=" ".join(f"{f}_{n}" for f in ("bias", "observed") for n in ("-03", "-02", "-01", "00", "01", "02")))
+@query("to_parity_wide", tables="sample_steps", doubles=" ".join(FIELDS), coarse=COARSE,
+       sql=f"SELECT location_id, variable, init_time, step, {LIST} FROM sample_steps")
 def _(d):
-    fields = ["bias", "observed"]
-    return features.to_parity_wide(_samples(d, fields, 3, 3), 3, 3, fields)
+    """All fields and lags; the columns are put one below the other again, each under the lag that its name says."""
+    wide = features.to_parity_wide(_samples(d, FIELDS), 24, 24, FIELDS)
+    steps = ", ".join(f"struct({i} AS step, {', '.join(f'`{f}_{lag}` AS {f}' for f in FIELDS)})" for i, lag in enumerate(LAGS))
+    return wide.selectExpr(*KEYS, f"inline(array({steps}))")
 
 
-@query("latest_init_forecast", tables="sample_steps", doubles="bias t2m_forecast", sql="""
-       SELECT location_id, variable, init_time, step, bias, t2m_forecast FROM sample_steps
-       WHERE init_time = TIMESTAMP '2024-01-16'""")
+@query("latest_init_forecast", tables="sample_steps", doubles=" ".join(FIELDS), coarse=COARSE, sql=f"""
+       SELECT location_id, variable, init_time, step, {LIST} FROM sample_steps WHERE init_time = TIMESTAMP '2024-01-16'""")
 def _(d):
-    return validation.latest_init_forecast(_samples(d, ["bias", "t2m_forecast"]), "2024-01-16").selectExpr(
-        *KEYS, "posexplode(arrays_zip(bias, t2m_forecast)) AS (step, at)").select(*KEYS, "step", "at.*")
+    return validation.latest_init_forecast(_samples(d, FIELDS), "2024-01-16").selectExpr(
+        *KEYS, f"posexplode(arrays_zip({LIST})) AS (step, at)").select(*KEYS, "step", "at.*")
 
 
 # --- predictions and validation -----------------------------------------------------------------
@@ -205,10 +205,17 @@ def _(d):
     return metrics.score_runs(d.validation)
 
 
-@query("score_runs_mean", tables="run_scores", doubles=SCORES, sql=f"""
+RUNS_SQL = f"""
        SELECT location_id, variable, split, type, strftime(init_time, '%Y-%m-%d %H:%M:%S') AS run, {SCORES.replace(' ', ', ')} FROM run_scores
        UNION ALL SELECT location_id, variable, split, type, 'Mean', {', '.join(f'avg({m})' for m in SCORES.split())}
-       FROM run_scores GROUP BY ALL""")
+       FROM run_scores GROUP BY ALL"""
+SERIES_SQL = score("location_id, variable, split, resampling, type", """(
+       SELECT location_id, variable, split, resampling, observations, 'CAMS' AS type, cams AS forecast FROM resampled
+       UNION ALL SELECT location_id, variable, split, resampling, observations, 'Corrected CAMS', corrected FROM resampled
+       UNION ALL SELECT location_id, variable, split, resampling, observations, 'Persistence', persistence FROM resampled)""")
+
+
+@query("score_runs_mean", tables="run_scores", doubles=SCORES, sql=RUNS_SQL)
 def _(d):
     return metrics.score_runs_mean(metrics.score_runs(d.validation))
 
@@ -218,10 +225,7 @@ def _(d):
     return metrics.resample_validation(d.validation)
 
 
-@query("score_series", tables="resampled", doubles=SCORES, sql=score("location_id, variable, split, resampling, type", """(
-       SELECT location_id, variable, split, resampling, observations, 'CAMS' AS type, cams AS forecast FROM resampled
-       UNION ALL SELECT location_id, variable, split, resampling, observations, 'Corrected CAMS', corrected FROM resampled
-       UNION ALL SELECT location_id, variable, split, resampling, observations, 'Persistence', persistence FROM resampled)"""))
+@query("score_series", tables="resampled", doubles=SCORES, sql=SERIES_SQL)
 def _(d):
     return metrics.score_series(d.validation)
 

@@ -14,12 +14,13 @@ from skybias.operators.validation import persistence_24h
 from skybias.plans.check_tables import haversine, to_ugm3, upsample
 from skybias.plans.check_tables import local_hour as sql_local_hour, location_id as sql_location_id
 from skybias.plans.registry import query
-from skybias.schemas import FIELDS, SERIES
+from skybias.schemas import ACCUMULATED, FIELDS, SERIES
 from skybias.sources.driver_tables import PERIOD, home_location_id
 
 START, END = PERIOD
 COARSE = {"msl": 3, "dsrp": 3, "uvb": 3, "msl_forecast": 3, "dsrp_forecast": 3, "uvb_forecast": 3}
 ALL_FORECAST = " ".join(f"{f}_forecast" for f in FIELDS)
+COLUMNS = ALL_FORECAST.replace(" ", ", ")
 
 # --- sensor choice ------------------------------------------------------------------------------
 
@@ -156,13 +157,12 @@ def _(d):
     return series.negative_to_null(d.processed.select(*SERIES, "time", "bias"), "bias")
 
 
-@query("drop_incomplete", tables="observed hourly_forecast", doubles="observed pm25_forecast", sql="""
-       SELECT location_id, time, variable, observed, pm25_forecast FROM observed JOIN hourly_forecast USING (location_id, time)
-       WHERE observed IS NOT NULL AND pm25_forecast IS NOT NULL""")
+@query("drop_incomplete", tables="observed hourly_forecast", doubles=f"observed {ALL_FORECAST}", coarse=COARSE, sql=f"""
+       SELECT location_id, time, variable, observed, {COLUMNS} FROM observed JOIN hourly_forecast USING (location_id, time)
+       WHERE observed IS NOT NULL AND {' AND '.join(f"{c} IS NOT NULL" for c in ALL_FORECAST.split())}""")
 def _(d):
-    outer = transform.merge_forecast_observed(d.hourly_forecast.select("location_id", "time", "pm25_forecast"),
-                                              d.hourly_observed, "outer")
-    return series.drop_incomplete(outer)
+    outer = transform.merge_forecast_observed(d.hourly_forecast, d.hourly_observed, "outer")
+    return series.drop_incomplete(outer.select("location_id", "time", "variable", "observed", *ALL_FORECAST.split()))
 
 
 # --- forecast series ----------------------------------------------------------------------------
@@ -203,25 +203,28 @@ def _(d):
     return series.differentiate_accumulated(series.upsample_linear(d.forecast, fields), fields)
 
 
-@query("differentiate_reset_aware", tables="upsampled", doubles="tp", sql="""
-       SELECT location_id, time, greatest(0.0, coalesce(CASE
-           WHEN lag(tp) OVER w IS NULL AND lead(tp) OVER w IS NULL THEN 0.0
-           WHEN lag(tp) OVER w IS NULL THEN lead(tp) OVER w - tp WHEN lead(tp) OVER w IS NULL THEN tp - lag(tp) OVER w
-           ELSE (lead(tp) OVER w - lag(tp) OVER w) / 2 END, 0.0)) AS tp
+def _reset_aware(c: str) -> str:
+    return f"""greatest(0.0, coalesce(CASE
+           WHEN lag({c}) OVER w IS NULL AND lead({c}) OVER w IS NULL THEN 0.0
+           WHEN lag({c}) OVER w IS NULL THEN lead({c}) OVER w - {c} WHEN lead({c}) OVER w IS NULL THEN {c} - lag({c}) OVER w
+           ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2 END, 0.0)) AS {c}"""
+
+
+@query("differentiate_reset_aware", tables="upsampled", doubles=" ".join(ACCUMULATED), coarse=COARSE, sql=f"""
+       SELECT location_id, time, {', '.join(map(_reset_aware, ACCUMULATED))}
        FROM upsampled WINDOW w AS (PARTITION BY location_id, date_trunc('day', time) ORDER BY time)""")
 def _(d):
-    return series.differentiate_accumulated(series.upsample_linear(d.forecast, ["tp"]), ["tp"], reset_aware=True)
+    return series.differentiate_accumulated(series.upsample_linear(d.forecast, ACCUMULATED), ACCUMULATED, reset_aware=True)
 
 
 # --- processed table ----------------------------------------------------------------------------
 
 
-@query("merge_forecast_observed", tables="hourly_forecast observed", doubles="observed pm25_forecast t2m_forecast", sql="""
-       SELECT location_id, time, variable, observed, pm25_forecast, t2m_forecast
-       FROM hourly_forecast FULL JOIN observed USING (location_id, time)""")
+@query("merge_forecast_observed", tables="hourly_forecast observed", doubles=f"observed {ALL_FORECAST}", coarse=COARSE, sql=f"""
+       SELECT location_id, time, variable, observed, {COLUMNS} FROM hourly_forecast FULL JOIN observed USING (location_id, time)""")
 def _(d):
     return transform.merge_forecast_observed(d.hourly_forecast, d.hourly_observed, "outer").select(
-        "location_id", "time", "variable", "observed", "pm25_forecast", "t2m_forecast")
+        "location_id", "time", "variable", "observed", *ALL_FORECAST.split())
 
 
 @query("processed_table", tables="processed", doubles=f"{ALL_FORECAST} observed forecast bias", coarse=COARSE,
@@ -254,13 +257,14 @@ def _(d):
     return d.processed.select(*SERIES, "time", *time_features(F.col("local_time_hour"), F.col("time")))
 
 
-@query("deseasonalise", tables="processed", doubles="pm25_forecast t2m_forecast bias", sql="""
-       SELECT location_id, variable, time, pm25_forecast - avg(pm25_forecast) OVER w AS pm25_forecast,
-              t2m_forecast - avg(t2m_forecast) OVER w AS t2m_forecast, bias - avg(bias) OVER w AS bias
+SEASONAL = [*ALL_FORECAST.split(), "bias"]
+
+
+@query("deseasonalise", tables="processed", doubles=" ".join(SEASONAL), coarse=COARSE, sql=f"""
+       SELECT location_id, variable, time, {', '.join(f"{c} - avg({c}) OVER w AS {c}" for c in SEASONAL)}
        FROM processed WINDOW w AS (PARTITION BY location_id, variable, month(time))""")
 def _(d):
-    fields = ["pm25_forecast", "t2m_forecast", "bias"]
-    return series.deseasonalise(d.processed.select(*SERIES, "time", *fields), fields)
+    return series.deseasonalise(d.processed.select(*SERIES, "time", *SEASONAL), SEASONAL)
 
 
 def _resample_sql(label: str) -> str:

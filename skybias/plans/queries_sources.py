@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skybias.operators import metrics, reports, sensors, spatial, validation
 from skybias.plans import jobs
 from skybias.plans.check_tables import to_ugm3
+from skybias.plans.queries_scores import RUNS_SQL, SCORES, SERIES_SQL
 from skybias.plans.queries_series import ALL_FORECAST, COARSE, END, RANKED_SQL, START
 from skybias.plans.registry import query
 from skybias.schemas import LEADS, RAW_FIELDS, SERIES
@@ -231,15 +232,14 @@ def _(d):
     return storage.wide_predictions(storage.read_predictions(d.spark, path))
 
 
-@query("write_metric_tables", tables="run_scores resampled", sql="""
-       SELECT 'set_of_runs' AS table_name, variable, split, count(*) + count(DISTINCT (location_id, type)) AS rows
-       FROM run_scores GROUP BY ALL
-       UNION ALL SELECT 'complete_series', variable, split, count(DISTINCT (location_id, resampling)) * 3 FROM resampled GROUP BY ALL""")
+@query("write_metric_tables", tables="run_scores resampled", doubles=SCORES, sql=f"""
+       SELECT 'set_of_runs' AS table_name, location_id, variable, split, type, run AS part, {SCORES.replace(' ', ', ')} FROM ({RUNS_SQL})
+       UNION ALL SELECT 'complete_series', location_id, variable, split, type, resampling, {SCORES.replace(' ', ', ')} FROM ({SERIES_SQL})""")
 def _(d):
     path = work_path(d.spark, "metrics")
     storage.write_metric_tables(metrics.score_runs_mean(metrics.score_runs(d.validation)), metrics.score_series(d.validation), path)
-    parts = [d.spark.read.parquet(f"{path}/{t}").groupBy("variable", "split").agg(F.count("*").alias("rows"))
-             .select(F.lit(t).alias("table_name"), "variable", "split", "rows") for t in ("set_of_runs", "complete_series")]
+    parts = [d.spark.read.parquet(f"{path}/{t}").select(F.lit(t).alias("table_name"), *SERIES, "split", "type", F.col(c).alias("part"), *SCORES.split())
+             for t, c in (("set_of_runs", "run"), ("complete_series", "resampling"))]
     return parts[0].unionByName(parts[1])
 
 

@@ -143,6 +143,35 @@ def test_split_is_chronological_and_disjoint(spark):
     assert edges["A", "train"][2] < edges["A", "test"][1]
 
 
+@pytest.mark.parametrize("prev, future", [(6, 6), (24, 24), (12, 6), (5, 3)])
+def test_window_times_are_those_of_the_windows(spark, prev, future):
+    """Series with gaps, over the edges of chunks."""
+    rng = np.random.default_rng(prev)
+    rows = spark.range(2000).where(~F.col("id").isin([int(x) for x in rng.choice(2000, 12)])).selectExpr(
+        "if(id % 3 = 0, 'A', 'B') AS location_id", "id").select(F.explode(F.array(F.lit("A"), F.lit("B"))).alias("location_id"), "id")
+    rows = rows.where("NOT (location_id = 'B' AND id BETWEEN 700 AND 760)").selectExpr("location_id", "'o3' AS variable", "timestamp_seconds((id + 720 * 659 - 40) * 3600) AS time", "double(id) AS bias")
+    key = lambda df: sorted((r["location_id"], r["init_time"]) for r in df.collect())
+    times = key(features.window_times(rows, prev, future))
+    assert times and times == key(features.sliding_samples(rows, prev, future, ["bias"]))
+
+
+def test_dataset_packs_windows_once(spark, table):
+    """The split is that of the windows' ranks; one aggregate collects rows, and what it makes is not shuffled again for the split."""
+    rows = hourly(table, [float(i) for i in range(400)]).withColumn("bias", F.col("bias") + 0)
+    places = spark.createDataFrame([("A", "UTC", 1.0, 2.0, 3.0)], "location_id STRING, timezone STRING, latitude DOUBLE, longitude DOUBLE, elevation DOUBLE")
+    data = features.build_dataset(rows, places, 12, 6, fields=["bias"])
+    plain = features.train_test_split(features.sliding_samples(rows, 12, 6, ["bias"]))
+    key = lambda df: sorted((r["location_id"], r["init_time"], r["split"]) for r in df.collect())
+    assert key(data) == key(plain) and {s for *_, s in key(data)} == {"train", "test"}
+    assert data._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+
+
+def test_shuffled_rows_are_the_rows_in_a_fixed_order(spark):
+    df = spark.range(200).selectExpr("'A' AS location_id", "'o3' AS variable", "timestamp_seconds(id * 3600) AS init_time", "id")
+    order = lambda seed, rows: [r["id"] for r in features.shuffle_rows(rows, seed).collect()]
+    assert sorted(order(1, df)) == list(range(200)) and order(1, df) == order(1, df.repartition(7)) != order(2, df) and order(1, df) != list(range(200))
+
+
 def test_min_station_rows(table):
     df = hourly(table, [1.0] * 10)
     assert features.min_station_rows(df, 10).count() == 10 and features.min_station_rows(df, 11).count() == 0

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,31 @@ def test_nearest_cell_ties_and_wrap(spark):
     assert plain["m"]["cell_longitude"] == 0.0
 
 
+@pytest.mark.parametrize("wrap", [True, False])
+def test_nearest_cell_equals_a_search_of_the_whole_axes(spark, wrap):
+    """Uneven axes with gaps and close values, a value on both ends of the circle, places at, between and beyond axis values."""
+    rng = np.random.default_rng(4)
+    lats = np.unique(np.concatenate([rng.uniform(-60, 60, 300).round(2), 10 + np.arange(500) * 1e-4, [80.0]]))
+    lons = np.unique(np.concatenate([rng.uniform(0, 90, 200).round(2), rng.uniform(300, 358, 40).round(1), [0.0, 360.0, 200.0]]))
+    grid = spark.createDataFrame([(float(a), float(o)) for a, o in zip(np.resize(lats, 2000), np.resize(lons, 2000))], "latitude DOUBLE, longitude DOUBLE").repartition(4)
+    places = [(str(i), float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-90, 90, 200), rng.uniform(-180, 180, 200)))]
+    places += [("on", float(lats[3]), float(lons[3])), ("mid", float(lats[5] + lats[6]) / 2, -1e-9), ("far", -90.0, 180.0), ("end", 90.0, 359.9), ("none", None, None)]
+    table = spark.createDataFrame(places, "location_id STRING, latitude DOUBLE, longitude DOUBLE")
+    got = {r["location_id"]: (r["cell_latitude"], r["cell_longitude"]) for r in spatial.nearest_grid_cell(table, spatial.grid_axes(grid), wrap).collect()}
+    assert len(got) == len(places) and got.pop("none") == (None, None)
+
+    def nearest(axis, away):
+        return -min((away(a), -a) for a in axis.tolist())[1]
+
+    for name, lat, lon in places[:-1]:
+        east = lon % 360.0
+        away = (lambda o: min((o - east) % 360.0, (east - o) % 360.0)) if wrap else (lambda o: abs(o - lon))
+        assert got[name] == (nearest(lats, lambda a: abs(a - lat)), nearest(lons, away)), name
+    plan = spatial.nearest_grid_cell(table, spatial.grid_axes(grid), wrap)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "Cartesian" not in plan
+    assert spatial.nearest_grid_cell(table, spatial.grid_axes(grid.limit(0)), wrap).where("cell_latitude IS NOT NULL OR cell_longitude IS NOT NULL").count() == 0
+
+
 def test_catalogue_ranking(spark):
     """One sensor 0.73 km away that covers the whole period."""
     row = (1, "Madrid", "n", "e", "ES", [("1", "u", "n")], False, False,

@@ -49,12 +49,32 @@ def test_exact_quantiles_of_large_and_small_groups(spark):
         "hot": np.concatenate([rng.normal(0, 1, 30_000), rng.exponential(1e6, 50)]), "ties": rng.integers(0, 4, 20_000).astype(float),
         "tiny": np.array([1.0, 2.0, 10.0]), "one": np.array([5.0])}.items()]
     data = pd.concat(frames)
-    out = exact_quantiles(spark.createDataFrame(data), ["k"], "v", {"q1": 0.25, "m": 0.5, "q3": 0.75, "top": 0.999}, accuracy=1000)
+    out = exact_quantiles(spark.createDataFrame(data), ["k"], "v", {"q1": 0.25, "m": 0.5, "q3": 0.75, "top": 0.999})
     for r in out.collect():
         want = data.loc[data.k == r["k"], "v"].quantile([0.25, 0.5, 0.75, 0.999]).tolist()
         assert [r["q1"], r["m"], r["q3"], r["top"]] == pytest.approx(want, rel=1e-12), r["k"]
 
 
+def test_exact_quantiles_over_several_tasks_and_scales(spark):
+    """50,000 different values of one group over eight tasks; values of all sizes and signs, infinities, and many equal ones in one bin."""
+    rng = np.random.default_rng(2)
+    groups = {"many": rng.permutation(np.arange(50_000) * 0.37 - 3000), "near": 101_325 + rng.normal(0, 1e-7, 9001),
+              "sizes": np.concatenate([rng.choice([-1, 1], 4000) * 10.0 ** rng.uniform(-300, 300, 4000), [0.0, -0.0]]),
+              "ends": np.array([-np.inf, 1.0, 2.0, 3.0, np.inf]), "two": np.array([-1.0, 1.0])}
+    data = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in groups.items()])
+    rows = spark.createDataFrame(data).repartition(8)
+    rows = rows.union(spark.createDataFrame([("many", None), ("none", None)], "k string, v double"))
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.987, "e": 1.0}
+    found = {r["k"]: [r[c] for c in probs] for r in exact_quantiles(rows, ["k"], "v", probs).collect()}
+    assert set(found) == set(groups)
+    for k, v in groups.items():
+        if k == "ends":
+            assert (found[k][0], found[k][2], found[k][4]) == (-np.inf, 2.0, np.inf)
+        else:
+            assert found[k] == pytest.approx(np.quantile(v, list(probs.values())).tolist(), rel=1e-12), k
+    assert exact_quantiles(rows.limit(0), ["k"], "v", probs).count() == 0
+
+
 def test_iqr_filter_is_strict(table):
     df = table(rows_of([1.0, 2.0, 3.0, 4.0, 1000.0]) + rows_of([5.0, 5.0], place="B"), SCHEMA)
     kept = series.iqr_outlier_filter(df)
