@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skybias.functions.timeparts import time_part
+from skybias.operators.comoments import pair_sums
 from skybias.operators.quantiles import exact_quantiles
 from skybias.operators.series import deseasonalise, resample_mean
 from skybias.operators.validation import stack_series
 from skybias.schemas import FIELDS, FORECAST_TYPES, SERIES, SERIES_LABELS
 
 KDE_POINTS = 200
+REACH = 8.5
 
 
 def filter_country_city(processed: DataFrame, locations: DataFrame, country: str,
@@ -134,20 +136,28 @@ def error_cdf(histogram: DataFrame, keys: list[str]) -> DataFrame:
 def error_density(df: DataFrame, keys: list[str], value: str, binwidth: float = 5) -> DataFrame:
     """Gaussian kernel density on 200 points from minimum to maximum, scaled to the histogram.
 
-    Every row adds to each point of its group's grid; the sums are combined map-side, so the
-    shuffle carries 200 rows per group and task.
+    A row adds to the points within ``REACH`` bandwidths: farther on, all rows together add less than exp(-REACH^2 / 2) / bandwidth, which is below
+    the rounding of a double. The sums are combined map-side, so the shuffle carries at most 200 rows per group and task. A group
+    without spread has no density: it is listed with its value and nulls for point and density.
     """
     v = F.col(value)
     stats = df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(v).alias("_n"),
-                                  F.stddev_samp(v).alias("_sd"))
-    stats = stats.withColumn("_h", F.expr("_sd * power(_n, -0.2D)")).where("_h > 0")
-    point = f"_lo + (_hi - _lo) * point / {KDE_POINTS - 1}"
-    rows = df.where(v.isNotNull()).select(*keys, v.alias("_v")).join(stats, keys)
-    sums = (rows.selectExpr(*keys, "_v", "_lo", "_hi", "_h", f"explode(sequence(0, {KDE_POINTS - 1})) AS point")
+                                  F.stddev_samp(v).alias("_sd")).where("_n > 0")
+    stats = stats.withColumn("_h", F.expr("_sd * power(_n, -0.2D)"))
+    spread, last = stats.where("_h > 0"), KDE_POINTS - 1
+    point = f"_lo + (_hi - _lo) * point / {last}"
+    place = f"(_v - _lo + {{}} * {REACH} * _h) / (_hi - _lo) * {last}"
+    near = f"struct(greatest(0, int(ceil({place.format(-1)}))) AS a, least({last}, int(floor({place.format(1)}))) AS b)"
+    rows = df.where(v.isNotNull()).select(*keys, v.alias("_v")).join(spread, keys)
+    sums = (rows.selectExpr(*keys, "_v", "_lo", "_hi", "_h", f"{near} AS _near").where("_near.a <= _near.b")
+            .selectExpr(*keys, "_v", "_lo", "_hi", "_h", "explode(sequence(_near.a, _near.b)) AS point")
             .groupBy(*keys, "point")
             .agg(F.sum(F.expr(f"exp(-0.5D * power(({point} - _v) / _h, 2))")).alias("_sum")))
-    return sums.join(stats, keys).selectExpr(
-        *keys, "point", f"{point} AS x", f"_sum / (_n * _h * sqrt(2 * pi())) * {float(binwidth)}D AS density")
+    grid = spread.selectExpr("*", f"explode(sequence(0, {last})) AS point")
+    dense = grid.join(sums, [*keys, "point"], "left").selectExpr(
+        *keys, "point", f"{point} AS x", f"coalesce(_sum, 0D) / (_n * _h * sqrt(2 * pi())) * {float(binwidth)}D AS density")
+    flat = stats.where("coalesce(_h, 0D) <= 0").selectExpr(*keys, "CAST(NULL AS INT) AS point", "_lo AS x", "CAST(NULL AS DOUBLE) AS density")
+    return dense.unionByName(flat)
 
 
 def days_available(processed: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
@@ -168,9 +178,8 @@ def correlation_matrix(processed: DataFrame, agg: str | None = None, keys: list[
                        fields: list[str] = FIELDS) -> DataFrame:
     """Correlation of every pair of fields and errors after taking out the monthly means, as (x, y, r).
 
-    ``error`` is the deseasonalised bias, ``error_raw`` the bias as it is. The pairs are unpivoted
-    before one aggregation, which keeps plain sums and combines them map-side: a task sends one row
-    per group and pair. Sums are safe because the columns are centred, the raw error by its own mean.
+    ``error`` is the deseasonalised bias, ``error_raw`` the bias as it is. All pairs come from a few matrix products over the rows of
+    a group in a batch, and a task sends one row per group and pair. Sums are safe because the columns are centred, the raw error by its own mean.
     """
     names = [*fields, "error"]
     rows = processed.selectExpr(*keys, "time", *[f"{f}_forecast AS {f}" for f in fields], "bias AS error", "bias AS error_raw")
@@ -181,12 +190,7 @@ def correlation_matrix(processed: DataFrame, agg: str | None = None, keys: list[
     if agg:
         rows = resample_mean(rows, agg, names, keys)
     pairs = list(combinations_with_replacement(names, 2))
-    values = ", ".join(f"{i}, {a}, {b}" for i, (a, b) in enumerate(pairs))
-    sums = (rows.selectExpr(*keys, f"stack({len(pairs)}, {values}) AS (_pair, _a, _b)")
-            .where("_a IS NOT NULL AND _b IS NOT NULL")
-            .groupBy(*keys, "_pair")
-            .agg(F.expr("count(*)").alias("_n"), F.expr("sum(_a)").alias("_sa"), F.expr("sum(_b)").alias("_sb"),
-                 F.expr("sum(_a * _b)").alias("_ab"), F.expr("sum(_a * _a)").alias("_aa"), F.expr("sum(_b * _b)").alias("_bb")))
+    sums = pair_sums(rows, keys, names, pairs)
     name_of = [", ".join(f"'{pair[side]}'" for pair in pairs) for side in (0, 1)]
     spread = "sqrt(greatest(_aa / _n - _sa / _n * _sa / _n, 0D)) * sqrt(greatest(_bb / _n - _sb / _n * _sb / _n, 0D))"
     return sums.selectExpr(*keys, f"array({name_of[0]})[_pair] AS x", f"array({name_of[1]})[_pair] AS y",

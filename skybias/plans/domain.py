@@ -1,6 +1,6 @@
 """The chain of derived tables of one scale factor, built once per session.
 
-Two tables are stored in the shared work folder, as the jobs do: the processed table and the
+Four tables are stored in the shared work folder: locations and sensors, and, as the jobs do, the processed table and the
 validation table. The rest are lazy DataFrames.
 """
 
@@ -24,13 +24,19 @@ class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.tables = spark, DriverTables(spark, sf_dir)
 
+    def _dimension(self, rows: DataFrame, name: str) -> DataFrame:
+        """A small table that is distilled from the readings, stored so that its many users don't read them again."""
+        path = work_path(self.spark, name)
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     @cached_property
     def locations(self) -> DataFrame:
-        return self.tables.locations()
+        return self._dimension(self.tables.locations(), "locations")
 
     @cached_property
     def sensors(self) -> DataFrame:
-        return self.tables.sensor_variables()
+        return self._dimension(self.tables.sensor_variables(), "sensors")
 
     @cached_property
     def measurements(self) -> DataFrame:

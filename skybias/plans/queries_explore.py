@@ -149,11 +149,12 @@ def _(d):
 @query("error_density", tables="processed", doubles="x density", sql="""
        WITH s AS (SELECT location_id, variable, min(bias) AS lo, max(bias) AS hi, count(*) AS n,
                          stddev_samp(bias) * pow(count(*), -0.2) AS h FROM processed GROUP BY ALL),
-            g AS (SELECT *, lo + (hi - lo) * point / 199.0 AS x FROM (SELECT *, unnest(range(200)) AS point FROM s))
+            g AS (SELECT *, lo + (hi - lo) * point / 199.0 AS x FROM (SELECT *, unnest(range(200)) AS point FROM s WHERE h > 0))
        SELECT g.location_id, g.variable, g.point, g.x,
               sum(exp(-pow((g.x - p.bias) / g.h, 2) / 2)) / (any_value(g.n) * any_value(g.h) * sqrt(2 * pi())) * 5 AS density
        FROM g JOIN processed p ON p.location_id = g.location_id AND p.variable = g.variable
-       GROUP BY g.location_id, g.variable, g.point, g.x""")
+       GROUP BY g.location_id, g.variable, g.point, g.x
+       UNION ALL SELECT location_id, variable, NULL, lo, NULL FROM s WHERE coalesce(h, 0) <= 0""")
 def _(d):
     return explore.error_density(d.processed, SERIES, "bias")
 

@@ -252,3 +252,37 @@ def test_p_values(spark, r, n, p):
 
 def test_p_value_of_two_pairs_is_null(spark):
     assert spark.createDataFrame([(0.3, 2)], "r DOUBLE, n LONG").select(weighted.correlation_p_value("r", "n")).first()[0] is None
+
+
+def test_pair_sums_over_tasks_with_nulls(spark):
+    from skybias.operators.comoments import pair_sums
+    rng = np.random.default_rng(8)
+    data = pd.DataFrame({"k": rng.choice(["a", "b"], 500), "g": rng.integers(0, 3, 500), **{c: rng.normal(size=500) for c in "xyz"}})
+    for c in "xy":
+        data.loc[rng.random(500) < 0.2, c] = None
+    rows = spark.createDataFrame([tuple(None if isinstance(v, float) and v != v else v for v in r) for r in data.itertuples(index=False, name=None)], "k string, g long, x double, y double, z double")
+    rows = rows.union(spark.createDataFrame([("c", None, 1.0, None, 2.0)], rows.schema)).repartition(6)
+    pairs = [("x", "x"), ("x", "y"), ("z", "y"), ("z", "z")]
+    found = {(r["k"], r["g"], r["_pair"]): [r[c] for c in ("_n", "_sa", "_sb", "_ab", "_aa", "_bb")] for r in pair_sums(rows, ["k", "g"], ["x", "y", "z"], pairs).collect()}
+    for (k, g), part in data.groupby(["k", "g"]):
+        for i, (a, b) in enumerate(pairs):
+            both = part[part[a].notna() & part[b].notna()]
+            x, y = both[a].to_numpy(), both[b].to_numpy()
+            assert found[k, g, i] == pytest.approx([len(x), x.sum(), y.sum(), x @ y, x @ x, y @ y], rel=1e-9, abs=1e-9)
+    assert found["c", None, 0][0] == 1 and ("c", None, 1) not in found and ("c", None, 3) in found
+    assert pair_sums(rows.limit(0), ["k", "g"], ["x", "y", "z"], pairs).count() == 0
+
+
+def test_density_reaches_far_rows_and_lists_flat_groups(spark):
+    from skybias.operators import explore
+    rng = np.random.default_rng(9)
+    groups = {"wide": np.append(rng.normal(0, 1, 3000), [500.0]), "flat": np.full(4, 7.0), "one": np.array([3.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("none", None)], "k string, v double")
+    out = explore.error_density(rows, ["k"], "v").toPandas()
+    x = groups["wide"]
+    at, h = np.linspace(x.min(), x.max(), 200), x.std(ddof=1) * len(x) ** -0.2
+    want = np.exp(-0.5 * ((at[:, None] - x) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi)) * 5
+    got = out[out.k == "wide"].sort_values("point")
+    assert got.point.tolist() == list(range(200)) and got.density.to_numpy() == pytest.approx(want, abs=1e-13)
+    flat = out[out.k != "wide"]
+    assert sorted(zip(flat.k, flat.x)) == [("flat", 7.0), ("one", 3.0)] and flat.point.isna().all() and flat.density.isna().all()
