@@ -44,10 +44,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
                for i, p in enumerate(place.values()) for up in (0, 1)]
     one = _found(wide.withColumn("_want", F.array(*targets)), keys, "_b1")
     near = rows.join(one, [*keys, "_b1"]).withColumn("_b2", _fine(F.col("_v")))
-    narrow = near.groupBy(*keys, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c")).join(one.select(*keys, "_b1", "_n", "_want"), [*keys, "_b1"])
+    # the different values of the wide bins, with their counts, shuffled once for both of the following
+    values = near.groupBy(*keys, "_b1", "_b2", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    narrow = values.groupBy(*keys, "_b1", "_b2").agg(F.sum("_c").alias("_c")).join(one.select(*keys, "_b1", "_n", "_want"), [*keys, "_b1"])
     two = _found(narrow, [*keys, "_b1"], "_b2")
-    last = near.drop("_want", "_n").join(two, [*keys, "_b1", "_b2"])
-    last = last.groupBy(*keys, "_b1", "_b2", "_v").agg(F.count(F.lit(1)).alias("_c")).join(two, [*keys, "_b1", "_b2"])
+    last = values.join(two, [*keys, "_b1", "_b2"])
     three = _found(last, [*keys, "_b1", "_b2"], "_v").select(*keys, "_n", "_v", F.explode("_want.target").alias("_target"))
     out = []
     for i, (name, p) in enumerate(place.items()):

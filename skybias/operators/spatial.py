@@ -62,50 +62,44 @@ def grid_axes(grid: DataFrame) -> DataFrame:
     return grid.sparkSession.read.schema("axis string, value double").parquet(path)
 
 
-def _neighbours(points: DataFrame, axis: DataFrame) -> DataFrame:
-    """(point, lower, upper): for each distinct point the axis values next to it on both sides, itself included; columns ``point``; ``value``.
+def _nearest(points: DataFrame, axes: DataFrame, wrap: bool) -> DataFrame:
+    """(axis, point, cell): the nearest value of the axis, of equally near ones the larger.
 
-    Both are dealt to ``AXIS_BUCKETS`` even ranges of the axis and sorted there. Where a range has no value on one side, the nearest filled range
-    gives its own: that is looked up in a table with a row for each range.
+    Values and points of an axis are dealt to ``AXIS_BUCKETS`` even ranges of it and sorted there. Where a range has no value on one side of a
+    point, the nearest filled range gives its own: that is looked up in a table with a row for each range.
     """
-    span = axis.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-
-    def bucket(x: Column) -> Column:
-        place = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * AXIS_BUCKETS)
-        return F.when(F.col("_hi") > F.col("_lo"), F.greatest(F.lit(0), F.least(F.lit(AXIS_BUCKETS - 1), place))).otherwise(0).cast("long")
-
-    bounds = span.select(F.struct("_lo", "_hi")).scalar()
-    both = axis.select("value", F.lit(None).cast("double").alias("point"), F.col("value").alias("_at")).union(
-        points.select(F.lit(None).cast("double"), "point", F.col("point")))
-    both = both.withColumn("_span", bounds).select("value", "point", "_at", "_span.*").withColumn("_bucket", bucket(F.col("_at")))
-    edges = both.where("value IS NOT NULL").groupBy("_bucket").agg(F.min("value").alias("_first"), F.max("value").alias("_last"))
-    ranges = axis.sparkSession.range(AXIS_BUCKETS).withColumnRenamed("id", "_bucket").join(edges, "_bucket", "left")
-    order = Window.orderBy("_bucket")  # AXIS_BUCKETS rows
-    ranges = ranges.select("_bucket", F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
+    around = (F.col("axis") == "longitude") & F.lit(wrap)
+
+    def place(x: Column) -> Column:
+        return F.when(around, grid_longitude(x)).otherwise(x)
+
+    # of values that are the same place on the circle the larger one counts
+    values = axes.select("axis", place(F.col("value")).alias("_at"), F.col("value").alias("_name")).groupBy("axis", "_at").agg(F.max("_name").alias("_name"))
+    values = values.select("axis", "_at", F.struct("_at", "_name").alias("_value"))
+    span = values.groupBy("axis").agg(F.min("_value").alias("_lo"), F.max("_value").alias("_hi"))
+    part = F.floor((F.col("_at") - F.col("_lo._at")) / (F.col("_hi._at") - F.col("_lo._at")) * AXIS_BUCKETS)
+    bucket = F.when(F.col("_hi._at") > F.col("_lo._at"), F.greatest(F.lit(0), F.least(F.lit(AXIS_BUCKETS - 1), part))).otherwise(0).cast("long")
+    none = F.lit(None)
+    both = values.select("axis", "_at", "_value", none.cast("double").alias("point")).union(
+        points.select("axis", place(F.col("point")), none.cast(values.schema["_value"].dataType), "point"))
+    both = both.join(span, "axis").withColumn("_bucket", bucket)
+    edges = both.where("_value IS NOT NULL").groupBy("axis", "_bucket").agg(F.min("_value").alias("_first"), F.max("_value").alias("_last"))
+    ranges = span.select("axis", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(AXIS_BUCKETS - 1).cast("long"))).alias("_bucket")).join(edges, ["axis", "_bucket"], "left")
+    order = Window.partitionBy("axis").orderBy("_bucket")  # AXIS_BUCKETS rows
+    ranges = ranges.select("axis", "_bucket", F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
                            F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
-    here = Window.partitionBy("_bucket").orderBy("_at")
-    found = both.select("_bucket", "point", F.max("value").over(here.rangeBetween(Window.unboundedPreceding, 0)).alias("_lower"),
-                        F.min("value").over(here.rangeBetween(0, Window.unboundedFollowing)).alias("_upper")).where("point IS NOT NULL")
-    return found.join(ranges, "_bucket").select("point", F.coalesce("_lower", "_below").alias("lower"), F.coalesce("_upper", "_above").alias("upper"))
-
-
-def _nearest(points: DataFrame, axis: DataFrame, distance, circle: bool) -> DataFrame:
-    """(point, cell): the nearest axis value, of equally near ones the larger. On a circle, axis values are compared modulo 360."""
-    if not circle:
-        found = _neighbours(points, axis).select("point", F.array("lower", "upper").alias("near"))
-    else:
-        # of values that are the same place the larger one counts
-        places = axis.groupBy(grid_longitude(F.col("value")).alias("value")).agg(F.max(F.col("value")).alias("_name"))
-        ends = places.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).select(F.struct("lo", "hi")).scalar()
-        turned = points.select("point", grid_longitude(F.col("point")).alias("_turned"))
-        around = _neighbours(turned.select(F.col("_turned").alias("point")).distinct(), places.select("value")).withColumn("_ends", ends)
-        # before the first value comes the last one, and the other way round
-        near = around.select(F.col("point").alias("_turned"), F.explode(F.array_distinct(F.array(
-            F.coalesce("lower", "_ends.hi"), F.coalesce("upper", "_ends.lo")))).alias("value"))
-        near = near.join(places, "value").groupBy("_turned").agg(F.collect_list("_name").alias("near"))  # two at most
-        found = turned.join(near, "_turned").select("point", "near")
-    best = F.array_min(F.transform(F.filter("near", lambda a: a.isNotNull()), lambda a: F.struct(distance(a, F.col("point")).alias("d"), (-a).alias("a"))))
-    return found.select("point", (-best["a"]).alias("cell"))
+    here = Window.partitionBy("axis", "_bucket").orderBy("_at")
+    found = both.select("axis", "_bucket", "point", "_lo", "_hi", F.max("_value").over(here.rangeBetween(Window.unboundedPreceding, 0)).alias("_lower"),
+                        F.min("_value").over(here.rangeBetween(0, Window.unboundedFollowing)).alias("_upper")).where("point IS NOT NULL")
+    # on the circle, before the first value comes the last one, and the other way round
+    near = F.array(F.coalesce("_lower", "_below", F.when(around, F.col("_hi")))["_name"], F.coalesce("_upper", "_above", F.when(around, F.col("_lo")))["_name"])
+    x = F.col("point")
+
+    def distance(a: Column) -> Column:
+        return F.when(around, F.least(F.pmod(a - grid_longitude(x), F.lit(360.0)), F.pmod(grid_longitude(x) - a, F.lit(360.0)))).otherwise(F.abs(a - x))
+
+    best = F.array_min(F.transform(F.filter(near, lambda a: a.isNotNull()), lambda a: F.struct(distance(a).alias("d"), (-a).alias("a"))))
+    return found.join(ranges, ["axis", "_bucket"]).select("axis", "point", (-best["a"]).alias("cell"))
 
 
 def nearest_grid_cell(locations: DataFrame, axes: DataFrame, wrap: bool = True) -> DataFrame:
@@ -114,17 +108,11 @@ def nearest_grid_cell(locations: DataFrame, axes: DataFrame, wrap: bool = True)
     ``axes`` comes from ``grid_axes``. ``wrap=True`` compares longitudes modulo 360, so -3.7 finds 356 on a 0..360 grid; ``wrap=False`` compares
     them as plain numbers. A location without coordinates, or a grid without rows, has null cells.
     """
-    def plain(a: Column, x: Column) -> Column:
-        return F.abs(a - x)
-
-    def around(a: Column, x: Column) -> Column:
-        return F.least(F.pmod(a - grid_longitude(x), F.lit(360.0)), F.pmod(grid_longitude(x) - a, F.lit(360.0)))
-
+    pairs = "stack(2, 'latitude', double(latitude), 'longitude', double(longitude)) AS (axis, point)"
+    cells = _nearest(locations.selectExpr(pairs).where("point IS NOT NULL").distinct(), axes, wrap)
     out = locations
-    for name, distance, circle in (("latitude", plain, False), ("longitude", around if wrap else plain, wrap)):
-        points = locations.select(F.col(name).cast("double").alias("point")).where("point IS NOT NULL").distinct()
-        cells = _nearest(points, axes.where(F.col("axis") == name).select(F.col("value").cast("double")), distance, circle)
-        out = out.join(cells.select(F.col("point").alias(name), F.col("cell").alias(f"cell_{name}")), name, "left")
+    for name in ("latitude", "longitude"):
+        out = out.join(cells.where(F.col("axis") == name).select(F.col("point").alias(name), F.col("cell").alias(f"cell_{name}")), name, "left")
     return out.select(*locations.columns, "cell_latitude", "cell_longitude")
 
 
