@@ -25,6 +25,7 @@ from skybias.llm.tables import stored, table, text_of
 
 BUCKET_BITS, PRIOR, DRIFT, CALIBRATION_ROWS, SIGNIFICANT = 20, 6.0, 0.5, 200_000, 0.05
 BUCKETS = 1 << BUCKET_BITS
+FILTER_BITS = 1 << 24
 _CLOSING = np.zeros(256, bool)
 _CLOSING[[ord(c) for c in ".,;:!?\"')"]] = True
 
@@ -142,9 +143,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, calibration: str = "calibration") -> dict:
-    """Model from ``labelled`` (doc_id, text, toxic 0/1, and whether a row calibrates instead of being counted)."""
-    counted = labelled.where(~F.col(calibration)).groupBy(F.xxhash64("text").alias("_t"), "toxic").agg(F.min("text").alias("text"))
-    sums = counted.select("text", "toxic").mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    """Model from ``labelled`` (doc_id, text, toxic 0/1, and whether a row calibrates instead of being counted); texts to count are distinct."""
+    sums = labelled.where(~F.col(calibration)).select("text", "toxic").mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     clean, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for row in sums.mapInArrow(_pack, "bucket binary, clean binary, toxic binary").collect():
         bucket = np.frombuffer(bytes(row["bucket"]), np.int64)
@@ -179,11 +179,59 @@ def remainder(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
+def _positions(ids: pa.Array) -> list[np.ndarray]:
+    key = texts.mix(ids.fill_null(0).to_numpy().astype(np.uint64))
+    return [(texts.mix(key + np.uint64(i)) % np.uint64(FILTER_BITS)).astype(np.int64) for i in range(3)]
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        for at in _positions(batch.column("doc_id")):
+            bits[at] = True
+    words = np.packbits(bits).view(np.int64)
+    found = np.flatnonzero(words)
+    yield pa.record_batch([pa.array(found), pa.array(words[found])], ["place", "word"])
+
+
+def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], ["place", "word"])
+
+
+def likely_labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be among ``ids``: a Bloom filter of ``FILTER_BITS`` bits, whatever their number. With very many ids it
+    lets more rows pass; an exact join follows."""
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    merged = ids.select("doc_id").mapInArrow(_set_bits, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word"))
+    for row in merged.mapInArrow(_pack_words, "place binary, word binary").collect():
+        words[np.frombuffer(bytes(row["place"]), np.int64)] = np.frombuffer(bytes(row["word"]), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value.view(np.uint8)).astype(bool)
+        for batch in batches:
+            there = np.logical_and.reduce([bits[at] for at in _positions(batch.column("doc_id"))]) if batch.num_rows else np.zeros(0, bool)
+            yield batch.filter(pa.array(there))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> dict:
-    """Fit on the rows with a label and a remainder other than 0; a doc_id with both labels counts under both."""
+    """Fit on the rows with a label and a remainder other than 0; a doc_id with both labels counts under both.
+
+    Which texts are counted is settled by their hashes: of equal texts of a class the one with the smallest doc_id (all of its rows, if that id
+    repeats). Then the texts move once, those of documents without a label not at all.
+    """
     usable = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(remainder() != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    rows = docs.where(remainder() != 0).select("doc_id", text_of().alias("text")).join(usable, "doc_id")
-    return fit(stored(rows.withColumn("calibration", remainder() == 4), "labelled"))
+    usable = stored(usable, "toxic-labels")
+    rows = docs.where(remainder() != 0).select("doc_id", text_of().alias("text"))
+    hashed = likely_labelled(rows.select("doc_id", F.xxhash64("text").alias("_t")), usable).join(usable.hint("merge"), "doc_id")
+    calibrates = remainder() == 4
+    first = hashed.where(~calibrates).groupBy("_t", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct()
+    chosen = stored(first.withColumn("calibration", F.lit(False)).union(usable.where(calibrates).select("doc_id", "toxic", F.lit(True))), "toxic-chosen")
+    # one way of joining at every size
+    return fit(stored(likely_labelled(rows, chosen).join(chosen.hint("merge"), "doc_id"), "labelled"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

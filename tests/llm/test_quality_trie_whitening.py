@@ -14,6 +14,7 @@ import pytest
 
 from skybias.llm import conversation_trie as trie
 from skybias.llm import quality as q
+from skybias.llm import toxicity
 from skybias.llm import whitening as w
 
 DOCS = "doc_id long, text string, score string, predicted string, quality int"
@@ -98,6 +99,31 @@ def test_quality_edges(spark):
     assert q.quality(docs.limit(0), labels).count() == 0
 
 
+# --- labelled documents of the toxicity operator ---------------------------------------------------
+
+def test_likely_labelled_rows_hold_all_labelled_ones(spark):
+    docs = spark.createDataFrame([(i * 7 - 3000, f"t{i}") for i in range(1000)] + [(None, "x")], "doc_id long, text string").repartition(5)
+    ids = spark.createDataFrame([(i * 21 - 3000,) for i in range(200)] + [(10**15,)], "doc_id long").repartition(3)
+    kept = [r["doc_id"] for r in toxicity.likely_labelled(docs, ids).collect()]
+    wanted = {i * 21 - 3000 for i in range(200)} & {i * 7 - 3000 for i in range(1000)}
+    assert wanted <= set(kept) and len(kept) < len(wanted) + 20
+    assert toxicity.likely_labelled(docs, ids.limit(0)).count() == 0 and toxicity.likely_labelled(docs.limit(0), ids).count() == 0
+
+
+def test_equal_texts_are_counted_once(spark):
+    """Copies of a toxic text and repeated rows don't change what is learnt."""
+    base = [(i * 5 + 1 + i % 2, ("bad " if i % 3 == 0 else "good ") * 5 + f"word{i} filler text", "a") for i in range(120)]
+    labels = spark.createDataFrame([(d, int(t.startswith("bad"))) for d, t, _ in base], "doc_id long, toxic int")
+    counted = [d for d, *_ in base if zlib.crc32(str(d).encode()) % 5 not in (0, 4)]
+    free = [i for i in range(10_000, 10_400) if zlib.crc32(str(i).encode()) % 5 not in (0, 4)]
+    text = {d: t for d, t, _ in base}
+    copies = [(n, text[counted[0]], "c") for n in free]
+    one = toxicity.trained(spark.createDataFrame(base, "doc_id long, text string, extra string"), labels)
+    two = toxicity.trained(spark.createDataFrame(base + copies, "doc_id long, text string, extra string"),
+                           labels.union(spark.createDataFrame([(n, int(text[counted[0]].startswith("bad"))) for n in free], "doc_id long, toxic int")))
+    assert np.array_equal(one["score"], two["score"]) and one["beta"] == pytest.approx(two["beta"])
+
+
 # --- conversation trie ----------------------------------------------------------------------------
 
 def _plain_trie(rows):
