@@ -1,10 +1,11 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are compared in lower case without blanks around them. Equal lines are one item from the start. Every different line gets a MinHash
-signature of its character shingles; lines that agree in a band of it are candidates, confirmed by the exact Jaccard similarity of
-their shingle sets and joined by a distributed union-find. Of each component the first line, by doc_id and place, stays.
+signature of its character shingles; lines that agree in a band of it are candidates if enough of their signatures agrees. They are
+confirmed by the exact Jaccard similarity of their shingle sets and joined by a distributed union-find. Lines that share a band but stay
+apart get longer bands (``linking``). Of each component the first line, by doc_id and place, stays.
 
-A band of 4 coordinates of 12 finds a pair at the threshold of 0.8 with 99.8 %, at 0.9 with more than 1 - 10^-5.
+One of 14 bands of 5 coordinates is shared by a pair at the threshold of 0.8 with 99.6 %, at 0.9 with more than 1 - 10^-5.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skybias.llm import minhash, texts
-from skybias.llm.linking import link
-from skybias.llm.prefixes import prefix_keys
+from skybias.llm.linking import agreeing, least_share, link, recoded
 from skybias.llm.registry import query
 from skybias.llm.tables import stored, table, text_of
 
-SHINGLE_CHARS, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 4
+SHINGLE_CHARS, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 5
+FINER = [(8, 40), (12, 80)]  # coordinates in a run, runs
 LINES_PER_BUCKET = 1 << 14
 
 
@@ -33,25 +34,20 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("line"))
 
 
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)),
+                                                          pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _signed(chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, first = np.unique(batch.column("id").to_numpy(), return_index=True)
-            batch = batch.take(pa.array(np.sort(first)))
-            ids = batch.column("id")
             for a, b, value, offsets in minhash.char_shingles(batch.column("line"), chars):
-                keys = minhash.run_keys(minhash.signatures(value, offsets, BANDS * ROWS), ROWS)
-                data = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(b - a + 1, dtype=np.int32) * np.int32(8 * BANDS)),
-                                                                  pa.py_buffer(np.ascontiguousarray(keys))])
-                yield pa.record_batch([ids.slice(a, b - a), data], ["id", "keys"])
-
-    return run
-
-
-def _sets(chars: int):
-    def run(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        for a, b, value, offsets in minhash.char_shingles(column, chars):
-            yield a, b, *texts.distinct(value, np.repeat(np.arange(b - a), np.diff(offsets)), b - a)
+                sign = minhash.signatures(value, offsets, BANDS * ROWS)
+                yield pa.record_batch([batch.column("id").slice(a, b - a), batch.column("line").slice(a, b - a), _fixed(minhash.run_keys(sign, ROWS)),
+                                       _fixed((sign >> np.uint32(16)).astype(np.uint16))], ["id", "line", "keys", "signature"])
 
     return run
 
@@ -79,22 +75,19 @@ def kept_lines(docs: DataFrame, chars: int = SHINGLE_CHARS, threshold: float = T
     """(doc_id, lines): the lines that stay, as structs of line_no and the hash of the line."""
     lines = _lines(docs)
     places = stored(lines.select("doc_id", "line_no", "id"), "places")
-    items = stored(lines.select("id", "line").mapInArrow(_signed(chars), "id long, keys binary"), "lines")
-    n = items.count()
+    items = stored(lines.select("id", "line").distinct().mapInArrow(_signed(chars), "id long, line string, keys binary, signature binary"), "lines")
+    width, n = BANDS * ROWS, items.count()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        text = lines.select("id", "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-        text = stored(text, "candidates")
+        pairs = agreeing(pairs, items, width, least_share(threshold, width))
         for side in "ba":
-            pairs = pairs.join(text.select(F.col("id").alias(side), F.col("line").alias(f"t{side}")), side)
+            pairs = pairs.join(items.select(F.col("id").alias(side), F.col("line").alias(f"t{side}")), side)
         return pairs.mapInArrow(_confirmed(chars, threshold), "a long, b long")
 
-    def refine(ids: DataFrame) -> DataFrame:
-        text = lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("text"))
-        return prefix_keys(stored(text, "apart"), _sets(chars), threshold)
+    def finer(ids: DataFrame, level: int) -> DataFrame | None:
+        return recoded(items.join(ids, "id", "left_semi"), width, *FINER[level - 1], level) if level <= len(FINER) else None
 
-    _, label = link(items, verify, refine, threshold, max(1, -(-n // LINES_PER_BUCKET)))
+    _, label = link(items.select("id", "keys"), verify, finer, max(1, -(-n // LINES_PER_BUCKET)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "id")).alias("f")
     # first place of every line, then of every component
     line = places.groupBy("id").agg(first).join(label, "id", "left").select(F.coalesce("component", "id").alias("component"), "f.*")

@@ -2,8 +2,9 @@
 
 ``stars`` gathers, for every key, its smallest item (the leader) and pairs each other item with it. A task first does so among its own
 items and sends one item per key on, so a key that a third of all items share is no larger than the number of tasks. A verified pair
-links. Keys whose items are not in one component then are looked at again with other leaders. The items that are still apart get new keys,
-of a prefix filter, and are compared pair by pair under them if their components differ, so no link between components is lost.
+links. Keys whose items are not in one component then are looked at again with another leader. The items that are still apart get new
+keys, from longer runs of their signatures, which fewer unlike items share, and are gathered again under those. No step pairs the items of
+a key with each other: a step's pairs grow with its postings.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skybias.llm import texts
+from skybias.llm import minhash, texts
 from skybias.llm.tables import stored
 
-POSTINGS_HELD, LEADER_ROUNDS, EDGES_PER_BLOCK = 1 << 21, 2, 1 << 20
+POSTINGS_HELD, EDGES_PER_BLOCK = 1 << 21, 1 << 20
 PAIRS = "id long, leader long, key long"
 
 
@@ -143,47 +144,87 @@ def _exploded(items: DataFrame) -> DataFrame:
     return items.select("id", "keys").mapInArrow(run, "id long, key long")
 
 
-def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], threshold: float, buckets: int,
-         rounds: int = LEADER_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def agreeing(pairs: DataFrame, items: DataFrame, width: int, share: float) -> DataFrame:
+    """Pairs (a, b) whose signatures (``width`` 16-bit values, column ``signature`` of ``items``) agree in that share of coordinates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, width) for c in ("sa", "sb"))
+            keep = pa.array((one == two).sum(1) >= share * width)
+            yield pa.record_batch([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    for side in "ab":
+        pairs = pairs.join(items.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}")), side)
+    return stored(pairs.mapInArrow(run, "a long, b long"), "matches")
+
+
+def least_share(threshold: float, width: int) -> float:
+    """Share of coordinates in which a pair at the threshold agrees but for one time in some ten millions."""
+    return threshold - 5.5 * (threshold * (1 - threshold) / width) ** 0.5
+
+
+def recoded(items: DataFrame, width: int, rows: int, runs: int, seed: int) -> DataFrame:
+    """(id, keys) of ``items``: keys of at least ``runs`` runs of ``rows`` coordinates, over shuffled signatures."""
+    rng = np.random.default_rng(seed)
+    each = width // rows
+    chosen = np.concatenate([rng.permutation(width)[:each * rows] for _ in range(-(-runs // each))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, width)
+            keys = minhash.run_keys(sign[:, chosen] + np.uint64(seed << 16), rows)
+            yield pa.record_batch([batch.column("id"), pa.array([k.tobytes() for k in keys], pa.binary())], ["id", "keys"])
+
+    return items.select("id", "signature").mapInArrow(run, "id long, keys binary")
+
+
+def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame, int], DataFrame | None],
+         buckets: int) -> tuple[DataFrame, DataFrame]:
     """(edges a, b; components id, component) of ``items`` (id, keys), linked where ``verify`` says so.
 
-    ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links. ``refine`` takes ids and returns (id, key, size): keys of
-    which linked items share one, and the sizes of the sets, which links hold within ``threshold`` of each other.
+    ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links. ``finer`` takes ids that are still apart under a key and
+    the number of times that happened, and returns their next keys (id, keys), or None after the last ones.
     """
-    star = stored(stars(items, buckets), "stars")
     pair = [F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")]
-    tried = stored(star.select(*pair).distinct(), "pairs")
-    edges = stored(verify(tried), "links")
-    keyed, label = None, components(edges)
-    for step in range(rounds + 1):
-        if keyed is None:
-            failed = tried.join(edges, ["a", "b"], "left_anti")
-            failed = _labelled(_labelled(failed, label, "a", "x"), label, "b", "y").where("x <> y").select("a", "b")
-            open_keys = stored(star.select("key", *pair).join(failed, ["a", "b"], "left_semi").select("key").distinct(), "open")
-            if open_keys.isEmpty():
-                break
-            keyed = stored(_exploded(items).join(open_keys, "key", "left_semi").distinct(), "keyed")
-        now = _labelled(keyed, label, "id", "label")
-        still = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        keyed = stored(now.join(still, "key", "left_semi"), "keyed")
-        if keyed.isEmpty():
-            break
-        if step < rounds:
-            draw = F.xxhash64(F.lit(step), "id")
-            leaders = keyed.groupBy("key").agg(F.min(F.struct(draw.alias("h"), F.col("id").alias("leader"), F.col("label").alias("led"))).alias("s"))
-            new = keyed.join(leaders.select("key", "s.leader", "s.led"), "key").where("label <> led").select(*pair).distinct()
-        else:
-            finer = _labelled(stored(refine(keyed.select("id").distinct()), "prefixes"), label, "id", "label")
-            shared = finer.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-            finer = stored(finer.join(shared, "key", "left_semi"), "finer")
-            other = finer.select("key", F.col("id").alias("leader"), F.col("label").alias("led"), F.col("size").alias("other"))
-            close = (F.col("size") >= threshold * F.col("other") - 1e-6) & (F.col("other") >= threshold * F.col("size") - 1e-6)
-            new = finer.join(other, "key").where("id < leader AND label <> led").where(close).select(*pair).distinct()
+    tried = edges = label = None
+
+    def settle(new: DataFrame) -> None:
+        nonlocal tried, edges, label
+        if tried is None:
+            tried = stored(new, "pairs")
+            edges = stored(verify(tried), "links")
+            label = components(edges)
+            return
         new = stored(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried, keyed = tried.unionByName(new), keyed.drop("label")
         if not new.isEmpty():
             linked = stored(verify(new), "links")
-            edges, label = edges.unionByName(linked), extended(label, linked)
+            tried, edges, label = tried.unionByName(new), edges.unionByName(linked), extended(label, linked)
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Postings (id, key, label) under keys that hold several components."""
+        now = _labelled(rows, label, "id", "label")
+        several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        return stored(now.join(several, "key", "left_semi"), "keyed")
+
+    level = 0
+    while items is not None:
+        star = stored(stars(items, buckets), "stars")
+        if label is None:
+            settle(star.select(*pair).distinct())
+        else:
+            settle(_labelled(_labelled(star, label, "id", "x"), label, "leader", "y").where("x <> y").select(*pair).distinct())
+        failed = _labelled(_labelled(star, label, "id", "x"), label, "leader", "y").where("x <> y")
+        open_keys = stored(failed.select("key").distinct(), "open")
+        if open_keys.isEmpty():
+            break
+        keyed = apart(_exploded(items).join(open_keys, "key", "left_semi").distinct())
+        # another leader, drawn anew for every key
+        draw = F.struct(F.xxhash64(F.lit(level), "key", "id").alias("h"), F.col("id").alias("leader"), F.col("label").alias("led"))
+        leaders = keyed.groupBy("key").agg(F.min(draw).alias("s")).select("key", "s.leader", "s.led")
+        settle(keyed.join(leaders, "key").where("label <> led").select(*pair).distinct())
+        ids = stored(apart(keyed.drop("label")).select("id").distinct(), "apart")
+        level += 1
+        items = None if ids.isEmpty() else finer(ids, level)
+        items = items if items is None else stored(items, "finer")
     return edges, label
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from skybias.llm import bloom_lm, embedding_dedup, fingerprints, licenses, line_dedup, minhash, mixing, near_dedup, packing, separators, texts, tokens, toxicity
 from skybias.llm.linking import components, extended, link
-from skybias.llm.prefixes import prefix_keys
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -138,25 +137,72 @@ def test_near_duplicates_of_odd_tables(spark):
 def test_links_between_components_that_leaders_miss(spark):
     """One key for all, and links only between neighbours: leaders alone can't find them."""
     items = spark.createDataFrame([(i, np.array([5], np.uint64).tobytes()) for i in range(40)], "id long, keys binary")
-    neighbours = "id", F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("key"), F.lit(1).cast("long").alias("size")
-    edges, label = link(items, lambda pairs: pairs.where("b - a = 1 AND a % 10 <> 9"), lambda ids: ids.select(*neighbours), 0.8, 2)
+    packed = [(i, np.array([i, i + 1], np.uint64).tobytes()) for i in range(40)]
+    neighbours = spark.createDataFrame(packed, "id long, keys binary")
+
+    def finer(ids, level):
+        return neighbours.join(ids, "id", "left_semi") if level == 1 else None
+
+    edges, label = link(items, lambda pairs: pairs.where("b - a = 1 AND a % 10 <> 9"), finer, 2)
     assert edges.distinct().count() == 36
     assert {r.id: r.component for r in label.collect()} == {i: i // 10 * 10 for i in range(40)}
 
 
-def test_prefixes_of_similar_sets_meet(spark):
-    rng = np.random.default_rng(4)
-    common = [f"p{i}" for i in range(20)]
-    texts_ = [" ".join(common + [f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 9))]) for _ in range(80)] + [None, "", "one"]
-    rows = spark.createDataFrame(list(enumerate(texts_)), "id long, text string").repartition(3)
-    keys, sizes = collections.defaultdict(set), {}
-    for r in prefix_keys(rows, lambda column: minhash.word_sets(column, 2), 0.8).collect():
-        keys[r.id].add(r.key)
-        sizes[r.id] = r.size
-    sets = {i: set(zip(t.split(), t.split()[1:])) or {t} for i, t in enumerate(texts_) if t}
-    assert sizes == {i: len(s) for i, s in sets.items()}
-    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert close and all(keys[a] & keys[b] for a, b in close)
+def variants(seed, groups, size, length, change):
+    """Groups of texts that share most words: pairs on both sides of a threshold, and a passage that all of a group share."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for g in range(groups):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 5000, length)]
+        for _ in range(size):
+            copy = list(base)
+            for at in rng.choice(length, rng.integers(0, change + 1), replace=False):
+                copy[at] = f"x{rng.integers(0, 10 ** 6)}"
+            out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85])
+def test_recall_of_near_duplicates(spark, percent):
+    texts_ = variants(percent, 12, 25, 120, 6)
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 3, percent).collect()}
+    held = [sets(t, 3) for t in texts_]
+    links = [(a, b) for a in range(300) for b in range(a + 1, a // 25 * 25 + 25) if 100 * len(held[a] & held[b]) >= percent * len(held[a] | held[b])]
+    assert len(links) > 300 and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    lead = list(range(300))
+    for _ in range(300):
+        before = list(lead)
+        for a, b in links:
+            lead[a] = lead[b] = min(lead[a], lead[b])
+        if before == lead:
+            break
+    assert all(lead[i] == lead[c] for i, c in got.items())  # no component is larger than links make it
+
+
+def test_recall_of_lines(spark):
+    texts_ = variants(5, 12, 25, 30, 5)
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(docs).collect()}
+    grams = [{t[i:i + 5] for i in range(len(t) - 4)} for t in texts_]
+    links = [(a, b) for a in range(300) for b in range(a + 1, a // 25 * 25 + 25) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    lead = list(range(300))
+    for _ in range(300):
+        before = list(lead)
+        for a, b in links:
+            lead[a] = lead[b] = min(lead[a], lead[b])
+        if before == lead:
+            break
+    gone = {i for i in range(300) if lead[i] != i}
+    found = {i for i, n in got.items() if n == 0}
+    assert len(links) > 300 and found <= gone and len(found) >= 0.95 * len(gone)
+
+
+def test_one_doc_id_with_two_texts(spark):
+    one, two = prose(1, 60), prose(2, 60)
+    docs = spark.createDataFrame([(5, one), (5, two), (3, two), (4, one + " more")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, 3, 85).collect())
+    assert got == [(3, 3), (4, 4), (5, 3), (5, 4)]
 
 
 def test_components_of_a_path(spark):
