@@ -134,16 +134,6 @@ def stars(items: DataFrame, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, PAIRS)
 
 
-def _exploded(items: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("keys").to_pylist()
-            each = np.fromiter((len(k) // 8 for k in keys), np.int64, len(keys))
-            yield pa.record_batch([pa.array(np.repeat(batch.column("id").to_numpy(), each)), pa.array(np.frombuffer(b"".join(keys), np.int64))], ["id", "key"])
-
-    return items.select("id", "keys").mapInArrow(run, "id long, key long")
-
-
 def agreeing(pairs: DataFrame, items: DataFrame, width: int, share: float) -> DataFrame:
     """Pairs (a, b) whose signatures (``width`` 16-bit values, column ``signature`` of ``items``) agree in that share of coordinates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +206,9 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Call
         open_keys = stored(failed.select("key").distinct(), "open")
         if open_keys.isEmpty():
             break
-        keyed = apart(_exploded(items).join(open_keys, "key", "left_semi").distinct())
+        # the stars of a key name all its items
+        under = star.join(open_keys, "key", "left_semi")
+        keyed = apart(under.select("id", "key").union(under.select("leader", "key")).distinct())
         # another leader, drawn anew for every key
         draw = F.struct(F.xxhash64(F.lit(level), "key", "id").alias("h"), F.col("id").alias("leader"), F.col("label").alias("led"))
         leaders = keyed.groupBy("key").agg(F.min(draw).alias("s")).select("key", "s.leader", "s.led")
