@@ -267,3 +267,19 @@ def with_tables(names: list[str], body: str) -> str:
         return body
     ctes = ", ".join(f"{name} AS MATERIALIZED ({TABLES[name][1].strip()})" for name in order)
     return f"WITH {ctes} {body}"
+
+
+def derived_from(roots: dict[str, str], name: str, given: list[str]) -> str:
+    """Table ``name`` as it follows when ``roots`` (SQL over the ``given`` tables) replace the tables of their names."""
+    order: list[str] = list(roots)
+
+    def add(table: str) -> None:
+        if table in order or table in given:
+            return
+        for needed in TABLES[table][0].split():
+            add(needed)
+        order.append(table)
+
+    add(name)
+    ctes = ", ".join(f"{t} AS MATERIALIZED ({(roots[t] if t in roots else TABLES[t][1]).strip()})" for t in order)
+    return f"SELECT * FROM (WITH {ctes} SELECT * FROM {name})"

@@ -23,6 +23,7 @@ MEMBERS = 5
 class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.tables = spark, DriverTables(spark, sf_dir)
+        self.runs: dict[str, tuple[str, DataFrame]] = {}  # folders of jobs that several queries look at
 
     def _dimension(self, rows: DataFrame, name: str) -> DataFrame:
         """A small table that is distilled from the readings, stored so that its many users don't read them again."""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skybias.operators import metrics, reports, sensors, spatial, validation
-from skybias.plans import jobs
-from skybias.plans.check_tables import to_ugm3
+from skybias.plans import jobs, resumable
+from skybias.plans.check_tables import derived_from, to_ugm3
 from skybias.plans.queries_scores import RUNS_SQL, SCORES, SERIES_SQL
 from skybias.plans.queries_series import ALL_FORECAST, COARSE, END, RANKED_SQL, START
 from skybias.plans.registry import query
-from skybias.schemas import LEADS, RAW_FIELDS, SERIES
+from skybias.schemas import LEADS, POLLUTANTS, RAW_FIELDS, SERIES
 from skybias.session import work_path
 from skybias.sources import storage
 
@@ -252,3 +252,48 @@ def _(d):
     path = work_path(d.spark, "corrected")
     storage.write_corrected_forecast(validation.correct_forecast(d.processed, d.bias_hat), path)
     return d.spark.read.parquet(path).withColumn("end_date", F.date_format("end_date", "yyyy-MM-dd"))
+
+
+# --- the chain in jobs that can be run again ----------------------------------------------------
+
+_JOB_FORECAST = f"""
+    SELECT c.location_id, g.time, {', '.join(f"max(value) FILTER (variable = '{f}') AS {f}" for f in RAW_FIELDS)}
+    FROM cells c JOIN grid g ON g.latitude = c.cell_latitude AND g.longitude = c.cell_longitude
+    WHERE g.time >= TIMESTAMP '{START}' AND g.time < TIMESTAMP '{END}' + INTERVAL 2 DAY GROUP BY c.location_id, g.time"""
+_CHAIN = derived_from({"observations": JOB_OBSERVATIONS, "forecast": _JOB_FORECAST}, "processed", ["candidates", "measurements", "grid", "cells", "locations"])
+
+
+def _chain(d):
+    """Folder and rows of the chain, run for some of the locations and then for all; both queries read the same runs."""
+    if "chain" not in d.runs:
+        path, files = work_path(d.spark, "chain"), _files(d)
+        for places in (d.locations.where("latitude < 40"), d.locations):
+            rows = resumable.run_chain(path, places, d.sensors, d.measurements, files, START, END)
+        d.runs["chain"] = path, rows
+    return d.runs["chain"]
+
+
+@query("job_transform", tables="candidates measurements grid cells locations", doubles=f"{ALL_FORECAST} observed forecast bias", coarse=COARSE, sql=_CHAIN)
+def _(d):
+    return _chain(d)[1]
+
+
+@query("job_status", tables="candidates measurements grid cells locations", sql=f"""
+       SELECT * FROM (WITH processed_rows AS ({_CHAIN}), places AS (SELECT location_id, unnest({POLLUTANTS}) AS variable FROM locations),
+            counts AS (
+              SELECT 'observations' AS job, location_id, variable, count(*) AS n FROM ({JOB_OBSERVATIONS}) GROUP BY ALL
+              UNION ALL SELECT 'transform', location_id, variable, count(*) FROM processed_rows GROUP BY ALL
+              UNION ALL SELECT 'forecasts', location_id, '', count(*) FROM ({_JOB_FORECAST}) GROUP BY ALL),
+            jobs AS (SELECT 'observations' AS job, * FROM places UNION ALL SELECT 'transform', * FROM places
+                     UNION ALL SELECT 'forecasts', location_id, '' FROM locations)
+       SELECT j.job, j.location_id, j.variable, coalesce(n, 0) AS rows, n IS NOT NULL AS succeeded,
+              CASE WHEN n IS NULL THEN 'no data' ELSE '' END AS reason
+       FROM jobs j LEFT JOIN counts c ON c.job = j.job AND c.location_id = j.location_id AND c.variable = j.variable)""")
+def _(d):
+    """Every place of the three jobs once, with its rows or the reason for none."""
+    path, _rows = _chain(d)
+    parts = [resumable.manifest(d.spark, f"{path}/{job}", keys) for job, keys in
+             (("observations", SERIES), ("processed", SERIES), ("forecasts", ["location_id"]))]
+    parts[2] = parts[2].withColumn("variable", F.lit(""))
+    columns = ["job", "location_id", "variable", "rows", "succeeded", "reason"]
+    return parts[0].select(*columns).union(parts[1].select(*columns)).union(parts[2].select(*columns))
