@@ -12,9 +12,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,11 +25,13 @@ from skybias.llm.registry import query
 from skybias.llm.tables import stored, table
 from skybias.llm.tokens import default_path, encoder
 
-#: The tokenizer's own end-of-text id, which no text contains.
-SEPARATOR = 49407
+#: One past the tokenizer's vocabulary: its own end-of-text id comes out of texts that spell the end-of-text mark.
+SEPARATOR = 49408
 BLOCK_TOKENS, GROUP_BLOCKS = 1 << 16, 1 << 10
 #: Blocks that are read in one go (8 MB), and tasks that read one set of files.
 RUN_BLOCKS, MOST_TASKS = 1 << 6, 1 << 13
+#: Schemes of Spark's paths that pyarrow calls otherwise.
+STORES = {"s3a": "s3", "s3n": "s3"}
 BLOCKS = "file long, block long, data binary"
 
 
@@ -51,8 +55,8 @@ def write_blocks(docs: DataFrame, tokenizer: str | None = None, block_tokens: in
         for batch in batches:
             for _, _, ids, first in coder.encode(batch.column("text")):
                 flat = np.insert(ids, first[1:], SEPARATOR)
-                if flat.max(initial=0) >= 1 << 16:
-                    raise ValueError("ids of 16 bits are asked for; the tokenizer's vocabulary is larger")
+                if ids.max(initial=0) >= SEPARATOR:
+                    raise ValueError(f"ids below the separator {SEPARATOR} are asked for; the tokenizer's vocabulary is larger")
                 held.append(flat.astype("<u2"))
                 size += len(flat)
                 if size >= 8 * block_tokens:
@@ -62,24 +66,28 @@ def write_blocks(docs: DataFrame, tokenizer: str | None = None, block_tokens: in
     return docs.select("text").mapInArrow(run, BLOCKS)
 
 
-def open_local(path: str) -> BinaryIO:
-    """A file of a file system that all workers mount."""
-    return open(re.sub("^file:/*", "/", path), "rb")
+def open_file(path: str) -> BinaryIO:
+    """A file of any store that pyarrow knows (mounted, hdfs, viewfs, s3, gs, abfs), opened in a worker; only what is read is fetched."""
+    scheme, rest = re.match("([^:/]+):/*(.*)", path, re.DOTALL).groups()
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file(f"/{rest}")
+    store, inside = fs.FileSystem.from_uri(f"{STORES.get(scheme, scheme)}://{quote(rest, safe='/:@')}")
+    return store.open_input_file(inside)
 
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, opener: Callable[[str], BinaryIO] | None = None,
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, opener: Callable[[str], BinaryIO] = open_file,
                      run_blocks: int = RUN_BLOCKS) -> DataFrame:
     """Blocks of raw token files (16-bit ids) of any size: runs of blocks are dealt to tasks, which seek and read only these.
 
-    ``opener`` opens a path as Spark lists it, in a worker. Without one, files on mounted file systems (``file:``) are read so, and those
-    of other stores through Spark, which holds a whole file in one row (less than 2 GB).
+    ``opener`` opens a path as Spark lists it, in a worker, for stores that need more than ``open_file`` (credentials, other schemes). An
+    empty file gives no block. A file that is shorter when it is read than when it was listed is an error.
     """
-    step, opened = 2 * block_tokens, opener or open_local
+    step = 2 * block_tokens
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                with opened(r["path"]) as f:
+                with opener(r["path"]) as f:
                     f.seek(r["first"] * step)
                     for k in range(r["first"], min(r["first"] + run_blocks, -(-r["length"] // step))):
                         want = min(step, r["length"] - k * step)
@@ -90,20 +98,9 @@ def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_T
                             raise EOFError(f"{r['path']} ends before its listed length of {r['length']} bytes")
                         yield pa.record_batch([pa.array([r["file"]]), pa.array([k]), pa.array([bytes(data)], pa.binary())], ["file", "block", "data"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("file"), batch.column("content"), strict=True):
-                data = content.as_buffer()
-                for k, at in enumerate(range(0, len(data), step)):
-                    yield pa.record_batch([pa.array([name.as_py()]), pa.array([k]), pa.array([data[at:at + step].to_pybytes()], pa.binary())],
-                                          ["file", "block", "data"])
-
     files = spark.read.format("binaryFile").load(path).withColumn("file", F.xxhash64("path"))
-    # without the content, a file is only listed; all files of one path lie in one store
+    # without the content, a file is only listed
     listed = files.select("file", "path", "length")
-    one = listed.select("path").first()
-    if not opener and one and not one["path"].startswith("file:"):
-        return files.select("file", "content").mapInArrow(cut, BLOCKS)
     runs = listed.where("length > 0").withColumn("first", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step), F.lit(run_blocks))))
     count = listed.agg(F.sum(F.ceil(F.col("length") / (step * run_blocks)))).first()[0] or 0
     return runs.repartition(min(max(count, 1), MOST_TASKS)).mapInArrow(seek, BLOCKS)
