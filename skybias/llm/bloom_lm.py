@@ -30,7 +30,9 @@ from skybias.llm.tables import stored, table, text_of
 
 #: The token that ends each text and precedes its first word.
 END = np.uint64(0x5851F42D4C957F2D)
-PROBES, BITS_PER_ENTRY, RATIO, SALTS, PART_MB = 8, 12, 1.5, 16, 12
+BITS_PER_ENTRY, RATIO, SALTS, PART_MB = 12, 1.5, 16, 12
+#: An entry sets this many bits in each of two 64-bit words, so a probe reads two places of memory.
+WORD_BITS = 3
 FLUSH_TOKENS = 1 << 20
 U64, SLICE_WORDS = np.uint64, 1 << 22
 
@@ -138,22 +140,39 @@ def _counter(buckets: int):
     return count
 
 
-def _segment(keys: np.ndarray, level: np.ndarray) -> bytes:
-    """Bits of a filter that holds each key at the levels 1 .. level."""
+def _segment(keys: np.ndarray, level: np.ndarray, bits: int = BITS_PER_ENTRY) -> bytes:
+    """64-bit words of a filter that holds each key at the levels 1 .. level, with ``bits`` bits for each of these entries."""
     size = int(level.sum())
-    width = max(8, -(-size * BITS_PER_ENTRY // 8)) * 8
-    bits = np.zeros(width, bool)
-    key = np.repeat(keys, level)
+    width = max(8, -(-size * bits // 64))
+    held = np.zeros(width * 64, bool)
     step = np.arange(size) - np.repeat(np.cumsum(level) - level, level) + 1
-    one, two = _probe_hashes(key, step)
-    for j in range(PROBES):
-        bits[(one + U64(j) * two) % U64(width)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    draw = _draw(np.repeat(keys, level), step)
+    for draw in (draw, texts.mix(draw)):
+        word = _word(draw, width) << 6
+        for bit in _bits(draw):
+            held[word + bit.astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").tobytes()
 
 
-def _probe_hashes(key: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    one = texts.mix(key + np.asarray(level).astype(U64) * U64(0xD1342543DE82EF95))
-    return one >> U64(1), (texts.mix(one) >> U64(2)) | U64(1)
+def _draw(key: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+    """The first random number of a key at a level; its mix is the second one."""
+    return texts.mix(key + np.asarray(level).astype(U64) * U64(0xD1342543DE82EF95))
+
+
+def _word(draw: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+    """A word of ``width``, from the upper half of a random number."""
+    return (((draw >> U64(32)) * np.asarray(width).astype(U64)) >> U64(32)).astype(np.int64)
+
+
+def _bits(draw: np.ndarray) -> list[np.ndarray]:
+    return [(draw >> U64(6 * j)) & U64(63) for j in range(WORD_BITS)]
+
+
+def _mask(draw: np.ndarray) -> np.ndarray:
+    mask = np.zeros(len(draw), U64)
+    for bit in _bits(draw):
+        mask |= U64(1) << bit
+    return mask
 
 
 MERGED = "kind int, slice int, bucket int, a binary, b binary, n binary"
@@ -165,7 +184,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
 
-def _merger(buckets: int, slices: int):
+def _merger(buckets: int, slices: int, bits: int):
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         kind, bucket = (k.as_py() for k in key)
         a, b, n = (group.column(c).to_pylist() for c in "abn")
@@ -180,7 +199,7 @@ def _merger(buckets: int, slices: int):
         where, rows = slices_of(v, slices), []
         for s in np.unique(where):
             one = where == s
-            rows.append((1, int(s), bucket, _segment(pair[one] + PAIR, level[one]), b"", b""))
+            rows.append((1, int(s), bucket, _segment(pair[one] + PAIR, level[one], bits), b"", b""))
         v, _, total, followers = _sums(v, LEVELS[level - 1], np.ones(len(v), np.int64))
         home = (texts.mix(v) >> U64(20)) % U64(buckets)
         part = _packed(2, home, v, total.astype(U64), followers)
@@ -190,7 +209,7 @@ def _merger(buckets: int, slices: int):
     return merge
 
 
-def _contexts(slices: int):
+def _contexts(slices: int, bits: int):
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         a, b, n = (group.column(c).to_pylist() for c in "abn")
         followers = np.concatenate([_wide(x, len(y) // 8) for x, y in zip(n, a, strict=True)])
@@ -200,7 +219,7 @@ def _contexts(slices: int):
             one = where == s
             keys = np.concatenate([v[one] + TOTAL, v[one] + FOLLOWERS])
             level = np.concatenate([quantise(total[one], up=True), quantise(followers[one])])
-            rows.append((2, int(s), key[0].as_py(), _segment(keys, level), b"", b""))
+            rows.append((2, int(s), key[0].as_py(), _segment(keys, level, bits), b"", b""))
         return _rows(rows)
 
     return merge
@@ -212,12 +231,12 @@ class Filter:
     def __init__(self, segments: Iterable[tuple], size: int, buckets: int, slices: int, low: int, high: int):
         self.buckets, self.slices, self.low, self.high = buckets, slices, low, high
         self.start, self.width = np.zeros((2, 2 * slices * buckets), np.int64)
-        self.data, at = np.zeros(size, np.uint8), 0
+        self.data, at = np.zeros(size // 8, U64), 0
         for kind, s, bucket, bits in segments:
             i = ((kind - 1) * slices + s) * buckets + bucket
-            self.start[i], self.width[i] = at, len(bits) * 8
-            self.data[at:at + len(bits)] = np.frombuffer(bits, np.uint8)
-            at += len(bits)
+            self.start[i], self.width[i] = at, len(bits) // 8
+            self.data[at:at + self.width[i]] = np.frombuffer(bits, U64)
+            at += self.width[i]
 
     def level(self, kind: int, part: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Level of each key: probes go on until one finds nothing."""
@@ -226,14 +245,17 @@ class Filter:
         start, width = self.start[i], self.width[i]
         found = np.zeros(len(key), np.int64)
         alive = np.flatnonzero(width > 0)
+        start, width, key = start[alive], width[alive], key[alive]
         for level in range(1, len(LEVELS) + 1):
+            draw = _draw(key, level)
+            for last in (False, True):
+                mask = _mask(draw)
+                hit = np.flatnonzero(data[start + _word(draw, width)] & mask == mask)
+                alive, start, width, key, draw = alive[hit], start[hit], width[hit], key[hit], draw[hit]
+                if not last:
+                    draw = texts.mix(draw)
             if not len(alive):
                 break
-            one, two = _probe_hashes(key[alive], level)
-            for j in range(PROBES):
-                bit = ((one + U64(j) * two) % width[alive].astype(U64)).astype(np.int64)
-                hit = (data[start[alive] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                alive, one, two = alive[hit], one[hit], two[hit]
             found[alive] = level
         return found
 
@@ -302,14 +324,14 @@ def _scorer(shared, first_wave: bool):
     return score
 
 
-def fit(docs: DataFrame, head_words: int = 1 << 20, bucket_words: int = 1 << 19) -> dict:
-    """Count the words and bigrams of ``docs`` (column text) and build the filter's segments, all as stored tables."""
+def fit(docs: DataFrame, head_words: int = 1 << 20, bucket_words: int = 1 << 19, bits: int = BITS_PER_ENTRY) -> dict:
+    """Count the words and bigrams of ``docs`` (column text) and build the filter's segments (``bits`` for an entry), all as stored tables."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(SALTS, -(-size // (6 * bucket_words)))
     slices = max(1, -(-size // (6 * SLICE_WORDS)))
     counted = docs.select("text").mapInArrow(_counter(buckets), COUNTED)
-    merged = stored(counted.groupBy("kind", "bucket").applyInArrow(_merger(buckets, slices), MERGED), "ngrams")
-    contexts = stored(merged.where("kind = 2").groupBy("bucket").applyInArrow(_contexts(slices), MERGED), "contexts")
+    merged = stored(counted.groupBy("kind", "bucket").applyInArrow(_merger(buckets, slices, bits), MERGED), "ngrams")
+    contexts = stored(merged.where("kind = 2").groupBy("bucket").applyInArrow(_contexts(slices, bits), MERGED), "contexts")
     words = merged.where("kind = 0").mapInArrow(_unpacked, "word long, n long")
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     # the least count that at most head_words words reach
