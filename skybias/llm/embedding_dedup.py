@@ -71,9 +71,10 @@ def _assigner(shared, threshold: float):
                 else:
                     near = unit[at] @ centres.T
                     home = near.argmax(1)
-                    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+                    # distances between unit centres from their products, rounded up by more than the products' own rounding
+                    apart = np.sqrt(np.maximum(2 - 2 * centres[home] @ centres.T, 0)) + 1e-6
                     margin = near[np.arange(len(at)), home][:, None] - near
-                    visits = (margin <= reach * apart[home]) & (np.arange(len(centres)) < home[:, None])
+                    visits = (margin <= reach * apart) & (np.arange(len(centres)) < home[:, None])
                     i, c = np.nonzero(visits)
                     rows.append(at[i])
                     cells.append(c)
