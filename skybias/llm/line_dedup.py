@@ -3,7 +3,7 @@
 Lines are compared in lower case without blanks around them. Equal lines are one item from the start. Every different line gets a MinHash
 signature of its character shingles; lines that agree in a band of it are candidates if enough of their signatures agrees. They are
 confirmed by the exact Jaccard similarity of their shingle sets and joined by a distributed union-find. Lines that share a band but stay
-apart get longer bands (``linking``). Of each component the first line, by doc_id and place, stays.
+apart get longer bands, and those apart after that are compared pair by pair (``linking``). Of each component the first line, by doc_id and place, stays.
 
 One of 14 bands of 5 coordinates is shared by a pair at the threshold of 0.8 with 99.6 %, at 0.9 with more than 1 - 10^-5.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skybias.llm import minhash, texts
-from skybias.llm.linking import agreeing, least_share, link, recoded
+from skybias.llm.linking import agreeing, least_share, leftover, link, recoded
 from skybias.llm.registry import query
 from skybias.llm.tables import stored, table, text_of
 
@@ -46,8 +46,11 @@ def _signed(chars: int):
         for batch in batches:
             for a, b, value, offsets in minhash.char_shingles(batch.column("line"), chars):
                 sign = minhash.signatures(value, offsets, BANDS * ROWS)
-                yield pa.record_batch([batch.column("id").slice(a, b - a), batch.column("line").slice(a, b - a), _fixed(minhash.run_keys(sign, ROWS)),
-                                       _fixed((sign >> np.uint32(16)).astype(np.uint16))], ["id", "line", "keys", "signature"])
+                short = (sign >> np.uint32(16)).astype(np.uint16)
+                size = np.diff(texts.distinct(value, np.repeat(np.arange(b - a), np.diff(offsets)), b - a)[1])
+                yield pa.record_batch([batch.column("id").slice(a, b - a), batch.column("line").slice(a, b - a), pa.array(size.astype(np.int64)),
+                                       _fixed(minhash.run_keys(sign, ROWS)), _fixed(short), _fixed(minhash.sketches(short))],
+                                      ["id", "line", "size", "keys", "signature", "sketch"])
 
     return run
 
@@ -75,7 +78,7 @@ def kept_lines(docs: DataFrame, chars: int = SHINGLE_CHARS, threshold: float = T
     """(doc_id, lines): the lines that stay, as structs of line_no and the hash of the line."""
     lines = _lines(docs)
     places = stored(lines.select("doc_id", "line_no", "id"), "places")
-    items = stored(lines.select("id", "line").distinct().mapInArrow(_signed(chars), "id long, line string, keys binary, signature binary"), "lines")
+    items = stored(lines.select("id", "line").distinct().mapInArrow(_signed(chars), "id long, line string, size long, keys binary, signature binary, sketch binary"), "lines")
     width, n = BANDS * ROWS, items.count()
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -87,7 +90,10 @@ def kept_lines(docs: DataFrame, chars: int = SHINGLE_CHARS, threshold: float = T
     def finer(ids: DataFrame, level: int) -> DataFrame | None:
         return recoded(items.join(ids, "id", "left_semi"), width, *FINER[level - 1], level) if level <= len(FINER) else None
 
-    _, label = link(items.select("id", "keys"), verify, finer, max(1, -(-n // LINES_PER_BUCKET)))
+    def rest(apart: DataFrame) -> DataFrame:
+        return leftover(apart, items, width, least_share(threshold, width), threshold)
+
+    _, label = link(items.select("id", "keys"), verify, finer, max(1, -(-n // LINES_PER_BUCKET)), rest)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "id")).alias("f")
     # first place of every line, then of every component
     line = places.groupBy("id").agg(first).join(label, "id", "left").select(F.coalesce("component", "id").alias("component"), "f.*")

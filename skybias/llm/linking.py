@@ -3,12 +3,14 @@
 ``stars`` gathers, for every key, its smallest item (the leader) and pairs each other item with it. A task first does so among its own
 items and sends one item per key on, so a key that a third of all items share is no larger than the number of tasks. A verified pair
 links. Keys whose items are not in one component then are looked at again with another leader. The items that are still apart get new
-keys, from longer runs of their signatures, which fewer unlike items share, and are gathered again under those. No step pairs the items of
-a key with each other: a step's pairs grow with its postings.
+keys, from longer runs of their signatures, which fewer unlike items share, and are gathered again under those. These steps make no more pairs
+than they have postings. What then is still apart under one of the first keys is compared item by item inside tasks (``leftover``), so a pair that shares a
+key is never left out; only pairs whose signatures agree come out of it as rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +22,7 @@ from skybias.llm import minhash, texts
 from skybias.llm.tables import stored
 
 POSTINGS_HELD, EDGES_PER_BLOCK = 1 << 21, 1 << 20
+CELL, PAIRS_HELD, ROWS_HELD = 2048, 1 << 18, 1 << 14  # items of a side of a cell; pairs and rows that a task looks at in one go
 PAIRS = "id long, leader long, key long"
 
 
@@ -135,16 +138,103 @@ def stars(items: DataFrame, buckets: int) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame, items: DataFrame, width: int, share: float) -> DataFrame:
-    """Pairs (a, b) whose signatures (``width`` 16-bit values, column ``signature`` of ``items``) agree in that share of coordinates."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose signatures (``width`` 16-bit values, column ``signature`` of ``items``) agree in that share of coordinates.
+
+    Their sketches agree in no fewer; these are compared first, and signatures move only for the pairs that are left.
+    """
+    def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, width) for c in ("sa", "sb"))
+            one, two = (_matrix(batch.column(f"s{c}"), np.uint8) for c in "ab")
+            keep = pa.array(minhash.sketch_agreement(one, two, width) >= share * width)
+            yield pa.record_batch([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    def by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (_matrix(batch.column(f"s{c}"), np.uint16) for c in "ab")
             keep = pa.array((one == two).sum(1) >= share * width)
             yield pa.record_batch([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    for side in "ab":
-        pairs = pairs.join(items.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}")), side)
-    return stored(pairs.mapInArrow(run, "a long, b long"), "matches")
+    for column, run in (("sketch", by_sketch), ("signature", by_signature)):
+        for side in "ab":
+            pairs = pairs.join(items.select(F.col("id").alias(side), F.col(column).alias(f"s{side}")), side)
+        pairs = stored(pairs.mapInArrow(run, "a long, b long"), "matches")
+    return pairs
+
+
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+
+
+def _cells(keyed: DataFrame, least: float, cell: int) -> DataFrame:
+    """``keyed`` (id, key, label, size), every row with the cells it is compared in, and its side there.
+
+    A key of at most ``cell`` items is one cell. A larger one is cut by size, so finely that sizes of a ratio of at least ``least`` lie in the
+    same class or in neighbouring ones, and each class into chunks: a cell is a chunk (side 0: all pairs) or two chunks of one or two classes
+    (sides 1 and 2). Any two items of a key that may be alike meet in exactly one cell.
+    """
+    large = stored(keyed.groupBy("key").count().where(F.col("count") > cell).select("key"), "large")
+    rows = keyed.join(large, "key", "left_anti").withColumn("at", F.struct(F.xxhash64("key").alias("cell"), F.lit(0).alias("side")))
+    if large.isEmpty():
+        return rows
+    wide = keyed.join(large, "key").withColumn("class", F.floor(F.log(F.greatest("size", F.lit(1))) / -math.log(least * 0.999)))
+    chunks = stored(wide.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("n")), "chunks")
+    for name, step in (("up", 1), ("down", -1)):
+        near = chunks.select("key", (F.col("class") - step).alias("class"), F.col("n").alias(name))
+        chunks = chunks.join(near, ["key", "class"], "left").fillna(0, name)
+    wide = wide.join(chunks, ["key", "class"]).withColumn("h", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    wide = wide.withColumn("at", F.explode(F.expr("""concat(
+        transform(sequence(0, n - 1), j -> struct(xxhash64(key, class, 0, least(h, j), greatest(h, j)) AS cell, if(j = h, 0, if(h < j, 1, 2)) AS side)),
+        transform(filter(sequence(0, down), j -> j < down), j -> struct(xxhash64(key, class, 1, h, j) AS cell, 1 AS side)),
+        transform(filter(sequence(0, up), j -> j < up), j -> struct(xxhash64(key, class + 1, 1, j, h) AS cell, 2 AS side)))""")))
+    return rows.unionByName(wide.select(*rows.columns))
+
+
+def leftover(keyed: DataFrame, items: DataFrame, width: int, share: float, least: float, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b), a < b, of ``keyed`` (id, key, label) that share a key, have different labels and sketches that agree in ``share``.
+
+    ``items`` has a ``sketch`` and a ``size``; pairs whose sizes have a ratio below ``least`` are no links. Every other pair of a key is compared, in a
+    cell of at most two times ``cell`` items, which a task reads one after the other.
+    """
+    def pairs(data: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at, side, ids, label, size, sketch = data
+        end = np.searchsorted(at, at, "right")
+        todo = end - np.arange(len(at)) - 1
+        before, row = np.concatenate([[0], np.cumsum(todo)]), 0
+        while row < len(at):
+            to = max(row + 1, int(np.searchsorted(before, before[row] + PAIRS_HELD, "right")) - 1)
+            x = np.repeat(np.arange(row, to), todo[row:to])
+            y = x + 1 + np.arange(len(x)) - (before[x] - before[row])
+            row = to
+            low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            keep = (label[x] != label[y]) & ((side[x] == 0) | (side[x] != side[y])) & (low >= least * high * (1 - 1e-9))
+            x, y = x[keep], y[keep]
+            for i in range(0, len(x), ROWS_HELD):
+                p, q = x[i:i + ROWS_HELD], y[i:i + ROWS_HELD]
+                like = minhash.sketch_agreement(sketch[p], sketch[q], width) >= share * width
+                p, q = ids[p[like]], ids[q[like]]
+                yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "side", "id", "label", "size")] + [_matrix(batch.column("sketch"), np.uint8)])
+                rows += batch.num_rows
+            if rows >= ROWS_HELD:
+                data = [np.concatenate(x) for x in zip(*held, strict=True)]
+                # the last cell may go on in the next batch
+                cut = int(np.searchsorted(data[0], data[0][-1]))
+                if cut:
+                    yield from pairs([x[:cut] for x in data])
+                held, rows = [[x[cut:] for x in data]], len(data[0]) - cut
+        if held:
+            yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    cells = _cells(keyed.join(items.select("id", "size"), "id"), least, cell).select("at.*", "id", "label", "size")
+    cells = cells.join(items.select("id", "sketch"), "id").repartition("cell").sortWithinPartitions("cell")
+    return stored(cells.mapInArrow(run, "a long, b long").distinct(), "leftover")
 
 
 def least_share(threshold: float, width: int) -> float:
@@ -168,14 +258,15 @@ def recoded(items: DataFrame, width: int, rows: int, runs: int, seed: int) -> Da
 
 
 def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame, int], DataFrame | None],
-         buckets: int) -> tuple[DataFrame, DataFrame]:
+         buckets: int, rest: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges a, b; components id, component) of ``items`` (id, keys), linked where ``verify`` says so.
 
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links. ``finer`` takes ids that are still apart under a key and
-    the number of times that happened, and returns their next keys (id, keys), or None after the last ones.
+    the number of times that happened, and returns their next keys (id, keys), or None after the last ones. ``rest`` takes what is then
+    still apart (id, key, label) under the first keys and returns all its pairs that may be links.
     """
     pair = [F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")]
-    tried = edges = label = None
+    tried = edges = label = first = None
 
     def settle(new: DataFrame) -> None:
         nonlocal tried, edges, label
@@ -209,6 +300,7 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Call
         # the stars of a key name all its items
         under = star.join(open_keys, "key", "left_semi")
         keyed = apart(under.select("id", "key").union(under.select("leader", "key")).distinct())
+        first = keyed if first is None else first
         # another leader, drawn anew for every key
         draw = F.struct(F.xxhash64(F.lit(level), "key", "id").alias("h"), F.col("id").alias("leader"), F.col("label").alias("led"))
         leaders = keyed.groupBy("key").agg(F.min(draw).alias("s")).select("key", "s.leader", "s.led")
@@ -217,6 +309,10 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Call
         level += 1
         items = None if ids.isEmpty() else finer(ids, level)
         items = items if items is None else stored(items, "finer")
+    if rest and first is not None:
+        left = apart(first.drop("label"))
+        if not left.isEmpty():
+            settle(rest(left))
     return edges, label
 
 

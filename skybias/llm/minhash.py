@@ -42,6 +42,20 @@ def run_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return texts.mix(keys + np.arange(1, width // rows + 1, dtype=np.uint64))
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each of the 16-bit values of every row, two values in a byte: equal values have equal bits."""
+    low = (signature & 15).astype(np.uint8)
+    if low.shape[1] % 2:
+        low = np.pad(low, ((0, 0), (0, 1)))
+    return low[:, ::2] | low[:, 1::2] << 4
+
+
+def sketch_agreement(one: np.ndarray, two: np.ndarray, width: int) -> np.ndarray:
+    """Row by row: the number of the ``width`` values whose bits are equal, which is at least that of the equal values."""
+    other = one ^ two
+    return ((other & 15) == 0).sum(1) + (other < 16).sum(1) - width % 2
+
+
 def word_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Distinct shingles of ``n`` words of each row, as (first row, end row, hashes, offsets)."""
     for a, b, word, first in texts.words(column):

@@ -5,8 +5,9 @@ A document is posted under its signature's coordinate-value pairs. The prefix: a
 throughout; postings under runs of ``rows`` coordinate-value pairs lose no such pair. The skip: documents with equal shingle sets are
 posted once, postings whose documents are already in one component are skipped, and a posting pairs its documents with a leader
 instead of with each other. Documents that stay apart under a posting, such as those with a common passage, are posted again under
-longer runs (``linking``). Collisions are counted over all coordinates, pairs above the match threshold, which follows from the wanted
-similarity, are kept, and each is confirmed on the full shingle sets of the texts.
+longer runs, and what is apart after that is compared pair by pair, but for sizes too different for a link (``linking``). Collisions are
+counted over all coordinates, pairs above the match threshold, which follows from the wanted similarity, are kept, and each is
+confirmed on the full shingle sets of the texts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skybias.llm import minhash, texts
-from skybias.llm.linking import agreeing, least_share, link, recoded
+from skybias.llm.linking import agreeing, least_share, leftover, link, recoded
 from skybias.llm.registry import query
 from skybias.llm.tables import stored, table, text_of
 
@@ -34,17 +35,18 @@ def _signed(shingle_words: int):
             for a, b, value, offsets in minhash.word_sets(batch.column("text"), shingle_words):
                 size = np.diff(offsets)
                 full = np.flatnonzero(size)
-                set_hash, keys, sign = [None] * (b - a), [None] * (b - a), [None] * (b - a)
+                set_hash, keys, sign, sketch = ([None] * (b - a) for _ in range(4))
                 if len(full):
                     at = offsets[:-1][full]
                     one, two = np.add.reduceat(value, at), np.add.reduceat(texts.mix(value), at)
                     signature = minhash.signatures((value >> np.uint64(32)).astype(np.uint32), np.append(at, len(value)), COORDINATES)
                     key, short = minhash.run_keys(signature, ROWS), (signature >> np.uint32(16)).astype(np.uint16)
+                    brief = minhash.sketches(short)
                     for k, i in enumerate(full):
                         set_hash[i] = one[k].tobytes() + two[k].tobytes() + int(size[i]).to_bytes(8, "little")
-                        keys[i], sign[i] = key[k].tobytes(), short[k].tobytes()
-                yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text_hash")), pa.array(size.astype(np.int64)), *(pa.array(x, pa.binary()) for x in (set_hash, keys, sign))],
-                                      ["doc_id", "text_hash", "n_shingles", "set_hash", "keys", "signature"])
+                        keys[i], sign[i], sketch[i] = key[k].tobytes(), short[k].tobytes(), brief[k].tobytes()
+                yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text_hash")), pa.array(size.astype(np.int64)), *(pa.array(x, pa.binary()) for x in (set_hash, keys, sign, sketch))],
+                                      ["doc_id", "text_hash", "n_shingles", "set_hash", "keys", "signature", "sketch"])
 
     return run
 
@@ -77,11 +79,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     without doc_id takes no part: its component_id is null and it is kept.
     """
     docs = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    signed = docs.mapInArrow(_signed(shingle_words), "doc_id long, text_hash long, n_shingles long, set_hash binary, keys binary, signature binary")
+    signed = docs.mapInArrow(_signed(shingle_words), "doc_id long, text_hash long, n_shingles long, set_hash binary, keys binary, signature binary, sketch binary")
     # equal sets are one item, named by their hash; its first text stands for it
     signed = stored(signed.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.xxhash64("set_hash"))).withColumn(
         "id", F.when(F.col("n_shingles") > 0, F.col("id"))), "signatures")
-    first = F.min(F.struct("doc_id", "text_hash", "keys", "signature")).alias("s")
+    first = F.min(F.struct("doc_id", "text_hash", F.col("n_shingles").alias("size"), "keys", "signature", "sketch")).alias("s")
     items = stored(signed.where("id IS NOT NULL").groupBy("id").agg(first).select("id", "s.*"), "sets")
     n = items.count()
 
@@ -98,7 +100,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     def finer(ids: DataFrame, level: int) -> DataFrame | None:
         return recoded(items.join(ids, "id", "left_semi"), COORDINATES, *FINER[level - 1], level) if level <= len(FINER) else None
 
-    _, label = link(items.select("id", "keys"), verify, finer, max(1, -(-n // DOCS_PER_BUCKET)))
+    def rest(apart: DataFrame) -> DataFrame:
+        return leftover(apart, items, COORDINATES, least_share(percent / 100, COORDINATES), percent / 100)
+
+    _, label = link(items.select("id", "keys"), verify, finer, max(1, -(-n // DOCS_PER_BUCKET)), rest)
     # the smallest doc_id of all sets of a component names it
     classes = items.select("id", "doc_id").join(label, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))

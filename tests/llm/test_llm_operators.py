@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skybias.llm import bloom_lm, embedding_dedup, fingerprints, licenses, line_dedup, minhash, mixing, near_dedup, packing, separators, texts, tokens, toxicity
-from skybias.llm.linking import components, extended, link
+from skybias.llm.linking import components, extended, leftover, link
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -240,6 +241,49 @@ def test_recall_of_near_duplicates(spark, percent):
     assert all(lead[i] == lead[c] for i, c in got.items())  # no component is larger than links make it
 
 
+def test_links_whose_keys_are_all_shared_by_many(spark, monkeypatch):
+    """Texts of common passages: a linked pair has no key of its own and rarely the leader of one. Each is found, also where no longer runs help."""
+    monkeypatch.setattr(near_dedup, "FINER", [])
+    rng = random.Random(11)
+
+    def text(choice):
+        return " ".join(f"s{i}o{o}w{w}" for i, o in enumerate(choice) for w in range(6))
+
+    rows = []
+    for i in range(400):
+        choice = [int(rng.random() < 0.15) for _ in range(30)]
+        other = list(choice)
+        other[i % 30] = 2
+        rows += [(2 * i, text(choice)), (2 * i + 1, text(other))]
+    held, lead = [sets(t, 3) for _, t in rows], list(range(800))
+    links = [(a, b) for a in range(800) for b in range(a + 1, 800) if 100 * len(held[a] & held[b]) >= 85 * len(held[a] | held[b])]
+    for _ in range(800):
+        before = list(lead)
+        for a, b in links:
+            lead[a] = lead[b] = min(lead[a], lead[b])
+        if before == lead:
+            break
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 3, 85).collect()}
+    assert len(links) >= 400 and got == dict(enumerate(lead))
+
+
+@pytest.mark.parametrize("cell", [3, 2048])
+def test_leftover_pairs_are_those_of_all_pairs(spark, cell):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 16, (12, 15))
+    sign = np.where(rng.random((120, 15)) < 0.25, rng.integers(0, 1 << 16, (120, 15)), base[np.arange(120) % 12]).astype(np.uint16)
+    size, label = rng.integers(1, 60, 120), np.arange(120) % 50
+    items = spark.createDataFrame([(i, int(size[i]), x.tobytes()) for i, x in enumerate(minhash.sketches(sign))], "id long, size long, sketch binary")
+    keys = [(i, k) for i in range(120) for k in {i % 2, 2 + i % 7}]
+    keyed = spark.createDataFrame([(i, k, int(label[i])) for i, k in keys], "id long, key long, label long")
+    got = [tuple(r) for r in leftover(keyed, items, 15, 0.5, 0.7, cell).collect()]
+    brief = sign & 15
+    want = {(a, b) for a, k in keys for b, q in keys if a < b and k == q and label[a] != label[b]
+            and min(size[a], size[b]) >= 0.7 * max(size[a], size[b]) and (brief[a] == brief[b]).sum() >= 7.5}
+    assert len(want) > 30 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_recall_of_lines(spark):
     texts_ = variants(5, 12, 25, 30, 5)
     docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(4)
