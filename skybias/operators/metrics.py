@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skybias.functions.stats import pearson
 from skybias.operators.validation import RUN
 from skybias.schemas import FORECAST_TYPES, METRICS, SERIES, SERIES_LABELS
+from skybias.session import measured
 
 PERIOD = [*SERIES, "split"]
 FOUR = ["cams", "observations", "corrected", "persistence"]
@@ -22,14 +23,15 @@ def score(df: DataFrame, keys: list[str], actual: str, forecast: str, small_grou
 
     De-biasing needs the group's mean error first. ``small_groups`` promises groups of a fixed small
     size (the hours of one run): the mean then comes from a window that shares the aggregate's
-    shuffle. Otherwise it is aggregated and joined back, so that no group ends up in one task.
+    shuffle. Otherwise it is aggregated, stored and joined back, so that no group ends up in one task and rows are shuffled only for a
+    table of means that is too large to broadcast.
     """
     f, o = F.col(forecast), F.col(actual)
     errors = df.select(*keys, f.alias("_f"), o.alias("_o"), (f - o).alias("_e")).where((f - o).isNotNull())
     if small_groups:
         errors = errors.withColumn("_mean_e", F.avg("_e").over(Window.partitionBy(*keys)))
     else:
-        errors = errors.join(_error_means(errors, keys), keys)
+        errors = errors.join(measured(_error_means(errors, keys), "means"), keys)
     e, mean_o = F.col("_e"), F.avg("_o")
     return errors.groupBy(*keys).agg(
         F.try_divide(F.avg(F.abs(e)), mean_o).alias("nmae"),

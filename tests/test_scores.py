@@ -286,3 +286,11 @@ def test_density_reaches_far_rows_and_lists_flat_groups(spark):
     assert got.point.tolist() == list(range(200)) and got.density.to_numpy() == pytest.approx(want, abs=1e-13)
     flat = out[out.k != "wide"]
     assert sorted(zip(flat.k, flat.x)) == [("flat", 7.0), ("one", 3.0)] and flat.point.isna().all() and flat.density.isna().all()
+
+
+def test_scores_shuffle_no_row_to_meet_the_means(spark):
+    df = spark.createDataFrame([("A", 1.0, 2.0), ("A", 3.0, 5.0), ("B", 2.0, None), (None, 1.0, 1.0)], "location_id string, observed double, forecast double")
+    out = metrics.score(df, ["location_id"], "observed", "forecast")
+    assert [(r.location_id, r.bias, r.debiased_nmae) for r in out.collect()] == [("A", 1.5, 0.25)]
+    many = spark.range(2_000_000).selectExpr("id % 7 AS location_id", "id % 3 + 0D AS observed", "id % 5 + 0D AS forecast")
+    assert "SortMergeJoin" not in metrics.score(many, ["location_id"], "observed", "forecast")._jdf.queryExecution().executedPlan().toString()
