@@ -164,3 +164,22 @@ def test_negative_readings_do_not_enter_the_means(spark, table):
     rows = table([(1, "no2", "2020-01-01 00:10:00", 10.0, "µg/m³"), (1, "no2", "2020-01-01 00:20:00", -999.0, "µg/m³")],
                  "sensor_id LONG, variable STRING, time TIMESTAMP, value DOUBLE, unit STRING")
     assert [r.value for r in nearby_hourly(places, sensors, rows).collect()] == [10.0]
+
+
+def test_places_at_the_same_spot_share_one_series(spark, table, monkeypatch):
+    from skybias.plans import jobs
+
+    places = spark.createDataFrame([("B", 40.0, -3.0), ("A", 40.0, -3.0), ("C", 40.3, -3.0), ("D", 40.0, -3.0), ("D", 40.3, -3.0), ("E", None, -3.0),
+                                    (None, 40.0, -3.0)], "location_id string, latitude double, longitude double")
+    sensors = spark.createDataFrame([(1, "no2", "reference grade", 40.1, -3.0), (2, "no2", "reference grade", 40.25, -3.2), (3, "no2", "reference grade", 20.0, 9.0)],
+                                    "sensor_id long, variable string, sensor_type string, latitude double, longitude double")
+    readings = table([(s, "no2", t, s * 10 + v, "µg/m³") for s in (1, 2, 3) for t, v in hours("2020-01-01 00:00", range(12), skip=(4, 5, 9))],
+                     "sensor_id LONG, variable STRING, time TIMESTAMP, value DOUBLE, unit STRING")
+
+    def rows(df):
+        return sorted((r.location_id, r.variable, r.time, round(r.observed, 9)) for r in df.collect())
+
+    want, joined, plain = rows(transform.observed_series(jobs.nearby_hourly(places, sensors, readings))), [], jobs.nearby_hourly
+    monkeypatch.setattr(jobs, "nearby_hourly", lambda spots, *rest: joined.extend(r.location_id for r in spots.collect()) or plain(spots, *rest))
+    assert rows(jobs.nearby_observed(places, sensors, readings)) == want and {r[0] for r in want} == set("ABCD")
+    assert sorted(joined) == ["A", "C", "D", "D", "E"]
