@@ -288,6 +288,13 @@ def test_density_reaches_far_rows_and_lists_flat_groups(spark):
     assert sorted(zip(flat.k, flat.x)) == [("flat", 7.0), ("one", 3.0)] and flat.point.isna().all() and flat.density.isna().all()
 
 
+def test_scaling_shuffles_no_row_of_the_dataset(spark):
+    row = "if(id % 2 = 0, 'o3', 'no2') AS variable", "'train' AS split", "cast(id AS double) AS latitude_attr", "array(id % 5 + 0D, 2D) AS past_bias"
+    out = features.scale_series(features.scale_attributes(spark.range(2_000_000).selectExpr(*row), ["latitude_attr"]), ["bias"])
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 2_000_000
+
+
 def test_scores_shuffle_no_row_to_meet_the_means(spark):
     df = spark.createDataFrame([("A", 1.0, 2.0), ("A", 3.0, 5.0), ("B", 2.0, None), (None, 1.0, 1.0)], "location_id string, observed double, forecast double")
     out = metrics.score(df, ["location_id"], "observed", "forecast")
