@@ -207,8 +207,8 @@ def _(d):
     path = work_path(d.spark, "csv")
     rows = d.processed.select(*SERIES, "time", "observed", "forecast", "bias")
     storage.export_processed_csv(rows, path)
-    schema = "time TIMESTAMP, observed DOUBLE, forecast DOUBLE, bias DOUBLE, variable STRING, location_id STRING"
-    return d.spark.read.schema(schema).option("header", True).csv(path)
+    schema = "location_id STRING, time TIMESTAMP, observed DOUBLE, forecast DOUBLE, bias DOUBLE, variable STRING"
+    return d.spark.read.schema(schema).option("header", True).csv(path).select("time", "observed", "forecast", "bias", "variable", "location_id")
 
 
 @query("only_missing", tables="observations processed", sql="""
