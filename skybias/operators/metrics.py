@@ -12,6 +12,7 @@ from skybias.session import measured
 
 PERIOD = [*SERIES, "split"]
 FOUR = ["cams", "observations", "corrected", "persistence"]
+TYPES = {c: SERIES_LABELS[c] for c in FORECAST_TYPES}
 
 
 def _error_means(errors: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,6 +42,30 @@ def score(df: DataFrame, keys: list[str], actual: str, forecast: str, small_grou
         pearson(F.col("_f"), F.col("_o")).alias("pearson"))
 
 
+def score_side_by_side(df: DataFrame, keys: list[str], actual: str, forecasts: dict[str, str], small_groups: bool = False) -> DataFrame:
+    """What ``score`` gives for each of several forecasts, ``{column: type}``, with their ``type``: rows carry all of them and become one per type
+    after they are summed. A type without an error in a group has no row."""
+    def both(c: str) -> Column:
+        return F.col(c) - F.col(actual)
+
+    rows = df.select(*keys, actual, *forecasts)
+    if small_groups:
+        rows = rows.withColumns({f"_mean_{c}": F.avg(both(c)).over(Window.partitionBy(*keys)) for c in forecasts})
+    else:
+        rows = rows.join(measured(rows.groupBy(*keys).agg(*[F.avg(both(c)).alias(f"_mean_{c}") for c in forecasts]), "means"), keys)
+    sums = []
+    for c in forecasts:
+        e, o = both(c), F.when(both(c).isNotNull(), F.col(actual))
+        mean_o = F.avg(o)
+        sums.append(F.when(F.count(e) > 0, F.struct(
+            F.try_divide(F.avg(F.abs(e)), mean_o).alias("nmae"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"),
+            F.try_divide(F.avg(F.abs(e - F.col(f"_mean_{c}"))), mean_o).alias("debiased_nmae"),
+            pearson(F.when(both(c).isNotNull(), F.col(c)), o).alias("pearson"))).alias(f"_{c}"))
+    pairs = ", ".join(f"'{label}', _{c}" for c, label in forecasts.items())
+    long = rows.groupBy(*keys).agg(*sums).selectExpr(*keys, f"stack({len(forecasts)}, {pairs}) AS (type, _scores)")
+    return long.where("_scores IS NOT NULL").select(*keys, "type", "_scores.*")
+
+
 def by_type(validation: DataFrame) -> DataFrame:
     """One row per forecast type: raw, corrected, persistence."""
     pairs = ", ".join(f"'{SERIES_LABELS[c]}', {c}" for c in FORECAST_TYPES)
@@ -50,11 +75,12 @@ def by_type(validation: DataFrame) -> DataFrame:
 
 def score_runs(validation: DataFrame) -> DataFrame:
     """The five metrics of each run (24 hours) and type."""
-    return score(by_type(validation), [*RUN, "type"], "observations", "forecast", small_groups=True)
+    return score_side_by_side(validation, RUN, "observations", TYPES, small_groups=True)
 
 
 def score_runs_mean(runs: DataFrame) -> DataFrame:
     """Run scores plus one row per type, ``run = 'Mean'``: the unweighted mean over runs, per split."""
+    runs = measured(runs, "runs")  # read for the means and again for the rows
     means = runs.groupBy(*PERIOD, "type").agg(*[F.avg(m).alias(m) for m in METRICS])
     labelled = runs.withColumn("run", F.date_format("init_time", "yyyy-MM-dd HH:mm:ss")).drop("init_time")
     return labelled.unionByName(means.withColumn("run", F.lit("Mean")))
@@ -86,8 +112,9 @@ def resample_validation(validation: DataFrame) -> DataFrame:
 
 def score_series(validation: DataFrame) -> DataFrame:
     """The five metrics of the whole series per split, resolution and type."""
-    resampled = resample_validation(validation).select(*PERIOD, "resampling", *FOUR)
-    return score(by_type(resampled), [*PERIOD, "resampling", "type"], "observations", "forecast")
+    # read for the mean errors and again for the scores
+    resampled = measured(resample_validation(validation).select(*PERIOD, "resampling", *FOUR), "resampled")
+    return score_side_by_side(resampled, [*PERIOD, "resampling"], "observations", TYPES)
 
 
 def regression_metrics(df: DataFrame, keys: list[str], label: str = "label", prediction: str = "prediction",

@@ -1,11 +1,16 @@
 """Windows, splits, validation and scores."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from skybias.operators import features, metrics, validation, weighted
+from skybias.plans import queries_scores
+from skybias.plans.domain import domain
+from skybias.sources import storage
 from tests.conftest import hours
 
 KEYS = ["location_id", "variable"]
@@ -301,3 +306,50 @@ def test_scores_shuffle_no_row_to_meet_the_means(spark):
     assert [(r.location_id, r.bias, r.debiased_nmae) for r in out.collect()] == [("A", 1.5, 0.25)]
     many = spark.range(2_000_000).selectExpr("id % 7 AS location_id", "id % 3 + 0D AS observed", "id % 5 + 0D AS forecast")
     assert "SortMergeJoin" not in metrics.score(many, ["location_id"], "observed", "forecast")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_types_are_scored_side_by_side(spark):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({c: rng.normal(20, 5, 400) for c in ("observations", "cams", "corrected", "persistence")})
+    rows = spark.createDataFrame(frame.assign(k=["a", "b"] * 200, n=range(400)))
+    rows = rows.withColumn("cams", F.expr("if(k = 'b', NULL, cams)")).withColumn("observations", F.expr("if(n % 9 = 0, NULL, observations)"))
+    stacked = rows.selectExpr("k", "observations", "stack(2, 'one', cams, 'two', corrected) AS (type, forecast)")
+    for small in (False, True):
+        want = {(r["k"], r["type"]): r for r in metrics.score(stacked, ["k", "type"], "observations", "forecast", small).collect()}
+        out = metrics.score_side_by_side(rows, ["k"], "observations", {"cams": "one", "corrected": "two"}, small)
+        found = {(r["k"], r["type"]): r for r in out.collect()}
+        assert set(found) == set(want) == {("a", "one"), ("a", "two"), ("b", "two")}
+        for key, r in found.items():
+            assert [r[m] for m in metrics.METRICS] == pytest.approx([want[key][m] for m in metrics.METRICS])
+
+
+def test_runs_are_scored_before_there_is_a_row_for_each_type(spark):
+    schema = "location_id STRING, variable STRING, split STRING, init_time TIMESTAMP, observations DOUBLE, cams DOUBLE, corrected DOUBLE, persistence DOUBLE"
+    plan = metrics.score_runs(spark.createDataFrame([], schema))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Generate stack(3") < plan.index("Window")
+
+
+def test_places_with_enough_rows_are_found_without_a_shuffle_of_all_rows(spark):
+    rows = spark.range(2_000_000).selectExpr("concat('L', id % 3) AS location_id", "'pm25' AS variable", "timestamp_seconds(id * 3600) AS time")
+    out = features.min_station_rows(rows, 10)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert out.count() == 2_000_000
+
+
+def test_members_come_after_the_join_with_the_label(spark, tmp_path):
+    spark.createDataFrame([(i, f"2024-01-0{1 + i % 9} 0{i % 7}:00:00", i % 60, "click", float(i)) for i in range(400)],
+                          "event_id LONG, ts STRING, user_id LONG, event_type STRING, value DOUBLE").selectExpr("event_id", "timestamp(ts) AS ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    out = queries_scores._labelled(domain(spark, str(tmp_path)))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Generate explode(sequence(0, 4") < plan.index("Join")
+
+
+def test_csv_has_no_file_for_each_place(spark, tmp_path):
+    rows = spark.range(400).selectExpr('''concat(' place, "', id % 100, '" ') AS location_id''', "'pm25' AS variable", "timestamp_seconds(id * 3600) AS time", "id * 0.5D AS observed", "1D AS forecast", "2D AS bias")
+    for by, files in ((["variable"], range(1, 9)), (["variable", "location_id"], [100])):
+        path = f"{tmp_path}/{len(by)}"
+        storage.export_processed_csv(rows, path, by)
+        names = list(Path(path).rglob("*.csv"))
+        assert len(names) in files and names[0].read_text().startswith(("location_id,time", "time,"))
+    back = spark.read.schema("location_id STRING, time TIMESTAMP, observed DOUBLE, forecast DOUBLE, bias DOUBLE, variable STRING").option("header", True).csv(f"{tmp_path}/1")
+    assert back.select(*rows.columns).exceptAll(rows).count() == 0 and back.count() == 400
