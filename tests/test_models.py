@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skybias.operators import elastic_net, features, models, moments
+from skybias.operators import boosting, elastic_net, features, models, moments
 from skybias.plans import jobs
 from skybias.schemas import RAW_FIELDS
 
@@ -319,3 +319,29 @@ def test_queries_fit_all_pollutants_hours_fields_and_members(spark, monkeypatch)
         seen.clear()
         QUERIES[name](spark, "/root/testdata/sf0.01").limit(1).collect()
         assert seen == [(kind, members, sorted(POLLUTANTS))]
+
+
+def test_histograms_of_inputs_one_after_the_other():
+    rng = np.random.default_rng(4)
+    bins, node, channels = rng.integers(0, 4, (500, 6)).astype(np.uint8), rng.integers(0, 3, 500), rng.normal(size=(500, 2))
+    total = np.zeros((6, 12, 2))
+    for rows in (slice(0, 200), slice(200, 500)):
+        boosting.add_histograms(total, bins[rows], node[rows] * 4, channels[rows])
+    want = np.zeros((6, 3, 4, 2))
+    for b, n, c in zip(bins, node, channels):
+        for i in range(6):
+            want[i, n, b[i]] += c
+    assert total.reshape(want.shape) == pytest.approx(want, abs=1e-12)
+
+
+def test_python_gets_few_megabytes_at_a_time(spark):
+    """Rows as wide as those of a dataset: a batch used to have 10,000 of them, whatever their size."""
+    rows = spark.range(0, 6000, 1, 1).selectExpr("id", "transform(sequence(1, 823), x -> x * 0.5D) AS features")
+    out = models.foreign_predictions(rows, lambda x: np.full((len(x), 1), float(len(x))), 1)
+    assert out.selectExpr("max(bias_hat[0])").first()[0] < 2500
+
+
+def test_tasks_take_more_partitions_when_rows_grow(spark):
+    """150 MB shuffled by a session of eight partitions: no task takes more than 16 MB of it, plus what lies in one partition."""
+    rows = spark.range(6_000_000).selectExpr("xxhash64(id) AS a", "xxhash64(id, 1) AS b", "xxhash64(id, 2) AS c")
+    assert rows.repartition("a").rdd.getNumPartitions() > 8
