@@ -286,8 +286,10 @@ class Head:
         """Count of each word, -1 outside the head."""
         if not len(self.word):
             return np.full(len(w), -1, np.int64)
+        # each different word is looked up once, in order, so that neighbours in memory are read one after the other
+        w, back = np.unique(w, return_inverse=True)
         at = np.minimum(np.searchsorted(self.word, w), len(self.word) - 1)
-        return np.where(self.word[at] == w, self.count[at], -1)
+        return np.where(self.word[at] == w, self.count[at], -1)[back]
 
     def p1(self, count: np.ndarray) -> np.ndarray:
         return (count + 1) / (self.n + self.v + 1)
@@ -299,9 +301,12 @@ def _scorer(shared, first_wave: bool):
         row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b, token, first in tokens(batch):
-                v, count = previous(token), head.counts(token)
-                known, part = count >= 0, slices_of(v, lm.slices)
+                v = previous(token)
+                part, count = slices_of(v, lm.slices), np.full(len(token), -1, np.int64)
                 mine = np.flatnonzero((part >= lm.low) & (part < lm.high))
+                wanted = slice(None) if first_wave else mine  # the base needs all words, once
+                count[wanted] = head.counts(token[wanted])
+                known = count >= 0
                 log = np.zeros(len(token))
                 own, share = lm.mixtures(v[mine], token[mine])
                 here = known[mine]
