@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skybias.llm import minhash, texts
-from skybias.llm.linking import agreeing, least_share, leftover, link, recoded
+from skybias.llm import minhash
+from skybias.llm.linking import agreeing, coded, fixed, least_share, leftover, link, recoded
 from skybias.llm.registry import query
-from skybias.llm.tables import stored, table, text_of
+from skybias.llm.tables import placed, stored, table, text_of
 
 SHINGLE_CHARS, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 5
 FINER = [(8, 40), (12, 80)]  # coordinates in a run, runs
@@ -34,23 +34,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("line"))
 
 
-def _fixed(rows: np.ndarray) -> pa.Array:
-    """The rows of a matrix as binary values."""
-    width = rows.shape[1] * rows.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)),
-                                                          pa.py_buffer(np.ascontiguousarray(rows))])
-
-
 def _signed(chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, value, offsets in minhash.char_shingles(batch.column("line"), chars):
-                sign = minhash.signatures(value, offsets, BANDS * ROWS)
-                short = (sign >> np.uint32(16)).astype(np.uint16)
-                size = np.diff(texts.distinct(value, np.repeat(np.arange(b - a), np.diff(offsets)), b - a)[1])
-                yield pa.record_batch([batch.column("id").slice(a, b - a), batch.column("line").slice(a, b - a), pa.array(size.astype(np.int64)),
-                                       _fixed(minhash.run_keys(sign, ROWS)), _fixed(short), _fixed(minhash.sketches(short))],
-                                      ["id", "line", "size", "keys", "signature", "sketch"])
+                size = np.diff(minhash.distinct_shingles(value, offsets)[1])
+                short = minhash.shortened(minhash.signatures(value, offsets, BANDS * ROWS))
+                part = batch.slice(a, b - a)
+                yield pa.record_batch([*part.columns, pa.array(size.astype(np.int64)), fixed(short)], [*part.schema.names, "size", "signature"])
 
     return run
 
@@ -62,11 +53,12 @@ def _confirmed(chars: int, threshold: float):
                 part = batch.slice(at, 512)
                 sides = []
                 for c in ("ta", "tb"):
-                    value, row = [], []
-                    for a, b, v, offsets in minhash.char_shingles(part.column(c), chars):
+                    value, size = [], []
+                    for _, _, v, offsets in minhash.char_shingles(part.column(c), chars):
+                        v, offsets = minhash.distinct_shingles(v, offsets)
                         value.append(v)
-                        row.append(np.repeat(np.arange(a, b), np.diff(offsets)))
-                    sides.append(texts.distinct(np.concatenate(value), np.concatenate(row), part.num_rows))
+                        size.append(np.diff(offsets))
+                    sides.append((np.concatenate(value), np.concatenate([[0], np.cumsum(np.concatenate(size))])))
                 x, y, both = minhash.overlaps(*sides)
                 keep = pa.array(both >= threshold * (x + y - both))
                 yield pa.record_batch([part.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
@@ -74,30 +66,47 @@ def _confirmed(chars: int, threshold: float):
     return run
 
 
+def _brief(chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, value, offsets in minhash.char_shingles(batch.column("line"), chars):
+                yield pa.record_batch([batch.column("id").slice(a, b - a), pa.array(minhash.brief(*minhash.distinct_shingles(value, offsets)), pa.binary())], ["id", "shingles"])
+
+    return run
+
+
 def kept_lines(docs: DataFrame, chars: int = SHINGLE_CHARS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, lines): the lines that stay, as structs of line_no and the hash of the line."""
-    lines = _lines(docs)
-    places = stored(lines.select("doc_id", "line_no", "id"), "places")
-    items = stored(lines.select("id", "line").distinct().mapInArrow(_signed(chars), "id long, line string, size long, keys binary, signature binary, sketch binary"), "lines")
+    # every different line once, with its first place
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "line")).alias("f")
+    lines = _lines(docs).groupBy("id").agg(first).select("id", "f.*")
+    items = placed(lines.mapInArrow(_signed(chars), "id long, last boolean, doc_id long, line_no int, line string, size long, signature binary"), "lines", "id")
     width, n = BANDS * ROWS, items.count()
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = agreeing(pairs, items, width, least_share(threshold, width))
+    share = least_share(threshold, width)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
         for side in "ba":
             pairs = pairs.join(items.select(F.col("id").alias(side), F.col("line").alias(f"t{side}")), side)
         return pairs.mapInArrow(_confirmed(chars, threshold), "a long, b long")
 
+    def verify(pairs: DataFrame) -> DataFrame:
+        return confirm(agreeing(pairs, items, width, share))
+
     def finer(ids: DataFrame, level: int) -> DataFrame | None:
         return recoded(items.join(ids, "id", "left_semi"), width, *FINER[level - 1], level) if level <= len(FINER) else None
 
-    def rest(apart: DataFrame) -> DataFrame:
-        return leftover(apart, items, width, least_share(threshold, width), threshold)
-
-    _, label = link(items.select("id", "keys"), verify, finer, max(1, -(-n // LINES_PER_BUCKET)), rest)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "id")).alias("f")
-    # first place of every line, then of every component
-    line = places.groupBy("id").agg(first).join(label, "id", "left").select(F.coalesce("component", "id").alias("component"), "f.*")
-    best = line.groupBy("component").agg(first)
+    def rest(apart: DataFrame, nearest: bool) -> DataFrame:
+        sets = None
+        if not nearest:
+            wanted = items.select("id", "line").join(apart.select("id").distinct(), "id", "left_semi")
+            sets = stored(wanted.mapInArrow(_brief(chars), "id long, shingles binary"), "shingles")
+        return leftover(apart, items, width, share, threshold, rows=ROWS, nearest=nearest, sets=sets)
+
+    _, label = link(coded(items, width, ROWS), verify, finer, max(1, -(-n // LINES_PER_BUCKET)), rest, confirm)
+    # the first place of every component
+    line = items.select("id", "last", "doc_id", "line_no").join(label, "id", "left")
+    best = line.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min(F.struct("last", "doc_id", "line_no", "id")).alias("f"))
     return best.groupBy("f.doc_id").agg(F.collect_list(F.struct("f.line_no", "f.id")).alias("lines"))
 
 

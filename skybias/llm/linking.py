@@ -23,6 +23,7 @@ from skybias.llm.tables import stored
 
 POSTINGS_HELD, EDGES_PER_BLOCK = 1 << 21, 1 << 20
 CELL, PAIRS_HELD, ROWS_HELD = 2048, 1 << 18, 1 << 14  # items of a side of a cell; pairs and rows that a task looks at in one go
+MANY = 1 << 16  # items of a key that get longer runs before they are compared pair by pair
 PAIRS = "id long, leader long, key long"
 
 
@@ -86,38 +87,41 @@ def extended(label: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _lead(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, id) in order, and the smallest id of each key."""
-    order = np.lexsort((ids, keys))
+    """The keys in order, their ids, and the smallest id of each key."""
+    order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids = keys[new], ids[new]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    return keys, ids, ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))] if len(keys) else ids
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    leader = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(keys)))) if len(keys) else ids
+    return keys, ids, leader
 
 
 def stars(items: DataFrame, buckets: int) -> DataFrame:
     """(id, leader, key) of ``items`` (id long, keys binary of 64-bit numbers), ids unlike their leader only."""
+    def packed(bucket: np.ndarray, keys: np.ndarray, ids: np.ndarray, leader: np.ndarray | None) -> pa.RecordBatch:
+        order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
+        names, first = np.unique(bucket[order], return_index=True)
+        cut = [*first[1:], len(order)]
+        columns = [[x[order[i:j]].tobytes() if x is not None else b"" for i, j in zip(first, cut, strict=True)] for x in (keys, ids, leader)]
+        return pa.record_batch([pa.array(names.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "keys", "ids", "leaders"])
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
             keys, ids, leader = _lead(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
             held.clear()
-            # an item that has its leader here goes anywhere; leaders meet by key
-            bucket = np.where(ids == leader, keys, texts.mix(ids.view(np.uint64) + keys)) % np.uint64(buckets)
-            order = np.argsort(bucket.astype(np.int64), kind="stable")
-            names, first = np.unique(bucket[order], return_index=True)
-            cut = [*first[1:], len(order)]
-            columns = [[x[order][i:j].tobytes() for i, j in zip(first, cut, strict=True)] for x in (keys, ids, leader)]
-            yield pa.record_batch([pa.array(names.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "keys", "ids", "leaders"])
+            # leaders meet by key; an item that has its leader here goes anywhere
+            own = ids == leader
+            if own.any():
+                yield packed(keys[own] % np.uint64(buckets), keys[own], ids[own], None)
+            keys, ids, leader = keys[~own], ids[~own], leader[~own]
+            if len(ids):
+                yield packed(texts.mix(ids.view(np.uint64) + keys) % np.uint64(buckets), keys, ids, leader)
 
         for batch in batches:
-            data = batch.column("keys").cast(pa.large_binary())
-            flat = np.frombuffer(b"".join(x.as_py() for x in data), np.uint64)
-            each = np.fromiter((len(x.as_py()) // 8 for x in data), np.int64, len(data))
-            held.append((flat, np.repeat(batch.column("id").to_numpy(), each)))
+            data = batch.column("keys").to_pylist()
+            flat = np.frombuffer(b"".join(data), np.uint64)
+            held.append((flat, np.repeat(batch.column("id").to_numpy(), [len(x) // 8 for x in data])))
             size += len(flat)
             if size >= POSTINGS_HELD:
                 yield from flush()
@@ -126,39 +130,29 @@ def stars(items: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     def meet(group: pa.Table) -> pa.Table:
-        keys, ids, leaders = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("leaders", np.int64)))
-        local = ids != leaders
-        k, i, lead = _lead(keys[~local], ids[~local])
-        far = i != lead
-        out = [np.concatenate(x) for x in ((ids[local], i[far]), (leaders[local], lead[far]), (keys[local], k[far]))]
-        return pa.table([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].view(np.int64))], ["id", "leader", "key"])
+        rows = list(zip(*(group.column(c).to_pylist() for c in ("keys", "ids", "leaders")), strict=True))
+        keys, ids = (np.frombuffer(b"".join(r[i] for r in rows if not r[2]), t) for i, t in ((0, np.uint64), (1, np.int64)))
+        keys, ids, leader = _lead(keys, ids)
+        far = ids != leader
+        local = [np.frombuffer(b"".join(r[i] for r in rows if r[2]), np.int64) for i in (1, 2, 0)]
+        out = [np.concatenate(x) for x in zip(local, (ids[far], leader[far], keys[far].view(np.int64)), strict=True)]
+        return pa.table([pa.array(x) for x in out], ["id", "leader", "key"])
 
-    packed = items.select("id", "keys").mapInArrow(gather, "bucket int, keys binary, ids binary, leaders binary")
-    return packed.groupBy("bucket").applyInArrow(meet, PAIRS)
+    sent = items.select("id", "keys").mapInArrow(gather, "bucket int, keys binary, ids binary, leaders binary")
+    return sent.groupBy("bucket").applyInArrow(meet, PAIRS)
 
 
 def agreeing(pairs: DataFrame, items: DataFrame, width: int, share: float) -> DataFrame:
-    """Pairs (a, b) whose signatures (``width`` 16-bit values, column ``signature`` of ``items``) agree in that share of coordinates.
-
-    Their sketches agree in no fewer; these are compared first, and signatures move only for the pairs that are left.
-    """
-    def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (_matrix(batch.column(f"s{c}"), np.uint8) for c in "ab")
-            keep = pa.array(minhash.sketch_agreement(one, two, width) >= share * width)
-            yield pa.record_batch([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
-
-    def by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose signatures (``width`` 16-bit values, column ``signature`` of ``items``) agree in that share of coordinates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (_matrix(batch.column(f"s{c}"), np.uint16) for c in "ab")
             keep = pa.array((one == two).sum(1) >= share * width)
             yield pa.record_batch([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    for column, run in (("sketch", by_sketch), ("signature", by_signature)):
-        for side in "ab":
-            pairs = pairs.join(items.select(F.col("id").alias(side), F.col(column).alias(f"s{side}")), side)
-        pairs = stored(pairs.mapInArrow(run, "a long, b long"), "matches")
-    return pairs
+    for side in "ba":
+        pairs = pairs.join(items.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}")), side)
+    return stored(pairs.mapInArrow(run, "a long, b long"), "matches")
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -191,14 +185,25 @@ def _cells(keyed: DataFrame, least: float, cell: int) -> DataFrame:
     return rows.unionByName(wide.select(*rows.columns))
 
 
-def leftover(keyed: DataFrame, items: DataFrame, width: int, share: float, least: float, cell: int = CELL) -> DataFrame:
-    """Pairs (a, b), a < b, of ``keyed`` (id, key, label) that share a key, have different labels and sketches that agree in ``share``.
+def leftover(keyed: DataFrame, items: DataFrame, width: int, share: float, least: float, cell: int = CELL, rows: int = 0, nearest: bool = False,
+             sets: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of ``keyed`` (id, key, label) that share a key, have different labels and signatures that agree in ``share``.
 
-    ``items`` has a ``sketch`` and a ``size``; pairs whose sizes have a ratio below ``least`` are no links. Every other pair of a key is compared, in a
-    cell of at most two times ``cell`` items, which a task reads one after the other.
+    ``items`` has a ``size`` and a ``signature``, or only the ``sketch`` of one; pairs whose sizes have a ratio below ``least`` are no links. Every other pair
+    of a key is compared, in a cell of at most two times ``cell`` items, which a task reads one after the other. Where keys are runs of ``rows`` coordinates
+    (``coded``), a pair is a row under the first run that it shares only. ``nearest`` leaves one pair for each item, that with the most agreement.
+    With ``sets`` (id, shingles: see ``minhash.brief``) pairs whose sets have too few values in common for a similarity of ``least`` are no rows.
     """
-    def pairs(data: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        at, side, ids, label, size, sketch = data
+    whole, filtered = "signature" in items.columns, sets is not None and not nearest
+    held_as, kind = ("signature", np.uint16) if whole else ("sketch", np.uint8)
+
+    def alike(data: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of the items of a pair, and their agreement."""
+        at, side, key, ids, label, size, sign, held = data
+        brief = [np.frombuffer(x, np.uint16) if x is not None else None for x in held]
+        sketch, run = minhash.sketches(sign) if whole else sign, None
+        if rows and not nearest:
+            run = (minhash.run_keys(sign, rows).view(np.int64) == key[:, None]).argmax(1)
         end = np.searchsorted(at, at, "right")
         todo = end - np.arange(len(at)) - 1
         before, row = np.concatenate([[0], np.cumsum(todo)]), 0
@@ -212,29 +217,61 @@ def leftover(keyed: DataFrame, items: DataFrame, width: int, share: float, least
             x, y = x[keep], y[keep]
             for i in range(0, len(x), ROWS_HELD):
                 p, q = x[i:i + ROWS_HELD], y[i:i + ROWS_HELD]
-                like = minhash.sketch_agreement(sketch[p], sketch[q], width) >= share * width
-                p, q = ids[p[like]], ids[q[like]]
-                yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                n = minhash.sketch_agreement(sketch[p], sketch[q], width)
+                keep = n >= share * width
+                p, q, n = p[keep], q[keep], n[keep]
+                if whole:
+                    equal = sign[p] == sign[q]
+                    n = equal.sum(1)
+                    keep = n >= share * width
+                    if run is not None:
+                        keep &= equal[:, :width // rows * rows].reshape(len(p), width // rows, rows).all(2).argmax(1) == run[p]
+                    p, q, n = p[keep], q[keep], n[keep]
+                    if filtered:
+                        keep = minhash.may_be_alike(p, q, brief, size, least)
+                        p, q, n = p[keep], q[keep], n[keep]
+                yield p, q, n
+
+    def pairs(data: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids, best = data[3], np.zeros(len(data[0]), np.int64)
+        for p, q, n in alike(data):
+            if nearest:
+                np.maximum.at(best, p, n.astype(np.int64) << 32 | q)
+                np.maximum.at(best, q, n.astype(np.int64) << 32 | p)
+            elif len(p):
+                p, q = ids[p], ids[q]
+                yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(n)], ["a", "b", "n"])
+        p = np.flatnonzero(best)
+        yield pa.record_batch([pa.array(ids[p]), pa.array(ids[best[p] & 0xFFFFFFFF]), pa.array(best[p] >> 32)], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, size = [], 0
         for batch in batches:
             if batch.num_rows:
-                held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "side", "id", "label", "size")] + [_matrix(batch.column("sketch"), np.uint8)])
-                rows += batch.num_rows
-            if rows >= ROWS_HELD:
+                held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "side", "key", "id", "label", "size")] 
+                            + [_matrix(batch.column(held_as), kind), np.array([*batch.column("shingles").to_pylist(), None], object)[:-1]])
+                size += batch.num_rows
+            if size >= ROWS_HELD:
                 data = [np.concatenate(x) for x in zip(*held, strict=True)]
                 # the last cell may go on in the next batch
                 cut = int(np.searchsorted(data[0], data[0][-1]))
                 if cut:
                     yield from pairs([x[:cut] for x in data])
-                held, rows = [[x[cut:] for x in data]], len(data[0]) - cut
+                held, size = [[x[cut:] for x in data]], len(data[0]) - cut
         if held:
             yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    cells = _cells(keyed.join(items.select("id", "size"), "id"), least, cell).select("at.*", "id", "label", "size")
-    cells = cells.join(items.select("id", "sketch"), "id").repartition("cell").sortWithinPartitions("cell")
-    return stored(cells.mapInArrow(run, "a long, b long").distinct(), "leftover")
+    sized = stored(keyed.join(items.select("id", "size"), "id"), "sized")
+    cells = _cells(sized, least, cell).select("at.*", "key", "id", "label", "size")
+    cells = cells.join(items.select("id", held_as), "id")
+    cells = cells.withColumn("shingles", F.lit(None).cast("binary")) if not filtered else cells.join(sets, "id", "left")
+    cells = cells.repartition("cell").sortWithinPartitions("cell")
+    found = cells.mapInArrow(run, "a long, b long, n long")
+    if nearest:
+        found = found.groupBy("a").agg(F.max(F.struct("n", "b")).alias("s")).select(F.least("a", "s.b").alias("a"), F.greatest("a", "s.b").alias("b"))
+    elif rows and whole:
+        return stored(found.select("a", "b"), "leftover")
+    return stored(found.select("a", "b").distinct(), "leftover")
 
 
 def least_share(threshold: float, width: int) -> float:
@@ -242,43 +279,61 @@ def least_share(threshold: float, width: int) -> float:
     return threshold - 5.5 * (threshold * (1 - threshold) / width) ** 0.5
 
 
+def coded(items: DataFrame, width: int, rows: int) -> DataFrame:
+    """(id, keys) of ``items``: a key for each run of ``rows`` coordinates."""
+    return _coded(items, width, rows, np.arange(width), 0)
+
+
 def recoded(items: DataFrame, width: int, rows: int, runs: int, seed: int) -> DataFrame:
     """(id, keys) of ``items``: keys of at least ``runs`` runs of ``rows`` coordinates, over shuffled signatures."""
     rng = np.random.default_rng(seed)
     each = width // rows
-    chosen = np.concatenate([rng.permutation(width)[:each * rows] for _ in range(-(-runs // each))])
+    return _coded(items, width, rows, np.concatenate([rng.permutation(width)[:each * rows] for _ in range(-(-runs // each))]), seed)
+
 
+def _coded(items: DataFrame, width: int, rows: int, chosen: np.ndarray, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, width)
-            keys = minhash.run_keys(sign[:, chosen] + np.uint64(seed << 16), rows)
-            yield pa.record_batch([batch.column("id"), pa.array([k.tobytes() for k in keys], pa.binary())], ["id", "keys"])
+            keys = minhash.run_keys(_matrix(batch.column("signature"), np.uint16).reshape(-1, width)[:, chosen] + np.uint64(seed << 16), rows)
+            yield pa.record_batch([batch.column("id"), fixed(keys)], ["id", "keys"])
 
     return items.select("id", "signature").mapInArrow(run, "id long, keys binary")
 
 
+def fixed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)),
+                                                          pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame, int], DataFrame | None],
-         buckets: int, rest: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+         buckets: int, rest: Callable[[DataFrame, bool], DataFrame] | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges a, b; components id, component) of ``items`` (id, keys), linked where ``verify`` says so.
 
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links. ``finer`` takes ids that are still apart under a key and
     the number of times that happened, and returns their next keys (id, keys), or None after the last ones. ``rest`` takes what is then
-    still apart (id, key, label) under the first keys and returns all its pairs that may be links.
+    still apart (id, key, label) under the first keys and returns all its pairs that may be links, or the likeliest one of every item; ``confirm``
+    (or else ``verify``) says which of them are. With ``rest`` only keys of more than ``MANY`` items that are apart get longer runs.
     """
     pair = [F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")]
     tried = edges = label = first = None
 
-    def settle(new: DataFrame) -> None:
+    def settle(new: DataFrame, verify: Callable[[DataFrame], DataFrame] = verify) -> int:
+        """Verify pairs that are not ``tried`` yet; returns the number of links."""
         nonlocal tried, edges, label
         if tried is None:
             tried = stored(new, "pairs")
             edges = stored(verify(tried), "links")
             label = components(edges)
-            return
+            return edges.count()
         new = stored(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            linked = stored(verify(new), "links")
-            tried, edges, label = tried.unionByName(new), edges.unionByName(linked), extended(label, linked)
+        if new.isEmpty():
+            return 0
+        linked, tried = stored(verify(new), "links"), tried.unionByName(new)
+        if n := linked.count():
+            edges, label = edges.unionByName(linked), extended(label, linked)
+        return n
 
     def apart(rows: DataFrame) -> DataFrame:
         """Postings (id, key, label) under keys that hold several components."""
@@ -286,21 +341,28 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Call
         several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         return stored(now.join(several, "key", "left_semi"), "keyed")
 
+    def between(star: DataFrame) -> DataFrame:
+        """Rows of ``star`` whose ends are in different components."""
+        return _labelled(_labelled(star, label, "id", "x"), label, "leader", "y").where("x <> y")
+
     level = 0
     while items is not None:
         star = stored(stars(items, buckets), "stars")
         if label is None:
-            settle(star.select(*pair).distinct())
-        else:
-            settle(_labelled(_labelled(star, label, "id", "x"), label, "leader", "y").where("x <> y").select(*pair).distinct())
-        failed = _labelled(_labelled(star, label, "id", "x"), label, "leader", "y").where("x <> y")
-        open_keys = stored(failed.select("key").distinct(), "open")
+            # one leader an item: near copies meet in a few of them, and what that joins needs no other pair
+            settle(star.groupBy("id").agg(F.min("leader").alias("leader")).select(*pair).distinct())
+        settle(between(star).select(*pair).distinct())
+        open_keys = stored(between(star).select("key").distinct(), "open")
         if open_keys.isEmpty():
             break
         # the stars of a key name all its items
         under = star.join(open_keys, "key", "left_semi")
         keyed = apart(under.select("id", "key").union(under.select("leader", "key")).distinct())
         first = keyed if first is None else first
+        if rest:
+            keyed = stored(keyed.join(keyed.groupBy("key").count().where(F.col("count") > MANY), "key", "left_semi"), "many")
+            if keyed.isEmpty():
+                break
         # another leader, drawn anew for every key
         draw = F.struct(F.xxhash64(F.lit(level), "key", "id").alias("h"), F.col("id").alias("leader"), F.col("label").alias("led"))
         leaders = keyed.groupBy("key").agg(F.min(draw).alias("s")).select("key", "s.leader", "s.led")
@@ -310,9 +372,17 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Call
         items = None if ids.isEmpty() else finer(ids, level)
         items = items if items is None else stored(items, "finer")
     if rest and first is not None:
-        left = apart(first.drop("label"))
+        left = apart(first.drop("label")) if level else first
+        # the nearest of every item first, as long as that joins many: what it joins needs none of its other pairs
+        again = True
+        while again and not left.isEmpty():
+            near = rest(left, True)
+            # an item that has no like one now has none later
+            ends = stored(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "ends")
+            again = 10 * settle(near, confirm or verify) > near.count()
+            left = apart(left.join(ends, "id", "left_semi").drop("label"))
         if not left.isEmpty():
-            settle(rest(left))
+            settle(rest(left, False), confirm or verify)
     return edges, label
 
 

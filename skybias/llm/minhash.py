@@ -11,6 +11,7 @@ from skybias.llm import texts
 
 BLOCK = 1 << 15  # shingles whose hashes stay in a core's cache
 _ODD = np.uint32(0x85EBCA6B)
+BRIEF = 2048  # values of a set whose 16 bits still tell it from others
 
 
 def seeds(n: int) -> np.ndarray:
@@ -33,6 +34,11 @@ def signatures(values: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def shortened(signature: np.ndarray) -> np.ndarray:
+    """16 bits of each of the 32-bit minima, mixed first: the upper bits of the minima of a large set are all zero."""
+    return ((signature ^ signature >> np.uint32(15)) * _ODD >> np.uint32(16)).astype(np.uint16)
+
+
 def run_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     """Keys of the runs of ``rows`` coordinates: equal where the run's number and all its values are."""
     n, width = signature.shape
@@ -92,6 +98,46 @@ def char_shingles(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarr
         yield a, b, out, np.concatenate([[0], end])
 
 
+def distinct_shingles(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 32-bit values of each row, sorted within the row, and the offsets of the rows."""
+    rows = len(offsets) - 1
+    both = np.sort(np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(32), np.diff(offsets)) | values)
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    return both.astype(np.uint32), np.searchsorted(both, np.arange(rows + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def brief(values: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """16 bits of each value of a set, every one once; None for large sets, where they would say too little."""
+    out = []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        out.append(np.unique((values[a:b] & values.dtype.type(0xFFFF)).astype(np.uint16)).tobytes() if b - a <= BRIEF else None)
+    return out
+
+
+def may_be_alike(p: np.ndarray, q: np.ndarray, held: list[np.ndarray | None], size: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of places (sorted by ``p``) have enough values of ``held`` in common for a Jaccard similarity of ``least``; those without ``held`` may.
+
+    Common values have common bits, but for those that share their bits with another value of the same set.
+    """
+    keep, flag = np.ones(len(p), bool), np.zeros(1 << 16, bool)
+    first = np.flatnonzero(np.diff(p, prepend=-1))
+    for i, j in zip(first, np.append(first[1:], len(p)) if len(p) else first, strict=True):
+        x, one = p[i], held[p[i]]
+        k = np.array([k for k in range(i, j) if one is not None and held[q[k]] is not None], np.int64)
+        if not len(k):
+            continue
+        flag[one] = True
+        others = [held[y] for y in q[k]]
+        each = np.array([len(o) for o in others])
+        both = np.add.reduceat(flag[np.concatenate(others)].astype(np.int64), np.cumsum(each) - each)
+        flag[one] = False
+        both += np.minimum(size[x] - len(one), size[q[k]] - each)
+        keep[k] = both >= least / (1 + least) * (size[x] + size[q[k]]) * (1 - 1e-9)
+    return keep
+
+
 def overlaps(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row by row: size of both sets and of their intersection. Each side: (distinct values, offsets)."""
     rows = len(one[1]) - 1

@@ -13,6 +13,7 @@ confirmed on the full shingle sets of the texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skybias.llm import minhash, texts
-from skybias.llm.linking import agreeing, least_share, leftover, link, recoded
+from skybias.llm.linking import agreeing, coded, least_share, leftover, link, recoded
 from skybias.llm.registry import query
-from skybias.llm.tables import stored, table, text_of
+from skybias.llm.tables import placed, stored, table, text_of
 
 COORDINATES, ROWS = 126, 3
 FINER = [(6, 42), (10, 84)]  # coordinates in a run, runs
@@ -35,18 +36,17 @@ def _signed(shingle_words: int):
             for a, b, value, offsets in minhash.word_sets(batch.column("text"), shingle_words):
                 size = np.diff(offsets)
                 full = np.flatnonzero(size)
-                set_hash, keys, sign, sketch = ([None] * (b - a) for _ in range(4))
+                set_hash, sign = ([None] * (b - a) for _ in range(2))
                 if len(full):
                     at = offsets[:-1][full]
                     one, two = np.add.reduceat(value, at), np.add.reduceat(texts.mix(value), at)
                     signature = minhash.signatures((value >> np.uint64(32)).astype(np.uint32), np.append(at, len(value)), COORDINATES)
-                    key, short = minhash.run_keys(signature, ROWS), (signature >> np.uint32(16)).astype(np.uint16)
-                    brief = minhash.sketches(short)
+                    short = minhash.shortened(signature)
                     for k, i in enumerate(full):
                         set_hash[i] = one[k].tobytes() + two[k].tobytes() + int(size[i]).to_bytes(8, "little")
-                        keys[i], sign[i], sketch[i] = key[k].tobytes(), short[k].tobytes(), brief[k].tobytes()
-                yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text_hash")), pa.array(size.astype(np.int64)), *(pa.array(x, pa.binary()) for x in (set_hash, keys, sign, sketch))],
-                                      ["doc_id", "text_hash", "n_shingles", "set_hash", "keys", "signature", "sketch"])
+                        sign[i] = short[k].tobytes()
+                yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text_hash")), pa.array(size.astype(np.int64)), *(pa.array(x, pa.binary()) for x in (set_hash, sign))],
+                                      ["doc_id", "text_hash", "n_shingles", "set_hash", "signature"])
 
     return run
 
@@ -70,6 +70,15 @@ def _confirmed(shingle_words: int, percent: int):
     return run
 
 
+def _brief(shingle_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, value, offsets in minhash.word_sets(batch.column("text"), shingle_words):
+                yield pa.record_batch([batch.column("id").slice(a, b - a), pa.array(minhash.brief(value, offsets), pa.binary())], ["id", "shingles"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -79,31 +88,45 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     without doc_id takes no part: its component_id is null and it is kept.
     """
     docs = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    signed = docs.mapInArrow(_signed(shingle_words), "doc_id long, text_hash long, n_shingles long, set_hash binary, keys binary, signature binary, sketch binary")
+    signed = docs.mapInArrow(_signed(shingle_words), "doc_id long, text_hash long, n_shingles long, set_hash binary, signature binary")
     # equal sets are one item, named by their hash; its first text stands for it
     signed = stored(signed.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.xxhash64("set_hash"))).withColumn(
         "id", F.when(F.col("n_shingles") > 0, F.col("id"))), "signatures")
-    first = F.min(F.struct("doc_id", "text_hash", F.col("n_shingles").alias("size"), "keys", "signature", "sketch")).alias("s")
-    items = stored(signed.where("id IS NOT NULL").groupBy("id").agg(first).select("id", "s.*"), "sets")
+    first = F.min(F.struct("doc_id", "text_hash", F.col("n_shingles").alias("size"), "signature")).alias("s")
+    items = placed(signed.where("id IS NOT NULL").groupBy("id").agg(first).select("id", "s.*"), "sets", "id")
     n = items.count()
 
+    @cache
+    def different() -> DataFrame:
+        """(text_hash, text), every different text once: it is moved here, and only pairs are after that."""
+        return placed(docs.where("doc_id IS NOT NULL").groupBy("text_hash").agg(F.min("text").alias("text")), "texts", "text_hash")
+
+    share = least_share(percent / 100, COORDINATES)
+
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = agreeing(pairs, items, COORDINATES, least_share(percent / 100, COORDINATES))
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        # stored, so that its size is known before texts would be shuffled for it
-        wanted = stored(items.select("id", "doc_id", "text_hash").join(wanted, "id", "left_semi"), "wanted")
-        text = stored(docs.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text"), "candidates")
+        return confirm(agreeing(pairs, items, COORDINATES, share))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
+        for side in "ba":
+            pairs = pairs.join(items.select(F.col("id").alias(side), F.col("text_hash").alias(f"h{side}")), side)
+        pairs = stored(pairs, "candidates")
         for side in "ba":
-            pairs = pairs.join(text.select(F.col("id").alias(side), F.col("text").alias(f"t{side}")), side)
+            pairs = pairs.join(different().select(F.col("text_hash").alias(f"h{side}"), F.col("text").alias(f"t{side}")), f"h{side}")
         return pairs.mapInArrow(_confirmed(shingle_words, percent), "a long, b long")
 
     def finer(ids: DataFrame, level: int) -> DataFrame | None:
         return recoded(items.join(ids, "id", "left_semi"), COORDINATES, *FINER[level - 1], level) if level <= len(FINER) else None
 
-    def rest(apart: DataFrame) -> DataFrame:
-        return leftover(apart, items, COORDINATES, least_share(percent / 100, COORDINATES), percent / 100)
+    def rest(apart: DataFrame, nearest: bool) -> DataFrame:
+        sets = None
+        if not nearest:
+            wanted = stored(items.select("id", "text_hash").join(apart.select("id").distinct(), "id", "left_semi"), "wanted")
+            sets = stored(wanted.join(different(), "text_hash").select("id", "text").mapInArrow(_brief(shingle_words), "id long, shingles binary"), "shingles")
+        return leftover(apart, items, COORDINATES, share, percent / 100, rows=ROWS, nearest=nearest, sets=sets)
 
-    _, label = link(items.select("id", "keys"), verify, finer, max(1, -(-n // DOCS_PER_BUCKET)), rest)
+    _, label = link(coded(items, COORDINATES, ROWS), verify, finer, max(1, -(-n // DOCS_PER_BUCKET)), rest, confirm)
     # the smallest doc_id of all sets of a component names it
     classes = items.select("id", "doc_id").join(label, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -19,6 +19,8 @@ def importable(spark: SparkSession) -> SparkSession:
     # texts can be long: batches of fewer rows than the default keep the memory of workers and of the JVM's buffers small
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # what a query shuffles goes with it, not when the driver next collects its garbage: steps hand on stored tables
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -29,6 +31,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows, stored in buckets of ``key`` in the shared folder: a join by it moves the other side only.
+
+    ``df`` is grouped by the key already, so a task writes whole buckets.
+    """
+    spark, path = df.sparkSession, work_path(df.sparkSession, f"llm-{name}")
+    title = f"llm_{path.rsplit('-', 1)[-1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(title)
+    return spark.table(title)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
