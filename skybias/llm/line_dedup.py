@@ -3,7 +3,7 @@
 Lines are compared in lower case without blanks around them. Equal lines are one item from the start. Every different line gets a MinHash
 signature of its character shingles; lines that agree in a band of it are candidates if enough of their signatures agrees. They are
 confirmed by the exact Jaccard similarity of their shingle sets and joined by a distributed union-find. Lines that share a band but stay
-apart get longer bands, and those apart after that are compared pair by pair (``linking``). Of each component the first line, by doc_id and place, stays.
+apart are compared pair by pair inside tasks (``linking``). Of each component the first line, by doc_id and place, stays.
 
 One of 14 bands of 5 coordinates is shared by a pair at the threshold of 0.8 with 99.6 %, at 0.9 with more than 1 - 10^-5.
 """

@@ -2,10 +2,10 @@
 
 ``stars`` gathers, for every key, its smallest item (the leader) and pairs each other item with it. A task first does so among its own
 items and sends one item per key on, so a key that a third of all items share is no larger than the number of tasks. A verified pair
-links. Keys whose items are not in one component then are looked at again with another leader. The items that are still apart get new
-keys, from longer runs of their signatures, which fewer unlike items share, and are gathered again under those. These steps make no more pairs
-than they have postings. What then is still apart under one of the first keys is compared item by item inside tasks (``leftover``), so a pair that shares a
-key is never left out; only pairs whose signatures agree come out of it as rows.
+links. Where nothing follows, or where very many items of a key are apart, these are looked at again with another leader, and get new keys from longer
+runs of their signatures, which fewer unlike items share. These steps make no more pairs than they have postings. What then is still apart under one of the
+first keys is compared item by item inside tasks (``leftover``), so a pair that shares a key is never left out; only pairs that may be links come out
+of it as rows.
 """
 
 from __future__ import annotations

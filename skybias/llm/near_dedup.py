@@ -4,8 +4,8 @@ A document is posted under its signature's coordinate-value pairs. The prefix: a
 ``match`` of ``coordinates`` coordinates misses at most coordinates - match of them, so among that many runs plus one, one run agrees
 throughout; postings under runs of ``rows`` coordinate-value pairs lose no such pair. The skip: documents with equal shingle sets are
 posted once, postings whose documents are already in one component are skipped, and a posting pairs its documents with a leader
-instead of with each other. Documents that stay apart under a posting, such as those with a common passage, are posted again under
-longer runs, and what is apart after that is compared pair by pair, but for sizes too different for a link (``linking``). Collisions are
+instead of with each other. Documents that stay apart under a posting, such as those with a common passage, are compared pair by pair
+inside tasks, but for sizes too different for a link (``linking``); very large postings get longer runs first. Collisions are
 counted over all coordinates, pairs above the match threshold, which follows from the wanted similarity, are kept, and each is
 confirmed on the full shingle sets of the texts.
 """
