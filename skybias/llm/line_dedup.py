@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are compared in lower case without blanks around them. Equal lines are one item from the start. Every different line gets a MinHash
-signature of its character shingles; lines that agree in a band of it are candidates if enough of their signatures agrees. They are
+signature of its character shingles, stored only for lines that share a band with another; lines that agree in a band of it are candidates if enough of their signatures agrees. They are
 confirmed by the exact Jaccard similarity of their shingle sets and joined by a distributed union-find. Lines that share a band but stay
 apart are compared pair by pair inside tasks (``linking``). Of each component the first line, by doc_id and place, stays.
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skybias.llm import minhash
-from skybias.llm.linking import agreeing, coded, fixed, least_share, leftover, link, recoded
+from skybias.llm.linking import agreeing, fixed, least_share, leftover, link, recoded
 from skybias.llm.registry import query
 from skybias.llm.tables import placed, stored, table, text_of
 
@@ -34,6 +34,17 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("line"))
 
 
+def _keyed(chars: int):
+    """A key for each band; the signatures are not kept, as most lines need them never again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, value, offsets in minhash.char_shingles(batch.column("line"), chars):
+                keys = minhash.run_keys(minhash.shortened(minhash.signatures(value, offsets, BANDS * ROWS)), ROWS)
+                yield pa.record_batch([batch.column("id").slice(a, b - a), fixed(keys)], ["id", "keys"])
+
+    return run
+
+
 def _signed(chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,34 +91,42 @@ def kept_lines(docs: DataFrame, chars: int = SHINGLE_CHARS, threshold: float = T
     # every different line once, with its first place
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "line")).alias("f")
     lines = _lines(docs).groupBy("id").agg(first).select("id", "f.*")
-    items = placed(lines.mapInArrow(_signed(chars), "id long, last boolean, doc_id long, line_no int, line string, size long, signature binary"), "lines", "id")
+    items = placed(lines, "lines", "id")
     width, n = BANDS * ROWS, items.count()
 
-    share = least_share(threshold, width)
+    share, alike = least_share(threshold, width), items
+
+    def meeting(ids: DataFrame) -> None:
+        """Lines that share no band with another take no part in what follows: the others are stored for it, with size and signature."""
+        nonlocal alike
+        met = items.select("id", "line").join(ids, "id", "left_semi")
+        alike = placed(met.mapInArrow(_signed(chars), "id long, line string, size long, signature binary"), "alike", "id")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         for side in "ba":
-            pairs = pairs.join(items.select(F.col("id").alias(side), F.col("line").alias(f"t{side}")), side)
+            pairs = pairs.join(alike.select(F.col("id").alias(side), F.col("line").alias(f"t{side}")), side)
         return pairs.mapInArrow(_confirmed(chars, threshold), "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return confirm(agreeing(pairs, items, width, share))
+        return confirm(agreeing(pairs, alike, width, share))
 
     def finer(ids: DataFrame, level: int) -> DataFrame | None:
-        return recoded(items.join(ids, "id", "left_semi"), width, *FINER[level - 1], level) if level <= len(FINER) else None
+        return recoded(alike.join(ids, "id", "left_semi"), width, *FINER[level - 1], level) if level <= len(FINER) else None
 
     def rest(apart: DataFrame, nearest: bool) -> DataFrame:
         sets = None
         if not nearest:
-            wanted = items.select("id", "line").join(apart.select("id").distinct(), "id", "left_semi")
+            wanted = alike.select("id", "line").join(apart.select("id").distinct(), "id", "left_semi")
             sets = stored(wanted.mapInArrow(_brief(chars), "id long, shingles binary"), "shingles")
-        return leftover(apart, items, width, share, threshold, rows=ROWS, nearest=nearest, sets=sets)
+        return leftover(apart, alike, width, share, threshold, rows=ROWS, nearest=nearest, sets=sets)
 
-    _, label = link(coded(items, width, ROWS), verify, finer, max(1, -(-n // LINES_PER_BUCKET)), rest, confirm)
-    # the first place of every component
-    line = items.select("id", "last", "doc_id", "line_no").join(label, "id", "left")
-    best = line.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min(F.struct("last", "doc_id", "line_no", "id")).alias("f"))
-    return best.groupBy("f.doc_id").agg(F.collect_list(F.struct("f.line_no", "f.id")).alias("lines"))
+    keys = items.select("id", "line").mapInArrow(_keyed(chars), "id long, keys binary")
+    _, label = link(keys, verify, finer, max(1, -(-n // LINES_PER_BUCKET)), rest, confirm, meeting)
+    # of every component all but the first place goes
+    linked = stored(items.select("id", "last", "doc_id", "line_no").join(label, "id"), "linked")
+    best = linked.groupBy("component").agg(F.min(F.struct("last", "doc_id", "line_no", "id")).alias("f"))
+    gone = stored(linked.select("id", "component").join(best, "component").where("id <> f.id").select("id"), "gone")
+    return items.select("id", "doc_id", "line_no").join(gone, "id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, chars: int = SHINGLE_CHARS, threshold: float = THRESHOLD) -> DataFrame:
@@ -119,7 +138,9 @@ def dedup_lines(docs: DataFrame, chars: int = SHINGLE_CHARS, threshold: float =
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_kept")]
     kept = kept_lines(docs, chars, threshold).withColumnRenamed("doc_id", "kept_doc")
-    rows = docs.select(F.struct(*names).alias("row"), "doc_id", "text")
+    # the text moves once, not in the row too
+    others = [c for c in names if c not in ("doc_id", "text")]
+    rows = docs.select(F.struct(*others).alias("row"), "doc_id", "text")
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_doc")), "left")
     # every line, its number and how it is compared; then those that stay
     rows = rows.withColumn("all", F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(
@@ -130,8 +151,8 @@ def dedup_lines(docs: DataFrame, chars: int = SHINGLE_CHARS, threshold: float =
     def count(lines: str):
         return F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(lines, lambda s: s["c"] != ""))).cast("long")
 
-    rows = rows.select("row", F.array_join(F.transform("stay", lambda s: s["x"]), "\n").alias("text"), count("all").alias("n_lines"), count("stay").alias("n_kept"))
-    return rows.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names), "n_lines", "n_kept")
+    rows = rows.select("row", "doc_id", F.array_join(F.transform("stay", lambda s: s["x"]), "\n").alias("text"), count("all").alias("n_lines"), count("stay").alias("n_kept"))
+    return rows.select(*(F.col(f"row.`{c}`") if c in others else F.col(c) for c in names), "n_lines", "n_kept")
 
 
 def without_emptied(deduped: DataFrame) -> DataFrame:

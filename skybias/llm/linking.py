@@ -308,13 +308,15 @@ def fixed(rows: np.ndarray) -> pa.Array:
 
 
 def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame, int], DataFrame | None],
-         buckets: int, rest: Callable[[DataFrame, bool], DataFrame] | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+         buckets: int, rest: Callable[[DataFrame, bool], DataFrame] | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None,
+         meeting: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges a, b; components id, component) of ``items`` (id, keys), linked where ``verify`` says so.
 
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links. ``finer`` takes ids that are still apart under a key and
     the number of times that happened, and returns their next keys (id, keys), or None after the last ones. ``rest`` takes what is then
     still apart (id, key, label) under the first keys and returns all its pairs that may be links, or the likeliest one of every item; ``confirm``
-    (or else ``verify``) says which of them are. With ``rest`` only keys of more than ``MANY`` items that are apart get longer runs.
+    (or else ``verify``) says which of them are. ``meeting`` is told first which items (id) share a key with another: none but
+    these are in what the others take. With ``rest`` only keys of more than ``MANY`` items that are apart get longer runs.
     """
     pair = [F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")]
     tried = edges = label = first = None
@@ -335,9 +337,9 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Call
             edges, label = edges.unionByName(linked), extended(label, linked)
         return n
 
-    def apart(rows: DataFrame) -> DataFrame:
-        """Postings (id, key, label) under keys that hold several components."""
-        now = _labelled(rows, label, "id", "label")
+    def apart(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+        """Postings (id, key, label), of ``ids`` only if given, under keys that hold several components."""
+        now = _labelled(rows, label, "id", "label") if ids is None else rows.join(_labelled(ids, label, "id", "label"), "id")
         several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         return stored(now.join(several, "key", "left_semi"), "keyed")
 
@@ -349,6 +351,8 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Call
     while items is not None:
         star = stored(stars(items, buckets), "stars")
         if label is None:
+            if meeting:
+                meeting(star.select("id").union(star.select("leader")).distinct())
             # one leader an item: near copies meet in a few of them, and what that joins needs no other pair
             settle(star.groupBy("id").agg(F.min("leader").alias("leader")).select(*pair).distinct())
         settle(between(star).select(*pair).distinct())
@@ -380,7 +384,7 @@ def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Call
             # an item that has no like one now has none later
             ends = stored(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "ends")
             again = 10 * settle(near, confirm or verify) > near.count()
-            left = apart(left.join(ends, "id", "left_semi").drop("label"))
+            left = apart(left.drop("label"), ends)
         if not left.isEmpty():
             settle(rest(left, False), confirm or verify)
     return edges, label

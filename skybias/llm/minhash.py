@@ -22,12 +22,15 @@ def signatures(values: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """One row of ``n`` minima per set, for sets that are not empty (uint32)."""
     out = np.empty((len(offsets) - 1, n), np.uint32)
     factor, row = seeds(n), 0
+    held = np.empty((2, max(BLOCK, int(np.diff(offsets).max(initial=0)))), np.uint32)
     while row < len(out):
         end = min(max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, "right")) - 1), len(out))
         part, at = values[offsets[row]:offsets[end]], offsets[row:end] - offsets[row]
+        x, shifted = held[:, :len(part)]
         for i in range(n):
-            x = part * factor[i]
-            x ^= x >> np.uint32(15)
+            np.multiply(part, factor[i], out=x)
+            np.right_shift(x, np.uint32(15), out=shifted)
+            x ^= shifted
             x *= _ODD
             out[row:end, i] = np.minimum.reduceat(x, at)
         row = end

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from skybias.llm import bloom_lm, minhash, near_dedup, texts
+from skybias.llm import bloom_lm, line_dedup, minhash, near_dedup, texts
 
 
 def test_like_texts_that_are_no_links_are_not_listed_in_pairs(spark, monkeypatch):
@@ -71,3 +71,34 @@ def test_a_word_is_looked_up_once(monkeypatch):
         m.setattr(np, "searchsorted", counted)
         got = head.counts(np.array([9, 9, 1, 3, 9, 1], np.uint64))
     assert got.tolist() == [90, 90, -1, 30, 90, -1] and looked == [3]
+
+
+def test_lines_without_a_like_are_not_signed_again_nor_joined_in_each_round(spark, monkeypatch):
+    """Only lines that share a band are looked up by later steps, and a round of the nearest has no join of its own to choose its lines."""
+    rng, looked, chosen = np.random.default_rng(3), [], []
+    # a group of lines a little below the threshold, some copies that are links, and lines that are like no other
+    base = "".join(chr(97 + x) for x in rng.integers(0, 26, 200))
+    near = [base[:20 + 4 * i] + chr(65 + i % 26) * 6 + base[26 + 4 * i:] + f"{i:03d}{i * 7919:06d}" for i in range(40)]
+    alone = ["".join(chr(97 + x) for x in rng.integers(0, 26, 80)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(near + [x + "!" for x in near] + alone)), "doc_id long, text string").repartition(4)
+    agreeing, leftover, join = line_dedup.agreeing, line_dedup.leftover, type(docs).join
+
+    def seen(step):
+        def run(pairs, items, *args, **more):
+            looked.append(items.count())
+            return step(pairs, items, *args, **more)
+
+        return run
+
+    def counted(self, other, on=None, how=None):
+        found = join(self, other, on, how)
+        if isinstance(on, str) and (on, how) == ("id", "left_semi") and "key" in self.columns:
+            chosen.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "agreeing", seen(agreeing))
+    monkeypatch.setattr(line_dedup, "leftover", seen(leftover))
+    monkeypatch.setattr(type(docs), "join", counted)
+    got = {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(got[i] == 0 for i in range(40, 80)) and all(got[i] == 1 for i in range(80, 380))
+    assert looked and max(looked) <= 100 and not chosen
