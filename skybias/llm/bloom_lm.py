@@ -347,7 +347,8 @@ def fit(docs: DataFrame, head_words: int = 1 << 20, bucket_words: int = 1 << 19,
         if room < 0:
             break
         limit = row["n"]
-    head = words.where(F.col("n") >= limit).mapInArrow(_repacked, "word binary, n binary").collect()
+    # one Python step: a task with two of them has two workers, and later all of them hold a copy of each broadcast
+    head = merged.where("kind = 0").mapInArrow(_frequent(limit), "word binary, n binary").collect()
     return {"buckets": buckets, "slices": slices, "segments": merged.where("kind = 1").unionByName(contexts), "words": words, "limit": limit,
             "head": Head(np.frombuffer(b"".join(bytes(r["word"]) for r in head), U64), np.frombuffer(b"".join(bytes(r["n"]) for r in head), np.int64),
                          totals["n"] or 0, totals["v"])}
@@ -359,9 +360,16 @@ def _unpacked(batches):
             yield pa.record_batch([pa.array(np.frombuffer(a.as_py(), np.int64)), pa.array(np.frombuffer(n.as_py(), np.int64))], ["word", "n"])
 
 
-def _repacked(batches):
-    for batch in batches:
-        yield pa.record_batch([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("word", "n")], ["word", "n"])
+def _frequent(limit: int):
+    """The words that occur ``limit`` times at least, packed as they were."""
+    def run(batches):
+        for batch in batches:
+            for a, n in zip(batch.column("a"), batch.column("n"), strict=True):
+                word, count = np.frombuffer(a.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
+                keep = count >= limit
+                yield pa.record_batch([pa.array([x[keep].tobytes()], pa.binary()) for x in (word, count)], ["word", "n"])
+
+    return run
 
 
 def waves(model: dict, wave_mb: int) -> Iterator[tuple[int, int, int]]:

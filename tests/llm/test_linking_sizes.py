@@ -102,3 +102,21 @@ def test_lines_without_a_like_are_not_signed_again_nor_joined_in_each_round(spar
     got = {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(docs).collect()}
     assert all(got[i] == 0 for i in range(40, 80)) and all(got[i] == 1 for i in range(80, 380))
     assert looked and max(looked) <= 100 and not chosen
+
+
+def test_no_task_of_the_fit_has_two_python_steps(spark, monkeypatch):
+    """Each one has a worker of its own, which stays, and the scoring's broadcast is then copied to all of them."""
+    docs = spark.createDataFrame([(i, "a b c d"[:i] + f" w{i}") for i in range(1, 8)], "doc_id long, text string")
+    steps, collect = [], type(docs).collect
+
+    def seen(self):
+        if self.columns == ["word", "n"]:
+            steps.append(self._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        return collect(self)
+
+    monkeypatch.setattr(type(docs), "collect", seen)
+    for most in (1 << 20, 5):
+        head = bloom_lm.fit(docs, head_words=most)["head"]
+        # a 7, b 5, c 3, the end 7 and seven words of their own, "d" in one text
+        assert (sorted(head.count.tolist()) == [1] * 8 + [3, 5, 7, 7]) if most > 5 else (sorted(head.count.tolist()) == [3, 5, 7, 7]), head.count
+    assert steps == [1, 1]
