@@ -353,3 +353,18 @@ def test_csv_has_no_file_for_each_place(spark, tmp_path):
         assert len(names) in files and names[0].read_text().startswith(("location_id,time", "time,"))
     back = spark.read.schema("location_id STRING, time TIMESTAMP, observed DOUBLE, forecast DOUBLE, bias DOUBLE, variable STRING").option("header", True).csv(f"{tmp_path}/1")
     assert back.select(*rows.columns).exceptAll(rows).count() == 0 and back.count() == 400
+
+
+def test_a_dataset_is_stored_as_hours_not_as_windows(spark, table, tmp_path):
+    """Windows overlap by 36 hours; what is stored holds an hour once (twice near the edge of a chunk), and gives the same samples."""
+    rows = hourly(table, [float(i % 97) for i in range(1500)], {300, 301})
+    places = spark.createDataFrame([("A", "UTC", 1.0, 2.0, 3.0)], "location_id STRING, timezone STRING, latitude DOUBLE, longitude DOUBLE, elevation DOUBLE")
+    storage.write_dataset(features.packed_dataset(rows, fields=["bias"]), str(tmp_path / "packed"))
+    packed = storage.read_dataset(spark, str(tmp_path / "packed"))
+    assert packed.selectExpr("sum(size(bias))").first()[0] <= 1498 + 36 * packed.count()
+    samples = features.unpacked_dataset(packed, places, fields=["bias"])
+    want = features.train_test_split(features.split_features_labels(features.sliding_samples(rows, 24, 24, ["bias"]), 24, 24, ["bias"]))
+    want = features.attach_attributes(want, places)
+    key = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert key(samples) == key(want) and len(key(samples)) > 100
+    assert "Exchange" not in samples._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
