@@ -368,3 +368,12 @@ def test_a_dataset_is_stored_as_hours_not_as_windows(spark, table, tmp_path):
     key = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
     assert key(samples) == key(want) and len(key(samples)) > 100
     assert "Exchange" not in samples._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+def test_wide_predictions_are_shuffled_once(spark):
+    rows = spark.range(480).selectExpr("'A' AS location_id", "'o3' AS variable", "'test' AS split", "int(id div 24 % 5) AS member",
+                                       "timestamp_seconds(id div 120 * 43200) AS init_time", "int(id % 24) AS horizon", "if(id % 24 = 7, NULL, double(id)) AS bias_hat")
+    wide = storage.wide_predictions(rows)
+    found = {(r["init_time"].timestamp(), r["member"]): [r[str(h)] for h in range(1, 25)] for r in wide.collect()}
+    assert len(found) == 20 and all(v[7] is None and [x - v[0] for i, x in enumerate(v) if i != 7] == [i for i in range(24) if i != 7] for v in found.values())
+    assert wide._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2 and wide.columns[-24:] == [str(h) for h in range(1, 25)]
