@@ -3,7 +3,7 @@
 Equal vectors of a label are one item with a count. The centres, at most ``MAX_CENTRES`` for all labels, are fitted on a sample of at most
 ``SAMPLE_ROWS`` items; every item is assigned to the nearest centre of its label. To lose no link between cells, an item also visits each
 lower cell that may hold a vector within the threshold's angle t: with unit centres c (own) and d, a vector x nearer to d has x (d - c) >= 0,
-so an item y within t of it satisfies y (c - d) / |c - d| <= sin t. Cells are compared block by block, so a task holds two blocks,
+so an item y within t of it satisfies y (c - d) / |c - d| <= sin t. A task holds a block of a cell's residents, past which the visitors stream,
 however large a cell is.
 """
 
@@ -20,7 +20,9 @@ from skybias.llm.linking import components
 from skybias.llm.registry import query
 from skybias.llm.tables import stored, table
 
-THRESHOLD, CELL_ROWS, BLOCK_ROWS = 0.93, 2048, 1024
+THRESHOLD, CELL_ROWS, BLOCK_ROWS = 0.93, 4096, 8192
+PART_ROWS, MEET_ROWS = 65_536, 256
+UNIT = ["label", "cell", "block", "part"]
 SAMPLE_ROWS, MAX_CENTRES, STEPS = 20_000, 4096, 12
 
 
@@ -37,7 +39,8 @@ def spherical_kmeans(x: np.ndarray, k: int, steps: int = STEPS) -> np.ndarray:
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+    """Unit vectors of an array column whose rows all have the same length."""
+    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -90,43 +93,131 @@ def _assigner(shared, threshold: float):
     return run
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """Smallest column reached by each row of a symmetric link matrix with a true diagonal."""
-    root = np.arange(len(linked))
-    while True:
-        new = np.where(linked, root, len(linked)).min(1)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+class _Unit:
+    """A block of residents of a cell, and what it has met. Links join residents to groups; of a resident only its number of links and its group are kept."""
+
+    def __init__(self, key: tuple):
+        self.key, self.ids, self.n, self.unit = key, np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        self.root, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, n: np.ndarray, unit: np.ndarray) -> None:
+        self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+        self.unit = unit if self.unit is None else np.concatenate([self.unit, unit])
+        self.root, self.links = np.arange(len(self.ids)), np.zeros(len(self.ids), np.int64)
+
+    def join(self, row: np.ndarray, resident: np.ndarray) -> None:
+        """Residents that are linked with the same row are one group; ``row`` is in order. The root of a group is its smallest place."""
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        size = np.diff(first, append=len(row))
+        while True:
+            own = self.root[resident]
+            least = np.repeat(np.minimum.reduceat(own, first), size)
+            apart = own != least
+            if not apart.any():
+                return
+            np.minimum.at(self.root, own[apart], least[apart])
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+    def _linked(self, close: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``close`` with links, the first resident and the copies that each is linked with; residents count the rows' copies ``n``."""
+        linked = np.flatnonzero(close.any(1))
+        if not len(linked):
+            return linked, linked, linked
+        row, resident = np.nonzero(close[linked])
+        self.links += np.bincount(resident, n[linked][row], len(self.ids)).astype(np.int64)
+        self.join(row, resident)
+        return linked, resident[np.flatnonzero(np.diff(row, prepend=-1))], np.bincount(row, self.n[resident], len(linked)).astype(np.int64)
+
+    def meet(self, ids: np.ndarray, n: np.ndarray, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, id of a resident it is linked with, copies it is linked with) of the visitors that have links."""
+        if self.unit is None:
+            return ids[:0], ids[:0], ids[:0]
+        linked, first, count = self._linked(unit @ self.unit.T >= threshold, n)
+        return ids[linked], self.ids[first], count
+
+    def among(self, threshold: float) -> None:
+        """Links between the residents."""
+        for at in range(0, len(self.ids), MEET_ROWS):
+            close = self.unit[at:at + MEET_ROWS] @ self.unit.T >= threshold
+            here = np.arange(len(close))
+            close[here, at + here] = True  # so that a row is in the group of its links
+            close[np.count_nonzero(close, axis=1) == 1] = False
+            linked, _, _ = self._linked(close, self.n[at:at + MEET_ROWS])
+            self.links[at + linked] -= self.n[at + linked]
+
+    def out(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        root = self.ids[self.root]
+        keep = (self.links > 0) | (root != self.ids)
+        return self.ids[keep], root[keep], self.links[keep]
 
 
 def _compare(threshold: float):
-    def run(group: pa.Table) -> pa.Table:
-        """Links between two blocks: for each item the copies it is linked with, and an edge to the root of its links here."""
-        side = np.array(group.column("side").to_pylist())
-        unit, ids = _unit(group.column("vector").combine_chunks()), group.column("id").to_numpy()
-        n, home = group.column("n").to_numpy(), np.array(group.column("home").to_pylist())
-        one, two = np.flatnonzero(side < 2), np.flatnonzero(side > 0)
-        # side 0 meets side 1 (then one and two are disjoint: 0 and 2), or a block meets itself (side 1 only)
-        with np.errstate(invalid="ignore"):
-            close = unit[one] @ unit[two].T >= threshold
-        close &= (home[one][:, None] | home[two][None]) & (ids[one][:, None] != ids[two][None])
-        # two residents of a cell, or a resident and a visitor; two visitors meet elsewhere
-        count = np.zeros(len(ids), np.int64)
-        count[one] += (close * n[two][None]).sum(1)
-        if not np.array_equal(one, two):
-            count[two] += (close * n[one][:, None]).sum(0)
-        both = np.eye(len(ids), dtype=bool)
-        both[np.ix_(one, two)] |= close
-        both |= both.T
-        root = ids[_roots(both)]
-        keep = (count > 0) | (root != ids)
-        return pa.table([pa.array(ids[keep]), pa.array(root[keep]), pa.array(count[keep])], ["id", "root", "links"])
+    """Links between the residents of a block, and of them with the visitors that follow them: a task holds a block and a batch."""
+    def batch_of(ids, root, links) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(root, pa.int64()), pa.array(links, pa.int64())], ["id", "root", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, settled = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(c).to_numpy() for c in UNIT])
+            ids, n, visits, unit = batch.column("id").to_numpy(), batch.column("n").to_numpy(), np.array(batch.column("visits").to_pylist()), _unit(batch.column("vector"))
+            # runs of rows of one block and kind
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1) | (visits[1:] != visits[:-1])])
+            for i, j in zip(starts, np.r_[starts[1:], len(ids)], strict=True):
+                key = tuple(keys[i].tolist())
+                if held is None or held.key != key:
+                    if held is not None:
+                        if not settled and held.key[-1] == 0:
+                            held.among(threshold)
+                        yield batch_of(*held.out())
+                    held, settled = _Unit(key), False
+                if not visits[i]:
+                    held.add(ids[i:j], n[i:j], unit[i:j])
+                    continue
+                if not settled:
+                    if key[-1] == 0:  # of the parts that a block's visitors are dealt to, one compares the residents
+                        held.among(threshold)
+                    settled = True
+                for at in range(i, j, MEET_ROWS):
+                    to = min(j, at + MEET_ROWS)
+                    met = held.meet(ids[at:to], n[at:to], unit[at:to], threshold)
+                    if len(met[0]):
+                        yield batch_of(*met)
+        if held is not None:
+            if not settled and held.key[-1] == 0:
+                held.among(threshold)
+            yield batch_of(*held.out())
 
     return run
 
 
+def seated(placed: DataFrame, block_rows: int, part_rows: int) -> DataFrame:
+    """The items at each block that they live in or visit.
+
+    Residents of a cell are dealt to blocks. A block meets itself, the residents of the higher blocks and all visitors of its cell, who come to it in
+    parts: so a resident is copied once for each part and lower block, a visitor once for each block, and two visitors never meet.
+    """
+    sizes = placed.groupBy("label", "cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows"))
+    sizes = sizes.select("label", "cell", F.ceil(F.col("homes") / block_rows).alias("blocks"), F.ceil(F.col("rows") / part_rows).alias("parts"))
+    sizes = stored(sizes, "sizes")  # a row for each cell: Spark sees that it is small, and no vector moves to meet it
+    block, part = F.pmod(F.xxhash64("id"), F.col("blocks")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    seat = lambda b, p, visits: F.struct(b.alias("block"), p.alias("part"), F.lit(visits).alias("visits"))
+    own = F.transform(upto(F.col("parts")), lambda p: seat(block, p, False))
+    calls = F.transform(upto(F.when(F.col("home"), block).otherwise(F.col("blocks"))), lambda b: seat(b, part, True))
+    seats = placed.join(sizes, ["label", "cell"]).withColumn("_seat", F.explode(F.when(F.col("home"), F.concat(own, calls)).otherwise(calls)))
+    return seats.select("label", "cell", "_seat.*", "id", "n", "vector")
+
+
+def linked_in_cells(placed: DataFrame, threshold: float, block_rows: int, part_rows: int) -> DataFrame:
+    """(id, root, links) for items with links, some with several rows: links are to be added up, roots are edges."""
+    dealt = seated(placed, block_rows, part_rows).repartition(*UNIT).sortWithinPartitions(*UNIT, "visits")
+    return dealt.mapInArrow(_compare(threshold), "id long, root long, links long")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, vector, label).
 
@@ -148,13 +239,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vector: str =
         own = items.where(F.size("vector") == d)
         shared = vectors.sparkSession.sparkContext.broadcast(fit_cells(own))
         placed = stored(own.mapInArrow(_assigner(shared, threshold), "label int, cell long, home boolean, id long, n long, vector array<double>"), "cells")
-        # an even deal of each cell's items to blocks
-        sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-        dealt = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        pairs = pairs.select("label", "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                             F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("side"), "home", "id", "n", "vector")
-        found = stored(pairs.groupBy("label", "cell", "low", "high").applyInArrow(_compare(threshold), "id long, root long, links long"), "found")
+        found = stored(linked_in_cells(placed, threshold, BLOCK_ROWS, PART_ROWS), "found")
         edges = found.select(F.col("id").alias("a"), F.col("root").alias("b")) if edges is None else edges.union(found.select("id", "root"))
         counts = found.select("id", "links") if counts is None else counts.union(found.select("id", "links"))
     plain = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),

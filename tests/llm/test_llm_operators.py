@@ -518,6 +518,31 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(table.limit(0)).collect() == []
 
 
+def test_visitors_of_a_cell_are_not_copied_for_each_other(spark):
+    """One cell with many visitors: they meet its residents, in parts, and were copied once for each 1,024 rows of the cell before."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 6))
+    x = base[rng.integers(0, 40, 900)] + 0.2 * rng.normal(size=(900, 6))
+    home = np.arange(900) < 100
+    rows = [(1, 0, bool(h), i, 1 + i % 3, v.tolist()) for i, (h, v) in enumerate(zip(home, x))]
+    placed = spark.createDataFrame(rows, "label int, cell long, home boolean, id long, n long, vector array<double>").repartition(5)
+    seats = embedding_dedup.seated(placed, 30, 250)
+    copies = {r["id"]: r["count"] for r in seats.groupBy("id").count().collect()}
+    assert all(copies[i] == 4 for i in range(100, 900)) and all(4 <= copies[i] <= 4 + 3 for i in range(100))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & (home[:, None] | home[None]) & ~np.eye(900, dtype=bool)
+    for blocks, parts in ((30, 250), (1000, 10_000)):
+        found = embedding_dedup.linked_in_cells(placed, 0.93, blocks, parts).toPandas()
+        count = found.groupby("id").links.sum()
+        assert [int(count.get(i, 0)) for i in range(900)] == (linked * (1 + np.arange(900) % 3)).sum(1).tolist()
+        lead, near = np.arange(900), np.zeros((900, 900), bool)
+        near[found.id, found.root] = near[found.root, found.id] = True
+        want = np.arange(900)
+        for _ in range(60):
+            lead, want = (np.minimum(g, np.where(m, g, 900).min(1)) for g, m in ((lead, near), (want, linked)))
+        assert lead.tolist() == want.tolist()
+
+
 def test_license_scan(spark):
     rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.txt", prose(1, 50)), ("a/b/c/LICENSE", f"{prose(2, 60)}\nLicensed under the Apache License, Version 2.0."),
             ("a/b/c/d/y.txt", prose(3, 20)), ("z/y.txt", None), ("z/gpl.txt", "This work is licensed under the GNU General Public License, version 3."), (None, "")]
