@@ -345,3 +345,24 @@ def test_tasks_take_more_partitions_when_rows_grow(spark):
     """150 MB shuffled by a session of eight partitions: no task takes more than 16 MB of it, plus what lies in one partition."""
     rows = spark.range(6_000_000).selectExpr("xxhash64(id) AS a", "xxhash64(id, 1) AS b", "xxhash64(id, 2) AS c")
     assert rows.repartition("a").rdd.getNumPartitions() > 8
+
+
+def test_tasks_hand_on_each_matrix_once(spark):
+    """Batches of all variables: with more than a dozen matrices in a task, each batch used to hand on its own."""
+    layout = moments.Layout(("past_a",), (2,), 1)
+    names = [f"v{i}" for i in range(5)]
+    rows = spark.range(0, 4000, 1, 2).selectExpr(f"array({', '.join(map(repr, names))})[int(id % 5)] AS variable", "'A' AS location_id", "timestamp_seconds(id * 3600) AS init_time",
+                                                 "transform(sequence(1, 9), i -> sin(id * i)) AS x", "array(cos(id)) AS label")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        weights = [models.member_weight(m) for m in range(5)]
+        some = rows.select("variable", "x", F.col("label").alias("y"), F.lit(0).alias("fold"), F.array(*weights).alias("w"))
+        shift = {v: np.zeros(9) for v in names}
+        parts = some.mapInArrow(moments._products(shift, True), moments.PARTS).where("member >= 0")
+        assert parts.count() == 2 * 5 * 5  # tasks, variables, members
+        sums, shift = moments.products(rows, layout, weights)
+        one = {r["variable"]: r["part"] for r in sums.where("member = -1").collect()}
+        assert {v: np.frombuffer(bytes(p)).reshape(2, -1)[0, 0] for v, p in one.items()} == {v: 800.0 for v in names}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)

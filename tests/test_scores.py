@@ -377,3 +377,16 @@ def test_wide_predictions_are_shuffled_once(spark):
     found = {(r["init_time"].timestamp(), r["member"]): [r[str(h)] for h in range(1, 25)] for r in wide.collect()}
     assert len(found) == 20 and all(v[7] is None and [x - v[0] for i, x in enumerate(v) if i != 7] == [i for i in range(24) if i != 7] for v in found.values())
     assert wide._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2 and wide.columns[-24:] == [str(h) for h in range(1, 25)]
+
+
+def test_validation_in_ranges_is_not_shuffled_for_its_folders(spark, table, tmp_path):
+    processed = table([("A", v, t, x, 2 * x) for v in ("o3", "no2") for t, x in hours("2024-01-01", [float(i) for i in range(120)], skip={60})],
+                      "location_id STRING, variable STRING, time TIMESTAMP, observed DOUBLE, forecast DOUBLE")
+    hat = spark.createDataFrame([("A", v, t) for v in ("o3", "no2") for t in ("2024-01-02", "2024-01-03", "2024-01-04")], "location_id STRING, variable STRING, t STRING").selectExpr(
+        "location_id", "variable", "if(variable = 'o3', 'test', 'train') AS split", "CAST(t AS TIMESTAMP) AS init_time", "explode(sequence(0, 23)) AS horizon", "1.5D AS bias_hat")
+    plain, ranges = validation.build_validation(processed, hat), validation.build_validation(processed, hat, ranges=storage.VALIDATION_RANGES)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(plain) == exchanges(ranges) and "rangepartitioning" in ranges._jdf.queryExecution().executedPlan().toString()
+    storage.write_validation(ranges, str(tmp_path / "v"), dealt=True)
+    assert rows(storage.read_validation(spark, str(tmp_path / "v"))) == rows(plain) and len(rows(plain)) > 24
