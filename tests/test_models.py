@@ -366,3 +366,13 @@ def test_tasks_hand_on_each_matrix_once(spark):
         assert {v: np.frombuffer(bytes(p)).reshape(2, -1)[0, 0] for v, p in one.items()} == {v: 800.0 for v in names}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_predictions_are_dealt_as_windows(dataset):
+    """With ``by``, a window is one row in the shuffle, not one for each member and horizon."""
+    ensemble = models.fit_ensemble("elastic_net", dataset, 2, alpha=0.01)
+    plain, dealt = models.predict_members(ensemble, dataset), models.predict_members(ensemble, dataset, ["variable", "split"])
+    key = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert key(plain) == key(dealt)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("RebalancePartitions")
